@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrastack.llm import media, piece_bpe
+from terrastack.llm import media, packing, piece_bpe, simhash
 from terrastack.llm.common import narrow, read_table
 
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -25,8 +26,20 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_and_decode(documents(spark, sf_dir), PIECE_MODEL).drop("decoded")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's fingerprint and near-duplicate component."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in power-of-two sequences."""
+    return packing.pack(documents(spark, sf_dir), BYTE_TOKENIZER, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op7_simhash": op7_simhash,
+    "op9_packing": op9_packing,
     "op6_sentencepiece": op6_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {}
