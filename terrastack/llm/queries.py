@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrastack.llm import media, packing, piece_bpe, simhash
+from terrastack.llm import chunk_dedup, media, ngram_lm, packing, piece_bpe, simhash
 from terrastack.llm.common import narrow, read_table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,16 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_and_decode(documents(spark, sf_dir), PIECE_MODEL).drop("decoded")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by the automaton learned from the rows that are not held out."""
+    return ngram_lm.score_documents(documents(spark, sf_dir))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage of every text, with the document that keeps it."""
+    return chunk_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row's fingerprint and near-duplicate component."""
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -38,6 +48,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op3_substring_dedup": op3_substring_dedup,
     "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
     "op6_sentencepiece": op6_sentencepiece,
