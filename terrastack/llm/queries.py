@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrastack.llm import chunk_dedup, media, ngram_lm, packing, piece_bpe, simhash
+from terrastack.llm import chunk_dedup, media, ngram_lm, packing, piece_bpe, quality, simhash, toxicity
 from terrastack.llm.common import narrow, read_table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,16 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_media(documents(spark, sf_dir))).drop("hash")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's quality by its labelled neighbours."""
+    return quality.score_quality(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's toxicity by its worst words."""
+    return toxicity.score_toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by the prefix table and decoded again."""
     return piece_bpe.encode_and_decode(documents(spark, sf_dir), PIECE_MODEL).drop("decoded")
@@ -50,6 +60,8 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_toxicity": op5_toxicity,
     "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
     "op6_sentencepiece": op6_sentencepiece,
