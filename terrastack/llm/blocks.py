@@ -9,7 +9,7 @@ hot keys, and there are never more shuffled rows than distinct keys of blocks.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +19,37 @@ from pyspark.sql import functions as F
 from terrastack.llm.common import block_count, ensure_checkpoint_dir
 
 #: UTF-8 bytes of text in a block: what one task holds at a time.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 
 
 def deal(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(`docs` with doc_id and text, dealt out by a new column block_; how many blocks). Rows equal in both columns share a block."""
+    """(rows of `docs`, which has doc_id and text, dealt to blocks; how many blocks). Rows equal in both columns share a block.
+
+    Rows travel as compressed record batches (block_, rows_), one for each input batch and block.
+    """
     blocks = block_count(docs, block_bytes)
-    return docs.withColumn("block_", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block_"), blocks
+    keyed = docs.withColumn("block_", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    options = {"compression": "zstd"}
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block_").to_numpy()
+            rows = batch.drop_columns(["block_"])
+            order = np.argsort(block, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                if not len(part):
+                    continue
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(**options)) as writer:
+                    writer.write_batch(rows.take(pa.array(part)))
+                yield pa.RecordBatch.from_arrays([pa.array([block[part[0]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block_", "rows_"])
+
+    return keyed.mapInArrow(press, "block_ int, rows_ binary").repartition(blocks, "block_"), blocks
+
+
+def _rows(dealt: pa.Table) -> pa.Table:
+    """The documents of a block."""
+    return pa.concat_tables([pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in dealt.column("rows_")])
 
 
 def mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -43,6 +67,22 @@ def _open(blob: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob), dtype)
 
 
+def _press_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, in as few bytes each as the largest needs."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, -(-int(steps[1:].max()).bit_length() // 8)) if len(keys) > 1 else 1
+    low = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + low.tobytes()
+
+
+def _open_keys(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    steps = np.zeros((1 + (len(blob) - 9) // width, 8), np.uint8)
+    steps[0] = np.frombuffer(blob, np.uint8, 8, 1)
+    steps[1:, :width] = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -59,16 +99,16 @@ def ask(blocked: DataFrame, buckets: int, local: Callable, sent: list[str], merg
     starts = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
     ins, outs = [f"v{i}" for i in range(len(sent))], [f"a{i}" for i in range(len(got))]
 
-    def send(rows: pa.Table) -> pa.Table:
-        keys, arrays = local(rows)
+    def send(dealt: pa.Table) -> pa.Table:
+        keys, arrays = local(_rows(dealt))
         ends = [*np.searchsorted(keys, starts), len(keys)]
-        block = rows.column("block_")[0].as_py()
-        out = [(block, b, keys[i:j].tobytes(), *(_press(a[i:j].astype(t)) for a, t in zip(arrays, sent, strict=True))) for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
+        block = dealt.column("block_")[0].as_py()
+        out = [(block, b, _press_keys(keys[i:j]), *(_press(a[i:j].astype(t)) for a, t in zip(arrays, sent, strict=True))) for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
         return _table(out, ["block_", "bucket", "keys", *ins], [pa.int32(), pa.int32(), *[pa.binary()] * (1 + len(ins))])
 
     def answer(rows: pa.Table) -> pa.Table:
         columns = {n: rows.column(n).to_pylist() for n in ["block_", "bucket", "keys", *ins]}
-        parts = [np.frombuffer(k, np.uint64) for k in columns["keys"]]
+        parts = [_open_keys(k) for k in columns["keys"]]
         distinct, which = np.unique(np.concatenate(parts), return_inverse=True)
         arrays = [np.concatenate([_open(b, t) for b in columns[n]]) for n, t in zip(ins, sent, strict=True)]
         merged, totals = merge(distinct, which, arrays)
@@ -88,8 +128,8 @@ def with_answers(blocked: DataFrame, answers: DataFrame, got: list[str], work: C
     """work(rows of a block, the merged arrays along the block's sorted distinct keys) for each block."""
     outs = [f"a{i}" for i in range(len(got))]
 
-    def run(rows: pa.Table, back: pa.Table) -> pa.Table:
+    def run(dealt: pa.Table, back: pa.Table) -> pa.Table:
         back = back.sort_by("bucket")
-        return work(rows, [np.concatenate([np.empty(0, t), *(_open(b, t) for b in back.column(n).to_pylist())]) for n, t in zip(outs, got, strict=True)])
+        return work(_rows(dealt), [np.concatenate([np.empty(0, t), *(_open(b, t) for b in back.column(n).to_pylist())]) for n, t in zip(outs, got, strict=True)])
 
     return blocked.groupBy("block_").cogroup(answers.select("block_", "bucket", *outs).groupBy("block_")).applyInArrow(run, schema)

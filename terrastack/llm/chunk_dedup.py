@@ -203,7 +203,6 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_owner_words
         for row, start, end, _, _ in sorted(spans, reverse=True):
             raw = texts[row].encode("utf-8", "surrogatepass")
             texts[row] = (raw[:start] + raw[end:]).decode("utf-8", "surrogatepass")
-        rows = rows.drop_columns(["block_"])
         return rows.set_column(rows.column_names.index("text"), "text", pa.array(texts, pa.string()))
 
     out = _spans(plain, found, plain.schema, min_words, min_owner_words, block_bytes)

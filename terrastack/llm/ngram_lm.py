@@ -57,18 +57,22 @@ class BlockGrams:
         words = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers)) & ~_TAG
         del numbers, parts
         position = np.arange(len(tokens), dtype=np.int64) - np.repeat(self.firsts, self.sizes)
-        keys = [words[tokens]]
+        # numbers of the distinct n-grams of each length, and their keys, built from those one shorter and the last word
+        places, keys, context = [tokens], [words], tokens
         for k in range(2, order + 1):
-            longer = blocks.mix(np.concatenate([keys[0][:1], keys[-1][:-1]]), keys[0]) & ~_TAG | np.uint64(k - 1)
-            keys.append(longer)
-        whole = [position >= k - 1 for k in range(1, order + 1)]
-        self.keys, inverse = np.unique(np.concatenate([x[w] for x, w in zip(keys, whole, strict=True)]), return_inverse=True)
-        self.index, at = [], 0
-        for w in whole:
-            index = np.full(len(tokens), -1, np.int64)
-            index[w] = inverse[at : at + w.sum()]
-            at += w.sum()
-            self.index.append(index)
+            at = np.flatnonzero(position >= k - 1)
+            distinct, inverse = np.unique(context[at - 1].astype(np.int64) * len(words) + tokens[at], return_inverse=True)
+            keys.append(blocks.mix(keys[-1][distinct // len(words)], words[distinct % len(words)]) & ~_TAG | np.uint64(k - 1))
+            context = np.full(len(tokens), -1, np.int32)
+            context[at] = inverse
+            places.append(context)
+        del position
+        self.keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+        self.index, end = [], 0
+        for place, own in zip(places, keys, strict=True):
+            final = np.append(where[end : end + len(own)], -1).astype(np.int32)  # place -1 stays -1
+            end += len(own)
+            self.index.append(final[place])
 
     def counts(self, training: np.ndarray) -> np.ndarray:
         """How often each key occurs in the texts marked `training`."""
