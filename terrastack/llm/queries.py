@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrastack.llm import chunk_dedup, media, ngram_lm, packing, piece_bpe, quality, simhash, toxicity
+from terrastack.llm import chunk_dedup, licenses, media, minhash, ngram_lm, packing, piece_bpe, quality, simhash, toxicity
 from terrastack.llm.common import narrow, read_table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,11 +51,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's fingerprint, its edited text's, and how near they and the next document's are."""
+    return minhash.edited_fingerprints(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in power-of-two sequences."""
     return packing.pack(documents(spark, sf_dir), BYTE_TOKENIZER, public_tokenizers.PATTERN)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every text that a license notice matches."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_lm_scoring": op2_lm_scoring,
@@ -63,7 +73,9 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_toxicity": op5_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_minhash": op8_minhash,
+    "op10_license_scan": op10_license_scan,
     "op9_packing": op9_packing,
     "op6_sentencepiece": op6_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql()}
