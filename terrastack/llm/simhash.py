@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -223,6 +224,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, first_id, root) of each distinct fingerprint of `prints` (doc_id, fp): its smallest id and the fingerprint that stands for its component."""
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = components(fingerprint_links(classes.select("fp"), radius))
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable over links of `radius` bits or fewer).
 
@@ -231,9 +239,31 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     ensure_checkpoint_dir(docs.sparkSession)
     prints = with_fingerprints(docs).checkpoint()
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(fingerprint_links(classes.select("fp"), radius))
-    grouped = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    grouped = _grouped(prints, radius)
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id")).checkpoint()  # a plain table: a hot root can then be split in the join
     named = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs`, one for each component of near-duplicates: the one with the smallest doc_id. All columns stay, whatever their names.
+
+    Null ids come last. Of rows that share the kept id and fingerprint, one stays, the first by the hash of its text. Empty tables give no rows.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    names = docs.columns
+    own = {"doc_id": "doc_id", "text": "text"}
+    plain = docs.select(*[F.col(f"`{c}`").alias(own.get(c, f"c{i}")) for i, c in enumerate(names)])
+
+    @F.pandas_udf("long")
+    def prints_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield pd.Series(np.array([fingerprint(t or "") for t in part], np.uint64).view(np.int64))
+
+    grouped = _grouped(with_fingerprints(docs).checkpoint(), radius)
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("k"))
+    keys = first.select(F.col("k.fp").alias("fp_"), F.col("k.first_id").alias("id_")).checkpoint()
+    marked = plain.withColumn("fp_", prints_of(F.coalesce("text", F.lit("")))).withColumn("id_", F.col("doc_id"))
+    kept = marked.join(keys, (marked["fp_"] == keys["fp_"]) & marked["id_"].eqNullSafe(keys["id_"]), "left_semi")
+    place = F.row_number().over(W.partitionBy("fp_", "id_").orderBy(F.xxhash64("text")))
+    return kept.withColumn("place_", place).where("place_ = 1").select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])
