@@ -45,8 +45,8 @@ def quality_flags(lai: Column, in_hull: Column, biome: Column) -> Column:
 
 
 def encode(lai: Column, scale: float = 100.0) -> Column:
-    """Rounded, scaled, and held within 16 bits."""
-    return F.least(F.greatest(F.round(lai * scale), F.lit(0)), F.lit(65535)).cast("int")
+    """Rounded, scaled, and held within 16 bits; masked where the LAI is (least and greatest would pass over NULL)."""
+    return F.when(lai.isNotNull(), F.least(F.greatest(F.round(lai * scale), F.lit(0)), F.lit(65535)).cast("int"))
 
 
 def decode(code: Column, scale: float = 0.01) -> Column:
