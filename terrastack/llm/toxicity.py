@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from terrastack.llm.quality import labelled_sample, predictions
 
 #: Labelled rows that a model is fitted on at most, half of either label, and the characters of the longest of them.
-MAX_LABELLED, MAX_CHARS = 4000, 20_000
+MAX_LABELLED, MAX_CHARS = 3000, 20_000
 BUCKETS, DIMENSIONS = 1 << 16, 12
 SIZES = (3, 4, 5)
 WINDOW = 2
 EPOCHS, WARM_UP, RATE = 50, 5, 0.05
+UNKNOWN, DECAY = 0.3, 1e-6
 CACHED_WORDS = 300_000
 EDGES = ".,;:!?\"'()[]{}|#*$%&<>-_/\\"
 
@@ -117,17 +118,18 @@ class SubwordModel:
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> SubwordModel:
     """Embeddings and softmax by Adam on whole batches: first on the means of whole texts, then on each text's worst window.
 
-    Both labels weigh the same. Without examples of both, every score is 0.5.
+    Both labels weigh the same. One more example, of label 0 and weight UNKNOWN, is a window of n-grams that training never saw: their embeddings
+    stay zero. Without examples of both labels, every score is 0.5.
     """
     rng = np.random.default_rng(seed)
-    embeddings = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.05).astype(np.float32)
+    embeddings = np.zeros((BUCKETS, DIMENSIONS), np.float32)
     linear = (rng.standard_normal((DIMENSIONS, 2)) * 0.3).astype(np.float32)
     bias = np.zeros(2)
     parts = [words_of(t) for t in texts]
     kept = [i for i, p in enumerate(parts) if p]
     parts, labels = [parts[i] for i in kept], labels[kept] if len(kept) else np.empty(0, np.int64)
     if len(set(labels.tolist())) < 2:
-        return SubwordModel(embeddings * 0, linear, bias)
+        return SubwordModel(embeddings, linear, bias)
     numbers: dict[str, int] = {}
     ids = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in p), np.int64, len(p)) for p in parts]
     sizes = np.array([len(i) for i in ids])
@@ -171,7 +173,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         back = error @ linear.T / width[:, None]
         by_word = np.stack([np.bincount(which, weights=back[owner, d], minlength=len(used)) for d in range(DIMENSIONS)], 1) / span[:, None]
         slope = np.stack([np.bincount(flat, weights=np.repeat(by_word[:, d], span), minlength=BUCKETS) for d in range(DIMENSIONS)], 1)
-        slopes = (slope, hidden.T @ error + 1e-4 * linear, error.sum(0))
+        slope += DECAY * embeddings
+        unseen = np.exp(bias - np.logaddexp(*bias)) - [1, 0]
+        slopes = (slope, hidden.T @ error + 1e-4 * linear, error.sum(0) + UNKNOWN * unseen)
         for i, (value, g) in enumerate(zip((embeddings, linear, bias), slopes, strict=True)):
             m, v = state[2 * i], state[2 * i + 1]
             m *= 0.9
