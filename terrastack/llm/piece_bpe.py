@@ -166,8 +166,10 @@ class PieceCodec:
         return "".join(out) + (_lenient(bytes(raw)) if raw else "")
 
     def decode(self, ids: list[int]) -> str:
+        """The text of any ids: the first piece that is not a control loses its space mark."""
+        first = next((i for i in ids if i not in self.silent), self.unknown)
         text = self.decode_tokens(ids)
-        return text[1:] if text.startswith(" ") and ids and not all(i in self.silent for i in ids) else text
+        return text[1:] if first in self.shown and self.pieces[first].startswith(MARK) else text
 
 
 def _lenient(raw: bytes) -> str:

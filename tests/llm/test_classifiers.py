@@ -1,0 +1,75 @@
+import numpy as np
+import pytest
+
+from terrastack.llm import quality, toxicity
+
+DOCS = "doc_id long, text string, score double, label_ int"
+LABELS = "doc_id long, quality int, toxic int"
+LONG = "plain words go on " * 60_000
+
+
+@pytest.mark.parametrize("score", [quality.score_quality, toxicity.score_toxicity])
+def test_odd_rows_and_labels(spark, score):
+    rows = [(1, "good plain text here", None, 1), (2, None, 1.0, None), (3, "", 2.0, 3), (None, "good plain text here", 0.1, 1), (5, LONG, 1.0, 1), (6, "BAD!! BAD!! zzidiot", 0.0, 0), (6, "BAD!! BAD!! zzidiot", 0.0, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(1, 1, 0), (6, 0, 1), (6, 0, 1), (2, None, 0), (3, 7, 7), (99, 1, 1), (None, 0, 1)], LABELS)
+    found = score(docs, labels).collect()
+    assert len(found) == len(rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
+    same = [r.score for r, (i, *_rest) in zip(sorted(found, key=lambda r: (r.doc_id is not None, r.doc_id)), sorted(rows, key=lambda r: (r[0] is not None, r[0])), strict=True) if i in (None, 1)]
+    assert len(set(same)) == 1
+    assert score(docs.where("false"), labels).collect() == []
+    assert {r.score for r in score(docs, labels.where("false")).collect()} == {0.5}
+
+
+def test_votes_equal_brute_force():
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(list("abcdefgh "), 80)) for _ in range(40)] + ["".join(rng.choice(list("ABC!#1 "), 80)) for _ in range(40)]
+    labels = np.array([1] * 40 + [0] * 40)
+    model = quality.fit(quality.features(texts), labels, 8, 5)
+    asked = texts[::7] + ["", "other words", None]
+    got = model.score(asked)
+    for text, score in zip(asked, got, strict=True):
+        mine = model.project(quality.features([text]))[0]
+        cosines = [float(mine @ v) for v in model.vectors]
+        best = sorted(range(80), key=lambda i: -cosines[i])[:5]
+        weights = [max(cosines[i], 0) ** 8 + 1e-12 for i in best]
+        assert score == pytest.approx(sum(w * labels[i] for w, i in zip(weights, best, strict=True)) / sum(weights), abs=1e-4)
+
+
+def test_features_of_pieces_add_up(monkeypatch):
+    text = "Some Words, some 12 WORDS!! " * 50
+    whole = quality.features([text])
+    monkeypatch.setattr(quality, "BATCH_CHARS", 37)
+    assert (quality.features([text]) == whole).all()
+
+
+def test_subwords_are_the_words_ngrams():
+    words = ["idiot", "a", "Éa-b.", "..."]
+    buckets, first = toxicity.subwords(words)
+    many = np.diff([*first, len(buckets)])
+    bare = ["<idiot>", "<a>", "<Éa-b>", "<...>"]
+    assert many.tolist() == [sum(max(0, len(w) - n + 1) for n in toxicity.SIZES) + 1 for w in bare]
+    again, _ = toxicity.subwords(["idiots"])
+    assert len(set(again.tolist()) & set(buckets[: many[0]].tolist())) >= 9
+    parts, starts = toxicity.subwords_in_parts(words, 2)
+    assert parts.tolist() == buckets.tolist() and starts.tolist() == first.tolist()
+
+
+def test_window_means_equal_brute_force():
+    rng = np.random.default_rng(1)
+    sizes = np.array([0, 1, 2, 5, 0, 9])
+    values = rng.standard_normal(sizes.sum())
+    means, first = toxicity.window_means(values, sizes, 3)
+    at, expected = 0, []
+    for n in sizes:
+        own = values[at : at + n]
+        at += n
+        expected.append([own[i : i + 3].mean() for i in range(max(1, n - 2))] if n else [])
+    assert means == pytest.approx([m for e in expected for m in e])
+    assert first.tolist() == np.cumsum([0, *map(len, expected)])[:-1].tolist()
+
+
+def test_score_is_the_worst_window():
+    model = toxicity.train(["zzidiot here now", "nice words here now"] * 5, np.array([1, 0] * 5), 40)
+    assert model.score(["nice words here now"])[0] < 0.5 < model.score(["nice words here now " * 200 + "zzidiot zzidiot"])[0]
