@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 
 
 class PieceCodec:
@@ -82,7 +82,7 @@ class PieceCodec:
         key = left << 20 | right
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 600_000:
+            if len(self.compatible) > 1_000_000:
                 self.compatible.clear()
             a, b = self.pieces[left], self.pieces[right]
             known = self.compatible[key] = self.merge(a + b) == [a, b]
