@@ -28,6 +28,8 @@ TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 322, 323, 32
 PIXEL_SCALE, TIE_POINT, GEO_KEYS, METADATA, NODATA = 33550, 33922, 34735, 42112, 42113
 SHORT, LONG, DOUBLE, ASCII = 3, 4, 12, 2
 KINDS = {SHORT: "H", LONG: "I", DOUBLE: "d"}
+#: Says how overviews were made.
+AVERAGED = '<GDALMetadata><Item name="OVERVIEW_RESAMPLING">AVERAGE</Item></GDALMetadata>'
 
 
 @dataclass(frozen=True)
@@ -266,7 +268,7 @@ def encode(cells: DataFrame, grid: GridSpec, options: TiffOptions = TiffOptions(
         filled = rows.column("value").combine_chunks().fill_null(nodata).to_numpy()
         values[rows.column("grid_row").to_numpy() - top, rows.column("grid_col").to_numpy() - left] = filled
         own = GridSpec(grid.x0 + left * grid.dx, grid.y0 - top * grid.dy, grid.dx, grid.dy, width, height, nodata, grid.crs)
-        return pa.table({"name": [f"{prefix}_{r:05d}_{c:05d}.tif"], "content": pa.array([encode_raster(values, own, options)], pa.binary())})
+        return pa.table({"name": [f"{prefix}_{r:05d}_{c:05d}.tif"], "content": pa.array([encode_raster(values, own, options, AVERAGED if options.overviews else "")], pa.binary())})
 
     return dealt.groupBy("tile_row", "tile_col").applyInArrow(build, "name string, content binary")
 
