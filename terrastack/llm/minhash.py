@@ -19,7 +19,7 @@ LOW_BITS = 8
 #: Draws written out for each empty bin; bins that are still empty take the first in a random order of all bins.
 DRAWS = 12
 #: Bytes of text in a range of doc_id, ranges of one level, and ranges in all.
-RANGE_BYTES, LEAVES, MOST_RANGES = 16_000_000, 512, 65_536
+RANGE_BYTES, LEAVES, MOST_RANGES = 4_000_000, 512, 65_536
 _LOWEST = -(1 << 63)
 
 
