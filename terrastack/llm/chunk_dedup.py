@@ -24,6 +24,8 @@ CUT_WORDS = 4
 MIN_WORDS, MIN_OWNER_WORDS = 16, 12
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: UTF-8 bytes of text in a block: digests are mostly distinct, so larger blocks would save little.
+BLOCK_BYTES = 6_000_000
 #: The gear table: a fixed random 64-bit word for each byte.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -172,7 +174,7 @@ def _spans(docs: DataFrame, found: Callable, schema: str, min_words: int, min_ow
     return blocks.with_answers(blocked, answers, ["<i8", "<i8"], work, schema)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_owner_words: int = MIN_OWNER_WORDS, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_owner_words: int = MIN_OWNER_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, kept_doc_id, start_byte, n_bytes, n_words, passage: one row for each passage that an earlier document (or place) has.
 
     kept_doc_id is the document that owns most of it: the one with the smallest doc_id, or the same document at an earlier place. Documents
@@ -191,7 +193,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_owner_wor
     return _spans(docs.select("doc_id", "text"), found, schema, min_words, min_owner_words, block_bytes)
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_owner_words: int = MIN_OWNER_WORDS, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_owner_words: int = MIN_OWNER_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with every repeated passage cut out of `text`; all rows and columns stay, and n_chars, where it is there, is counted anew.
 
     What repeated_passages says of nulls, empty texts and repeated rows holds. Other columns, whatever their names, are carried as they are.

@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from terrastack.llm.common import id_remainder
 
 #: Labelled rows that a model is fitted on at most, half of them of either label, as the hash of their ids falls.
-MAX_LABELLED = 6000
+MAX_LABELLED = 4000
 DIMENSIONS = 48
 NEIGHBOURS = 15
 #: Buckets of letter trigrams, of shape trigrams, and of word features.
 RAW, SHAPE, WORD = 2048, 1024, 64
 FEATURES = RAW + SHAPE + WORD
 #: Texts whose feature counts are held at a time, and their characters.
-BATCH_TEXTS, BATCH_CHARS = 256, 2_000_000
+BATCH_TEXTS, BATCH_CHARS = 256, 200_000
 
 
 def _shapes() -> np.ndarray:
@@ -124,11 +124,13 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> NeighbourModel:
-    """Weights and leading singular vectors (by subspace iteration from a fixed start) of the labelled texts' counts."""
+    """Weights and leading singular vectors (by subspace iteration from a fixed start) of the labelled texts' counts, which are overwritten."""
     if not len(labels):
         return NeighbourModel(np.zeros(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), labels.astype(np.float64))
     weight = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    matrix = _unit(np.log1p(counts) * weight)
+    matrix = np.log1p(counts, out=counts)  # in place: this is the driver's largest array
+    matrix *= weight
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
     basis = np.random.default_rng(11).standard_normal((FEATURES, min(dimensions + 8, FEATURES))).astype(np.float32)
     for _ in range(6):
         basis = np.linalg.qr(matrix.T @ (matrix @ basis))[0]

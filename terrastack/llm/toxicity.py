@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from terrastack.llm.quality import labelled_sample, predictions
 
 #: Labelled rows that a model is fitted on at most, half of either label, and the characters of the longest of them.
-MAX_LABELLED, MAX_CHARS = 3000, 20_000
+MAX_LABELLED, MAX_CHARS = 3000, 8_000
 BUCKETS, DIMENSIONS = 1 << 16, 12
 SIZES = (3, 4, 5)
 WINDOW = 2
 EPOCHS, WARM_UP, RATE = 50, 5, 0.05
 UNKNOWN, DECAY = 0.3, 1e-6
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 EDGES = ".,;:!?\"'()[]{}|#*$%&<>-_/\\"
 
 
@@ -63,6 +63,13 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets, np.cumsum(many) - many
 
 
+def subwords_in_parts(words: list[str], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """As subwords, some words at a time; buckets take four bytes."""
+    parts = [subwords(words[i : i + part]) for i in range(0, len(words), part)]
+    before = np.cumsum([0, *(len(b) for b, _ in parts)])
+    return np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([f + n for (_, f), n in zip(parts, before, strict=False)])
+
+
 def window_means(values: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(mean of `values` over each text's windows, first window of each text). Texts of fewer words than a window have one, an empty text none."""
     ends = np.cumsum(sizes)
@@ -125,17 +132,16 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     embeddings = np.zeros((BUCKETS, DIMENSIONS), np.float32)
     linear = (rng.standard_normal((DIMENSIONS, 2)) * 0.3).astype(np.float32)
     bias = np.zeros(2)
-    parts = [words_of(t) for t in texts]
-    kept = [i for i, p in enumerate(parts) if p]
-    parts, labels = [parts[i] for i in kept], labels[kept] if len(kept) else np.empty(0, np.int64)
+    numbers: dict[str, int] = {}
+    ids = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], np.int32) for t in texts]
+    kept = [i for i, own in enumerate(ids) if len(own)]
+    ids, labels = [ids[i] for i in kept], np.asarray(labels, np.int64)[kept]
     if len(set(labels.tolist())) < 2:
         return SubwordModel(embeddings, linear, bias)
-    numbers: dict[str, int] = {}
-    ids = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in p), np.int64, len(p)) for p in parts]
     sizes = np.array([len(i) for i in ids])
     tokens = np.concatenate(ids)
     token_first = np.cumsum(sizes) - sizes
-    buckets, first = subwords(list(numbers))
+    buckets, first = subwords_in_parts(list(numbers))
     many = np.diff([*first, len(buckets)])
     share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
     state = [np.zeros_like(x) for x in (embeddings, embeddings, linear, linear, bias, bias)]
@@ -159,8 +165,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         # word vectors of the chosen words only, then means over each text's (or window's) words
         used, which = np.unique(chosen, return_inverse=True)
         span = many[used]
-        flat = buckets[np.repeat(first[used], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)]
-        vectors = np.add.reduceat(embeddings[flat], np.cumsum(span) - span, axis=0) / span[:, None]
+        flat = buckets if len(used) == len(many) else buckets[np.repeat(first[used], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)]
+        begins = np.cumsum(span) - span
+        vectors = np.stack([np.add.reduceat(embeddings[:, d][flat], begins) for d in range(DIMENSIONS)], 1) / span[:, None]  # a dimension at a time: the whole would be large
         hidden = np.zeros((len(sizes), DIMENSIONS))
         for d in range(DIMENSIONS):
             hidden[:, d] = np.bincount(owner, weights=vectors[which, d], minlength=len(sizes)) / width
