@@ -20,6 +20,8 @@ from terrastack.llm.common import block_count, ensure_checkpoint_dir
 
 #: UTF-8 bytes of text in a block: what one task holds at a time.
 BLOCK_BYTES = 12_000_000
+#: Partitions that blocks are dealt to at most; beyond it a task takes several blocks, one after another.
+MOST_PARTITIONS = 20_000
 
 
 def deal(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -44,11 +46,12 @@ def deal(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, in
                     writer.write_batch(rows.take(pa.array(part)))
                 yield pa.RecordBatch.from_arrays([pa.array([block[part[0]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block_", "rows_"])
 
-    return keyed.mapInArrow(press, "block_ int, rows_ binary").repartition(blocks, "block_"), blocks
+    return keyed.mapInArrow(press, "block_ int, rows_ binary").repartition(min(blocks, MOST_PARTITIONS), "block_"), blocks
 
 
 def _rows(dealt: pa.Table) -> pa.Table:
-    """The documents of a block."""
+    """The documents of a block. What earlier blocks have freed goes back to the system first: workers live long."""
+    pa.default_memory_pool().release_unused()
     return pa.concat_tables([pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in dealt.column("rows_")])
 
 
@@ -96,14 +99,15 @@ def ask(blocked: DataFrame, buckets: int, local: Callable, sent: list[str], merg
     `got` along the distinct keys, and two integers, whose sums over s0 and s1 hold for the whole corpus.
     """
     ensure_checkpoint_dir(blocked.sparkSession)
-    starts = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+    width = -(-(1 << 64) // buckets)
     ins, outs = [f"v{i}" for i in range(len(sent))], [f"a{i}" for i in range(len(got))]
 
     def send(dealt: pa.Table) -> pa.Table:
         keys, arrays = local(_rows(dealt))
-        ends = [*np.searchsorted(keys, starts), len(keys)]
+        bucket = keys // np.uint64(width) if buckets > 1 else np.zeros(len(keys), np.uint64)
+        first = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))  # only buckets that hold a key
         block = dealt.column("block_")[0].as_py()
-        out = [(block, b, _press_keys(keys[i:j]), *(_press(a[i:j].astype(t)) for a, t in zip(arrays, sent, strict=True))) for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
+        out = [(block, int(bucket[i]), _press_keys(keys[i:j]), *(_press(a[i:j].astype(t)) for a, t in zip(arrays, sent, strict=True))) for i, j in zip(first, [*first[1:], len(keys)], strict=True)]
         return _table(out, ["block_", "bucket", "keys", *ins], [pa.int32(), pa.int32(), *[pa.binary()] * (1 + len(ins))])
 
     def answer(rows: pa.Table) -> pa.Table:

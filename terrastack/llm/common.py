@@ -31,7 +31,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the shared folder of spark.checkpoint.dir; makes one only where none is set, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
