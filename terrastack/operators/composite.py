@@ -35,11 +35,6 @@ def monthly_dense(retrievals: DataFrame, pixels: DataFrame, months: list[tuple[i
     return found.withColumn("obs_count", F.coalesce("obs_count", F.lit(0).cast("long")))
 
 
-def epoch_millis(stamp: Column) -> Column:
-    """Milliseconds since 1970 of a time stamp without time zone, taken as UTC."""
-    return F.unix_micros(F.to_utc_timestamp(stamp.cast("timestamp"), "UTC")) / 1000
-
-
 def properties(year: Column, month: Column, state: Column, params: CompositeParams = CompositeParams()) -> dict[str, Column]:
     """The eleven properties of a composite."""
     start = F.make_date(year, month, F.lit(1))
