@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,8 +108,8 @@ class SubwordModel:
         if len(self.known) + len(fresh) > CACHED_WORDS:
             self.known.clear()
             fresh = list({w for p in parts for w in p})
-        for start in range(0, len(fresh), 20_000):
-            some = fresh[start : start + 20_000]
+        for start in range(0, len(fresh), 4_000):
+            some = fresh[start : start + 4_000]
             self.known.update(zip(some, self.word_logits(some).tolist(), strict=True))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         values = np.fromiter((self.known[w] for p in parts for w in p), np.float64, int(sizes.sum()))
@@ -207,7 +206,7 @@ def score_column(model: Broadcast, text: Column) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = batch.tolist()
-            yield pd.Series(np.concatenate([np.empty(0), *(model.value.score(texts[i : i + 1024]) for i in range(0, len(texts), 1024))]))
+            yield pd.Series(np.concatenate([np.empty(0), *(model.value.score(texts[i : i + 128]) for i in range(0, len(texts), 128))]))
 
     return score(text)
 
