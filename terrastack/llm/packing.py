@@ -6,7 +6,6 @@ Sequences are numbered bucket by bucket, longest first, from per-block counts: n
 
 from __future__ import annotations
 
-import base64
 import json
 from collections.abc import Iterator
 from functools import lru_cache
