@@ -47,6 +47,7 @@ class PieceCodec:
             if set(self.pieces[i]) != {MARK} or len(self.pieces[i]) == 1:
                 self.trie.add_word(self.pieces[i], (len(self.pieces[i]), i))
         self.trie.make_automaton()
+        self.joined = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         self.letters = {p for p in self.id_of if len(p) == 1}
         self.shown = {i: self.pieces[i].replace(MARK, " ") for i in normal}
         self.digits = [str(i) for i in range(size)]
@@ -134,8 +135,28 @@ class PieceCodec:
             ids = [self.id_of[p] for p in run] + ids[alone:]
         return ids
 
+    def parts_of(self, word: str) -> list[str]:
+        """The word cut between characters that no piece holds side by side."""
+        joined, parts, start = self.joined, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in joined:
+                parts.append(word[start:i])
+                start = i
+        parts.append(word[start:])
+        return parts
+
     def known_word(self, word: str) -> tuple[str, int, str]:
-        """(ids as text, how many, decoded text) of a word, kept for the next time."""
+        """(ids as text, how many, decoded text) of a word, kept for the next time.
+
+        Where no piece holds two neighbouring characters, nothing merges across them: such a word is put together from its parts, which
+        are much fewer than the words they make.
+        """
+        if len(word) > 2 and not word[1:].isalpha() and len(parts := self.parts_of(word)) > 1:
+            known = [self.words.get(p) or self.known_word(p) for p in parts]
+            found = (" ".join([k[0] for k in known]), sum([k[1] for k in known]), "".join([k[2] for k in known]))
+            if len(word) <= 64:
+                self.words[word] = found
+            return found
         ids = self.encode_word(word)
         if len(self.words) >= CACHED_WORDS:
             self.words.clear()
