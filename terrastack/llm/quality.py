@@ -99,6 +99,11 @@ class NeighbourModel:
     labels: np.ndarray
     neighbours: int = NEIGHBOURS
 
+    @property
+    def taught(self) -> bool:
+        """Whether there were examples of both labels."""
+        return len(np.unique(self.labels)) == 2
+
     def project(self, counts: np.ndarray) -> np.ndarray:
         """Unit vectors of the texts; a text without any known feature is the zero vector."""
         flat = _unit(np.log1p(counts) * self.weight) @ self.projection
@@ -143,15 +148,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
     """(text, label): at most `most` labelled rows whose crc32(doc_id) mod `divisor` is not `left_out`, half of them of either label.
 
     Rows are taken in the order of a hash of their ids, so that a sample is the same each time; a label that has too few leaves its share unused.
+    Only labels of documents that are there (and have at most `max_chars` characters) count towards the share.
     A document that is repeated, or labelled twice, counts once: its smallest text, and its larger label.
     """
-    pick = labels.where(F.col(label).isin(0, 1) & (id_remainder(divisor) != left_out)).select("doc_id", F.col(label).cast("int").alias("label_"))
+    pick = labels.where(F.col(label).isin(0, 1) & (id_remainder(divisor) != left_out)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label_"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
-    halves = [pick.where(F.col("label_") == v).orderBy(*order).limit(most // 2) for v in (0, 1)]
-    chosen = halves[0].unionByName(halves[1])
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if max_chars is not None:
         texts = texts.where(F.char_length("text") <= max_chars)
+    pick = pick.join(texts.select("doc_id"), "doc_id", "left_semi")
+    halves = [pick.where(F.col("label_") == v).orderBy(*order).limit(most // 2) for v in (0, 1)]
+    chosen = halves[0].unionByName(halves[1])
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label_").alias("label_"))
 
 

@@ -93,6 +93,11 @@ class SubwordModel:
     def __getstate__(self) -> dict:
         return {"embeddings": self.embeddings, "linear": self.linear, "bias": self.bias, "known": {}}
 
+    @property
+    def taught(self) -> bool:
+        """Whether there were examples of both labels: without, all embeddings are zero."""
+        return bool(self.embeddings.any())
+
     def word_logits(self, words: list[str]) -> np.ndarray:
         """Difference of the two logits of each word by itself, without the bias: averages of these are windows' differences."""
         if not words:
