@@ -1,8 +1,8 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Counts of n-grams over all training texts become states and arcs. A state is a context h that training texts hold; its arc for a word
-carries log10 P(word | h), with P(word | h) = (c(h word) + mu P(word | h')) / (c(h) + mu), h' being h without its first word (Dirichlet smoothing:
-a proper distribution at every order). A word that never follows h takes the failure arc to h', which carries log10(mu / (c(h) + mu)). At
+carries log10 P(word | h), with P(word | h) = (c(h word) + mu P(word | h')) / (c(h) + mu), h' being h without its first word (Dirichlet smoothing with
+a mu for each length of h: a proper distribution at every order). A word that never follows h takes the failure arc to h', which carries log10(mu / (c(h) + mu)). At
 the root P(word) = (c(word) + 1) / (N + V + 1), for unknown words too. One left-to-right traversal of a text carries the state and
 adds up the arcs.
 
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from terrastack.llm import blocks
 from terrastack.llm.common import id_remainder
 
-#: Words in the longest n-gram (4 at most), and how many counts the next lower order weighs.
-ORDER = 2
-MU = 2000.0
+#: Words in the longest n-gram (4 at most), and how many counts the next lower order weighs at contexts of one word, two words and so on (the last holds for longer ones).
+ORDER = 3
+MU = (2000.0, 5.0)
 ROOT = -1
 #: Tokens that no word can be: words hold no space.
 START, END = b" start", b" end"
@@ -90,7 +90,9 @@ class BackoffAutomaton:
     arc[g] is its weight, goto[g] the state reached, fail[s] and fail_weight[s] the failure arc of state s; a state of one word fails to the root.
     """
 
-    def __init__(self, grams: BlockGrams, count_of: np.ndarray, total: int, distinct: int, order: int, mu: float):
+    def __init__(self, grams: BlockGrams, count_of: np.ndarray, total: int, distinct: int, order: int, mu: float | tuple[float, ...]):
+        by_length = np.array([mu] if isinstance(mu, (int, float)) else mu, np.float64)
+        by_length = by_length[np.minimum(np.arange(max(1, order)), len(by_length) - 1)]
         self.order, size = order, len(grams.keys)
         self.known = count_of > 0
         self.level = (grams.keys & _TAG).astype(np.int64) + 1
@@ -106,10 +108,11 @@ class BackoffAutomaton:
             context, shorter = grams.index[k - 2][place[found] - 1], grams.index[k - 2][place[found]]
             suffix[found] = shorter
             seen = count_of[context]
-            chance[found] = np.where(seen > 0, (count_of[found] + mu * chance[shorter]) / (seen + mu), chance[shorter])
+            chance[found] = np.where(seen > 0, (count_of[found] + by_length[k - 2] * chance[shorter]) / (seen + by_length[k - 2]), chance[shorter])
         self.arc = np.log10(chance)
         self.fail = np.where(suffix >= 0, suffix, ROOT)
-        self.fail_weight = np.log10(mu / (count_of + mu))
+        own = by_length[np.minimum(self.level, len(by_length)) - 1]  # a state's n-gram is the context
+        self.fail_weight = np.log10(own / (count_of + own))
         self.goto = np.where(self.level < order, np.arange(size), suffix)
         #: Where the root goes from each one-word key; unknown words keep it.
         self.root_state = np.where(self.known & single & (order > 1), np.arange(size), ROOT)
@@ -150,7 +153,7 @@ class BackoffAutomaton:
         return score
 
 
-def score_texts(docs: DataFrame, held_out: str, order: int = ORDER, mu: float = MU, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: str, order: int = ORDER, mu: float | tuple[float, ...] = MU, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learns from rows whose `held_out` is false.
 
     `docs` has doc_id, text and the boolean column `held_out` (null: true). Null and empty texts are one end token. If nothing trains, N and V are 0 and
@@ -193,6 +196,6 @@ def score_texts(docs: DataFrame, held_out: str, order: int = ORDER, mu: float =
     return blocks.with_answers(blocked, answers, ["<i8"], work, schema)
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, mu: float = MU) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, mu: float | tuple[float, ...] = MU) -> DataFrame:
     """Scores all of `docs`, holding out rows whose crc32(doc_id as text) mod 7 is 2."""
     return score_texts(docs.select("doc_id", "text", (id_remainder(7) == 2).alias("held_out")), "held_out", order, mu)

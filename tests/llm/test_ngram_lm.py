@@ -66,3 +66,16 @@ def test_empty_table_and_nothing_to_learn(spark):
     assert ngram_lm.score_texts(spark.createDataFrame([], schema), "h").collect() == []
     rows = ngram_lm.score_texts(spark.createDataFrame([(1, "a b", True), (None, None, None)], schema), "h").collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.score) for r in rows} == {(1, 3, 0, 0, 0.0), (None, 1, 0, 0, 0.0)}
+
+
+def test_registered_model_learns_trigrams(spark):
+    """Of two contexts that differ only in their first word, the shipped order tells what follows; each length has its own mu."""
+    rows = [(i, "a b c", False) for i in range(30)] + [(30 + i, "d b e", False) for i in range(30)] + [(60, "a b c", True), (61, "d b c", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
+    got = {r.doc_id: r.score for r in ngram_lm.score_texts(docs, "h").collect()}
+    assert got[60] - got[61] > 0.5
+    both = {r.doc_id: r.score for r in ngram_lm.score_texts(docs, "h", 3, (7.0, 2.0)).collect()}
+    single = lambda n: (n + 1) / (240 + 6 + 1)
+    two = lambda c, n, w: (c + 7 * single(w)) / (n + 7)
+    chances = [two(30, 60, 30), (30 + 2 * two(60 / 2, 30, 60)) / 32, (30 + 2 * two(30, 60, 30)) / 32, (30 + 2 * two(30, 30, 60)) / 32]
+    assert both[60] == pytest.approx(sum(map(math.log10, chances)), abs=1e-9)
