@@ -216,9 +216,6 @@ def grid_lonlat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metres.select("pixel_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), six(lon, "lon"), six(lat, "lat"))
 
 
-_FEW = ["red", "green", "nir", "swir1", "NDVI", "NDWI", "sun_zenith", "sun_azimuth"]
-
-
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows: the stand-in LAI as label."""
     sensor = view(spark, sf_dir, "scenes").select("scene_id", catalog.sensor_code(F.col("spacecraft_id")).alias("sensor"))
@@ -228,11 +225,13 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rf_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One forest on sensor LC08 and biome 5, and its values for that key's observations."""
-    rows = _samples(spark, sf_dir)
-    model = retrieval.train(rows, ("LC08", 5), ForestParams(trees=10, min_leaf=5), _FEW)
-    some = rows.where((F.col("sensor") == "LC08") & (F.col("biome") == 5)).drop("lai_real")
-    return retrieval.predict(model, some, features=_FEW).select("scene_id", "pixel_id", six("lai_real"), six("MCD_LAI"))
+    """Every clear observation with the value of the forest of its (sensor, biome): default forests on all ten features, lon and lat from the grid."""
+    rows = _samples(spark, sf_dir).drop("lai_real", "lon", "lat")
+    placed = view(spark, sf_dir, "pixels").select("pixel_id", (F.lit(-100.0) + F.col("grid_col") * 0.37).alias("lon"), (F.lit(30.0) + F.col("grid_row") * 0.61).alias("lat"))
+    rows = rows.join(placed, "pixel_id").cache()
+    keys = [(r.sensor, r.biome) for r in rows.where(F.col("MCD_LAI").isNotNull()).select("sensor", "biome").distinct().collect()]
+    models = {key: retrieval.train(rows, key, ForestParams()) for key in sorted(keys)}
+    return retrieval.retrieve(rows, models, nonveg=True).select("scene_id", "pixel_id", six("lai_real"), six("MCD_LAI"))
 
 
 @query("""SELECT scene_id, pixel_id, round(CASE biome WHEN 1 THEN lai_real WHEN 5 THEN lai_real + 1 WHEN 8 THEN CASE WHEN lai_real > 2 THEN lai_real END END, 6) AS chosen FROM {lai}""")
