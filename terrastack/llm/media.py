@@ -23,6 +23,8 @@ NONE, SUB, UP, AVERAGE, PAETH = 0, 1, 2, 3, 4
 
 UNIT = 64
 IDAT_BYTES = 1 << 15
+#: Rows whose Average or Paeth filter is undone together, and lengths up to which transforms are kept.
+DIAGONAL_ROWS, SHORT = 4096, 512
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -96,7 +98,7 @@ def decode_png(blob: bytes) -> np.ndarray:
 
 
 def unfilter(filters: np.ndarray, body: np.ndarray) -> np.ndarray:
-    """Undoes the row filters. Runs of one filter are undone together where rows allow it: Sub along rows, Up down columns."""
+    """Undoes the row filters, run by run of equal ones: Sub along rows, Up down columns, Average and Paeth along diagonals."""
     if filters.size and filters.max() > PAETH:
         raise ValueError("unknown row filter")
     out = np.empty_like(body)
@@ -114,43 +116,57 @@ def unfilter(filters: np.ndarray, body: np.ndarray) -> np.ndarray:
             np.cumsum(body[start:end], axis=0, dtype=np.uint8, out=out[start:end])
             out[start:end] += previous
         else:
-            for row in range(start, end):
-                out[row] = _undo_row(kind, body[row], out[row - 1] if row else previous)
+            for first in range(start, end, DIAGONAL_ROWS):
+                last = min(first + DIAGONAL_ROWS, end)
+                _undo_diagonals(kind, body[first:last], out[first - 1] if first else previous, out[first:last])
         previous = out[end - 1]
     return out
 
 
-def _undo_row(kind: int, row: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """Average and Paeth depend on the sample just undone, so they go sample by sample."""
-    out, left, corner = [], 0, 0
-    for value, up in zip(row.tolist(), above.tolist(), strict=True):
-        if kind == AVERAGE:
-            guess = (left + up) >> 1
-        else:
-            p = left + up - corner
-            da, db, dc = abs(p - left), abs(p - up), abs(p - corner)
-            guess = left if da <= db and da <= dc else up if db <= dc else corner
-        left, corner = (value + guess) & 255, up
-        out.append(left)
-    return np.array(out, np.uint8)
-
-
-@lru_cache(maxsize=4096)
-def _low_cosines(length: int, grid: int = 32, low: int = 8) -> np.ndarray:
-    """(low, length): area means onto `grid` cells, then the first `low` cosine-transform rows after the constant one."""
-    edges = np.linspace(0, length, grid + 1)
-    cells = np.arange(length)
-    cover = np.clip(np.minimum(edges[1:, None], cells + 1) - np.maximum(edges[:-1, None], cells), 0, None)
-    cover /= cover.sum(1, keepdims=True)
+def _undo_diagonals(kind: int, body: np.ndarray, above: np.ndarray, out: np.ndarray) -> None:
+    """Average and Paeth need the samples to the left, above and between: all samples of one diagonal are undone together."""
+    rows, width = body.shape
+    done = np.zeros((rows + 1, width + 1), np.uint8)  # a row above and a column of zeros to the left
+    done[0, 1:] = above
+    for diagonal in range(rows + width - 1):
+        r = np.arange(max(0, diagonal - width + 1), min(rows, diagonal + 1))
+        c = diagonal - r
+        left, up = done[r + 1, c], done[r, c + 1]
+        guess = ((left.astype(np.uint16) + up) >> 1).astype(np.uint8) if kind == AVERAGE else _paeth(left, up, done[r, c])
+        done[r + 1, c + 1] = body[r, c] + guess
+    out[:] = done[1:, 1:]
+
+
+def area_means(image: np.ndarray, cells: int = 32) -> np.ndarray:
+    """(cells, width): means over equal parts of the rows, which may end inside a row. Needs little more memory than its result."""
+    rows = len(image)
+    edges = np.linspace(0, rows, cells + 1)
+    whole = np.minimum(edges.astype(np.int64), rows - 1)
+    before = np.cumsum([image[a:b].sum(0, dtype=np.float64) for a, b in zip([0, *whole[:-1]], whole, strict=True)], axis=0)
+    total = before + (edges - whole)[:, None] * image[whole]
+    return np.diff(total, axis=0) * (cells / rows)
+
+
+def _cosines(grid: int = 32, low: int = 8) -> np.ndarray:
+    """(low, grid): the first `low` cosine-transform rows after the constant one."""
     k, x = np.arange(1, low + 1)[:, None], np.arange(grid)[None, :]
-    return np.cos(np.pi * k * (2 * x + 1) / (2 * grid)) @ cover
+    return np.cos(np.pi * k * (2 * x + 1) / (2 * grid))
+
+
+@lru_cache(maxsize=None)
+def _short_transform(length: int) -> np.ndarray:
+    """(8, length): area means and cosine rows in one matrix, for lengths up to SHORT alone: all of them together take 8 MB."""
+    return _cosines() @ area_means(np.eye(length))
+
+
+def low_frequencies(samples: np.ndarray) -> np.ndarray:
+    """(8, width): the lowest non-constant cosine coefficients of 32 area means over the rows."""
+    return _short_transform(len(samples)) @ samples if len(samples) <= SHORT else _cosines() @ area_means(samples)
 
 
 def cosine_hash(image: np.ndarray) -> bytes:
     """64 bits: which of the 8 x 8 lowest non-constant cosine coefficients of the 32 x 32 thumbnail exceed their median."""
-    rows, width = image.shape
-    low = _low_cosines(rows) @ (image.astype(np.float64) @ _low_cosines(width).T)
-    flat = np.round(low.ravel(), 6)
+    flat = np.round(low_frequencies(low_frequencies(image).T).T.ravel(), 6)
     return np.packbits(flat > np.median(flat)).tobytes()
 
 
@@ -164,7 +180,9 @@ def to_image(text: str, width: int = UNIT) -> tuple[np.ndarray, int]:
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text of `docs` (doc_id, text) as a PNG in a binary column.
 
-    Null and empty texts become one row of 64 zero samples; equal texts give equal images; rows are never merged. Empty tables give no rows.
+    Null and empty texts become one row of 64 zero samples; texts of any length are stored whole; equal texts give equal images (there are no ties to
+    break); repeated rows, and rows with a null doc_id, stay rows of their own; empty tables give no rows. Other columns, whatever their
+    names, are left out.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +199,8 @@ def store_media(docs: DataFrame) -> DataFrame:
 def media_features(media: DataFrame) -> DataFrame:
     """Reads the stored images back (checksum tests included) and describes them: lengths, digests, cosine hash.
 
-    `hash` is binary (8 bytes) and `feature` its hexadecimal form. A damaged image raises an error: nothing is skipped silently.
+    `hash` is binary (8 bytes) and `feature` its hexadecimal form. A damaged (or null) image raises an error: nothing is skipped silently. Rows go
+    through one by one, so what store_media says of nulls, lengths, repeated rows, empty tables and other columns holds here.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "hash"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]

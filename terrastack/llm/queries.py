@@ -17,8 +17,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as a PNG, read back, checked and described."""
-    return media.media_features(media.store_media(documents(spark, sf_dir))).drop("hash")
+    """Every text stored as a PNG, read back, checked and described; the cosine hash is a binary column."""
+    return media.media_features(media.store_media(documents(spark, sf_dir)))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
