@@ -12,12 +12,10 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 import sentencepiece
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 MARK = "▁"
@@ -214,23 +212,32 @@ def _split(text: str) -> list[str]:
     return _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-@lru_cache(maxsize=2)
-def _codec(name: str) -> PieceCodec:
-    return PieceCodec(SparkFiles.get(name))
+#: Codecs of this worker by the digest of their model: at most two at a time.
+_CODECS: dict[str, PieceCodec] = {}
+
+
+def _codec(model: bytes) -> PieceCodec:
+    name = hashlib.sha256(model).hexdigest()
+    if name not in _CODECS:
+        if len(_CODECS) > 1:
+            _CODECS.clear()
+        _CODECS[name] = PieceCodec(model)
+    return _CODECS[name]
 
 
 def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the decoded text of every row's whole text; an end id is added to each.
 
-    Null and empty texts give the end id alone and decode to the empty text. Repeated rows give repeated results, empty tables none.
-    Texts are split into words of any length; a text without spaces is one word and costs time in proportion to its length.
-    `model` is a path on the driver; Spark ships the file to the executors.
+    Null and empty texts give the end id alone and decode to the empty text. Repeated rows give repeated results, rows with a null doc_id theirs, empty
+    tables none; equal texts give equal ids (of equal scores the leftmost pair merges first). Other columns, whatever their names, are left out. Texts are
+    split into words of any length; a text without spaces is one word and costs time in proportion to its length.
+    `model` is a path on the driver; the file, which no table makes longer, is broadcast.
     """
-    docs.sparkSession.sparkContext.addFile(model)
-    name = model.rsplit("/", 1)[-1]
+    with open(model, "rb") as file:
+        shipped = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name)
+        codec = _codec(shipped.value)
         end = codec.end
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
