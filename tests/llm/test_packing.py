@@ -16,12 +16,34 @@ def library():
     return Tokenizer.from_file(JSON)
 
 
-def test_ids_equal_the_tokenizers_library(library):
+@pytest.fixture(scope="module")
+def codec():
+    with open(JSON, "rb") as file:
+        return packing.load_codec(file.read(), PATTERN)
+
+
+def test_ids_equal_the_tokenizers_library(library, codec):
     rng = random.Random(2)
     letters = "aé ß\n\t'stThe0123.,!<|endoftext|>☃𝒳\x00  "
     texts = ["", " ", "<|endoftext|>", "a<|endoftext|>b", "don't  stop\n\n x "] + ["".join(rng.choices(letters, k=rng.randint(1, 80))) for _ in range(500)]
     for text in texts:
-        assert packing.encode(JSON, PATTERN, text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+        assert codec.encode(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "x" + " \t" * 700_000 + "y", "word " * 300_000], ids=["spaces", "lines", "letter", "mixed", "words"])
+def test_very_long_runs_equal_the_library(library, codec, text):
+    assert codec.encode(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_two_levels_of_numbers(spark, monkeypatch):
+    """Blocks of several groups: numbers are gapless, bucket after bucket, and the same each time; rows equal in id and place are told apart by their content."""
+    monkeypatch.setattr(packing, "GROUPED", 3)
+    rows = [(d, s, n, d * 7 + s, 99) for d in range(200) for s, n in ((0, 2048), (2048, 64), (2112, 2))] + [(5, 0, 2048, 1, 7), (5, 0, 2048, 2, 7), (None, 0, 64, 3, 9)]
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    found = [sorted(tuple(r) for r in packing.number_sequences(p, 20).select("sequence_id", "length", "doc_id", "ids_crc32").collect()) for p in (pieces, pieces.repartition(7).orderBy("ids_crc32"))]
+    assert found[0] == found[1]
+    assert [r[0] for r in found[0]] == list(range(len(rows)))
+    assert [r[1] for r in found[0]] == sorted((r[2] for r in rows), reverse=True)
 
 
 @pytest.mark.parametrize("tokens", [1, 2, 3, 2047, 2048, 2049, 10_000])
