@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,17 +72,28 @@ def block_grid(spark: SparkSession, width: int, height: int, size: int = 512) ->
     return rows.withColumns({"rows": F.least(F.lit(size), F.lit(height) - F.col("row_off")), "cols": F.least(F.lit(size), F.lit(width) - F.col("col_off"))})
 
 
-def overview(raster: DataFrame, factor: int, value: str = "value") -> DataFrame:
+def overview(raster: DataFrame, factor: int, value: str = "value", scale: float = 1.0) -> DataFrame:
     """Means of `factor` x `factor` squares, empty cells left out: level, grid_row, grid_col, value."""
-    if factor < 2:
-        raise ValueError("factor must be at least 2")
-    key = lambda c: F.floor(F.col(c) / factor).cast("int").alias(c)
-    found = raster.groupBy(key("grid_row"), key("grid_col")).agg(F.avg(value).alias(value))
-    return found.select(F.lit(factor).alias("level"), "grid_row", "grid_col", value)
-
-
-def overview_pyramid(raster: DataFrame, factors: list[int], value: str = "value") -> DataFrame:
-    """All levels in one pass: each cell is sent to its square of every level, and partial means meet in one shuffle."""
-    squares = F.array(*[F.struct(F.lit(f).alias("level"), F.floor(F.col("grid_row") / f).cast("int").alias("grid_row"), F.floor(F.col("grid_col") / f).cast("int").alias("grid_col")) for f in factors])
-    spread = raster.select(F.col(value).alias("v_"), F.explode(squares).alias("s"))
-    return spread.groupBy("s.level", "s.grid_row", "s.grid_col").agg(F.avg("v_").alias(value))
+    return overview_pyramid(raster, [factor], value, scale)
+
+
+def overview_pyramid(raster: DataFrame, factors: list[int], value: str = "value", scale: float = 1.0) -> DataFrame:
+    """All levels: level, grid_row, grid_col, value (the mean of a square's cells times `scale`, empty cells left out).
+
+    A level is built from the sums and counts of the last one whose factor divides its own, so each shuffle is a fraction of the one before it. Sums of
+    integers are exact: pass raw integers and their scale where means must not depend on the order of additions.
+    """
+    if min(factors) < 2:
+        raise ValueError("factors must be at least 2")
+    built: dict[int, DataFrame] = {}
+    for factor in sorted(set(factors)):
+        below = next((f for f in reversed(built) if factor % f == 0), None)
+        step = factor // (below or 1)
+        key = [F.floor(F.col(c) / step).cast("int").alias(c) for c in ("grid_row", "grid_col")]
+        if below is None:
+            sums = F.sum(value).alias("sum_"), F.count(value).alias("count_")
+            built[factor] = raster.groupBy(*key).agg(*sums)
+        else:
+            built[factor] = built[below].groupBy(*key).agg(F.sum("sum_").alias("sum_"), F.sum("count_").alias("count_"))
+    mean = F.col("sum_").cast("double") / F.col("count_") * F.lit(scale)
+    return reduce(DataFrame.unionByName, [found.select(F.lit(f).alias("level"), "grid_row", "grid_col", mean.alias(value)) for f, found in built.items()])

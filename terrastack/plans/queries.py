@@ -386,11 +386,13 @@ def warp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.warp_nearest(source, GRID, grid.cells(spark, COARSE), COARSE).select("grid_row", "grid_col", six("value"))
 
 
-@query("""SELECT CAST(f AS INT) AS level, CAST(floor(grid_row / f) AS INT) AS grid_row, CAST(floor(grid_col / f) AS INT) AS grid_col, round(avg(value), 6) AS value
- FROM {mosaic} CROSS JOIN (VALUES (2), (4), (8), (16), (32)) AS t(f) GROUP BY ALL""")
+@query("""WITH last AS (SELECT grid_row, grid_col, arg_max(raw, tile_ordinal) AS raw FROM {ordered_tiles} WHERE raw <> 0 GROUP BY ALL)
+ SELECT CAST(f AS INT) AS level, CAST(floor(grid_row / f) AS INT) AS grid_row, CAST(floor(grid_col / f) AS INT) AS grid_col, round(CAST(sum(raw) AS DOUBLE) / count(*) * 0.01e0, 6) AS value
+ FROM last CROSS JOIN (VALUES (2), (4), (8), (16), (32)) AS t(f) GROUP BY ALL""")
 def overview_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = mosaic.merge(ordered_tiles(spark, sf_dir), MosaicParams(nodata=0))
-    return grid.overview_pyramid(source, [2, 4, 8, 16, 32]).select("level", "grid_row", "grid_col", six("value"))
+    """Means of whole raw values, scaled once: sums of scaled doubles would depend on their order."""
+    source = mosaic.merge(ordered_tiles(spark, sf_dir), MosaicParams(nodata=0, scale=None))
+    return grid.overview_pyramid(source, [2, 4, 8, 16, 32], scale=0.01).select("level", "grid_row", "grid_col", six("value"))
 
 
 @query("SELECT p.grid_row, p.grid_col, round(CAST(CAST(m.value AS FLOAT) AS DOUBLE), 4) AS value FROM {pixels} p LEFT JOIN {mosaic} m ON p.grid_row = m.grid_row AND p.grid_col = m.grid_col")

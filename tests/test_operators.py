@@ -198,6 +198,18 @@ def test_warp_and_overview(spark):
     means = {(r.grid_row, r.grid_col): r.value for r in grid.overview(raster, 2).collect()}
     assert means == {(0, 0): 5.5, (0, 1): 7.5, (1, 0): 25.5, (1, 1): 27.5}
     assert grid.overview_pyramid(raster, [2, 4]).count() == 5
+    whole = spark.createDataFrame([(r, c, (r * 37 + c * 11) % 800 if (r + c) % 5 else None) for r in range(33) for c in range(47)], "grid_row int, grid_col int, value long")
+    for parts in (1, 4, 8):
+        got = {(r.level, r.grid_row, r.grid_col): r.value for r in grid.overview_pyramid(whole.repartition(parts), [2, 4, 6, 8, 32], scale=0.01).collect()}
+        want = {}
+        for f in (2, 4, 6, 8, 32):
+            squares = {}
+            for r, c, v in whole.collect():
+                squares.setdefault((f, r // f, c // f), []).extend([] if v is None else [v])
+            want |= {k: sum(v) / len(v) * 0.01 if v else None for k, v in squares.items()}
+        assert got == want
+    with pytest.raises(ValueError):
+        grid.overview_pyramid(whole, [1, 2])
     clipped = grid.block_grid(spark, 1000, 600).where("block_row = 1 and block_col = 1").first()
     assert (clipped.rows, clipped.cols) == (88, 488)
 
