@@ -74,9 +74,9 @@ def _word_features(text: str) -> np.ndarray:
     return out
 
 
-def features(texts: list[str | None]) -> np.ndarray:
-    """(texts, FEATURES) counts of whole texts; a null text counts as empty."""
-    out = np.zeros((len(texts), FEATURES), np.float32)
+def features(texts: list[str | None], out: np.ndarray | None = None) -> np.ndarray:
+    """(texts, FEATURES) counts of whole texts, put into `out` if it is given; a null text counts as empty."""
+    out = np.zeros((len(texts), FEATURES), np.float32) if out is None else out
     for i, text in enumerate(texts):
         text = text or ""
         out[i, RAW + SHAPE :] = _word_features(text)
@@ -110,16 +110,24 @@ class NeighbourModel:
         return _unit(flat)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Share of the nearest neighbours' similarity that is of label 1; 0.5 without labelled rows."""
-        if not len(self.labels):
+        """Share of the nearest neighbours' similarity that is of label 1; 0.5 without labelled rows.
+
+        A text scores the same in any company: blocks are filled up with empty rows to one size, so that all products are taken alike, cosines are rounded to
+        six places, and of equal ones the labelled row that comes first counts.
+        """
+        many = len(self.labels)
+        if not many:
             return np.full(len(texts), 0.5)
-        nearest = min(self.neighbours, len(self.labels))
+        nearest = min(self.neighbours, many)
         scores = np.empty(len(texts))
         for start in range(0, len(texts), BATCH_TEXTS):
-            cosines = self.project(features(texts[start : start + BATCH_TEXTS])) @ self.vectors.T
-            best = np.argpartition(-cosines, nearest - 1, axis=1)[:, :nearest]
-            weight = np.maximum(np.take_along_axis(cosines, best, 1).astype(np.float64), 0) ** 8 + 1e-12
-            scores[start : start + BATCH_TEXTS] = (weight * self.labels[best]).sum(1) / weight.sum(1)
+            own = texts[start : start + BATCH_TEXTS]
+            counts = np.zeros((BATCH_TEXTS, FEATURES), np.float32)
+            features(own, counts)
+            cosines = np.rint((self.project(counts) @ self.vectors.T)[: len(own)] * 1e6).astype(np.int64)
+            best = np.sort(np.argpartition(np.arange(many) - cosines * many, nearest - 1, axis=1)[:, :nearest], axis=1)
+            weight = np.maximum(np.take_along_axis(cosines, best, 1) / 1e6, 0) ** 8 + 1e-12
+            scores[start : start + len(own)] = (weight * self.labels[best]).sum(1) / weight.sum(1)
         return np.clip(scores, 0.0, 1.0)
 
 
@@ -144,18 +152,16 @@ def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, ne
     return NeighbourModel(weight, projection, _unit(matrix @ projection), labels.astype(np.float64), neighbours)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int, most: int, max_chars: int | None = None) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int, most: int) -> DataFrame:
     """(text, label): at most `most` labelled rows whose crc32(doc_id) mod `divisor` is not `left_out`, half of them of either label.
 
     Rows are taken in the order of a hash of their ids, so that a sample is the same each time; a label that has too few leaves its share unused.
-    Only labels of documents that are there (and have at most `max_chars` characters) count towards the share.
+    Only labels of documents that are there count towards the share; texts of any length do.
     A document that is repeated, or labelled twice, counts once: its smallest text, and its larger label.
     """
     pick = labels.where(F.col(label).isin(0, 1) & (id_remainder(divisor) != left_out)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label_"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if max_chars is not None:
-        texts = texts.where(F.char_length("text") <= max_chars)
     pick = pick.join(texts.select("doc_id"), "doc_id", "left_semi")
     halves = [pick.where(F.col("label_") == v).orderBy(*order).limit(most // 2) for v in (0, 1)]
     chosen = halves[0].unionByName(halves[1])
@@ -208,7 +214,8 @@ def predictions(docs: DataFrame, score: Column, divisor: int, left_out: int) ->
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`; learns from rows whose crc32(doc_id) mod 3 is not 1.
 
-    Null and empty texts are scored like any other (by their lack of words); equal texts get equal scores. Labels other than 0 and 1, and labels
-    of unknown documents, are left out. Without any label every score is 0.5. Empty tables give no rows.
+    Null and empty texts are scored like any other (by their lack of words), texts of any length by all of their features; equal texts get equal scores.
+    Repeated rows, and rows with a null doc_id, are scored each. Labels other than 0 and 1, and labels of unknown documents, are left out. Without any
+    label every score is 0.5. Empty tables give no rows. Other columns, whatever their names, are left out.
     """
     return predictions(docs, score_column(fit_quality(docs, labels), F.col("text")), 3, 1)
