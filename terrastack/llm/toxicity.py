@@ -1,9 +1,9 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the mean of the embeddings of its letter n-grams (hashed) and of itself; a window of words is the mean of its words; a softmax over a linear map
-of that mean gives the window's chance of being toxic, and a text's score is that of its worst window, so that a few words in a long text
-count. Embeddings and map are trained jointly in numpy. A misspelt word that training never saw shares most of its n-grams with the word
-it stands for.
+A word is the mean of the embeddings of its letter n-grams (hashed) and of itself; a bag of words is the mean of its words; a softmax over a linear map
+of that mean gives the bag's chance of being toxic, and a text's score is that of the bag of its WORST words, so that a few words in a long text
+count and a single odd word of clean text does not. Embeddings and map are trained jointly in numpy. A misspelt word that training never
+saw shares most of its n-grams with the word it stands for.
 """
 
 from __future__ import annotations
@@ -13,17 +13,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrastack.llm.quality import labelled_sample, predictions
 
-#: Labelled rows that a model is fitted on at most, half of either label, and the characters of the longest of them.
-MAX_LABELLED, MAX_CHARS = 3000, 8_000
+#: Labelled rows that a model is fitted on at most, half of either label.
+MAX_LABELLED = 3000
 BUCKETS, DIMENSIONS = 1 << 16, 12
 SIZES = (3, 4, 5)
-WINDOW = 2
+#: Words (occurrences) of a text that its score is taken over.
+WORST = 3
 EPOCHS, WARM_UP, RATE = 50, 5, 0.05
 UNKNOWN, DECAY = 0.3, 1e-6
 CACHED_WORDS = 150_000
@@ -45,7 +47,8 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owners, hashes = [], []
     rolled = np.zeros(len(codes), np.uint64)
     for n in range(1, max(SIZES) + 1):
-        rolled[: len(codes) - n + 1] = rolled[: len(codes) - n + 1] * np.uint64(0x100000001B3) ^ codes[n - 1 :]
+        many = max(0, len(codes) - n + 1)  # few short words may have fewer letters in all than an n-gram
+        rolled[:many] = rolled[:many] * np.uint64(0x100000001B3) ^ codes[n - 1 :]
         if n in SIZES:
             whole = left >= n
             owners.append(owner[whole])
@@ -69,16 +72,14 @@ def subwords_in_parts(words: list[str], part: int = 20_000) -> tuple[np.ndarray,
     return np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([f + n for (_, f), n in zip(parts, before, strict=False)])
 
 
-def window_means(values: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(mean of `values` over each text's windows, first window of each text). Texts of fewer words than a window have one, an empty text none."""
+def worst_means(values: np.ndarray, sizes: np.ndarray, worst: int = WORST) -> np.ndarray:
+    """The mean of each text's `worst` largest values (of all, if it has fewer); 0 for a text without words."""
     ends = np.cumsum(sizes)
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    widths = np.minimum(sizes, window)
-    many = np.where(sizes > 0, sizes - widths + 1, 0)
-    first = np.cumsum(many) - many
-    start = np.arange(many.sum()) - np.repeat(first, many) + np.repeat(ends - sizes, many)
-    width = np.repeat(widths, many)
-    return (total[start + width] - total[start]) / np.maximum(width, 1), first
+    out = np.zeros(len(sizes))
+    for i in np.flatnonzero(sizes):
+        own = values[ends[i] - sizes[i] : ends[i]]
+        out[i] = (np.partition(own, len(own) - worst)[-worst:] if len(own) > worst else own).mean()
+    return out
 
 
 @dataclass
@@ -99,7 +100,7 @@ class SubwordModel:
         return bool(self.embeddings.any())
 
     def word_logits(self, words: list[str]) -> np.ndarray:
-        """Difference of the two logits of each word by itself, without the bias: averages of these are windows' differences."""
+        """Difference of the two logits of each word by itself, without the bias: averages of these are bags' differences."""
         if not words:
             return np.empty(0)
         buckets, first = subwords(words)
@@ -107,7 +108,7 @@ class SubwordModel:
         return np.add.reduceat(each, first) / np.diff([*first, len(buckets)])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Softmax chance of label 1 of each text's worst window; a text without words has the bias alone."""
+        """Softmax chance of label 1 of the bag of each text's worst words; a text without words has the bias alone."""
         parts = [words_of(t) for t in texts]
         fresh = list({w for p in parts for w in p if w not in self.known})
         if len(self.known) + len(fresh) > CACHED_WORDS:
@@ -118,71 +119,76 @@ class SubwordModel:
             self.known.update(zip(some, self.word_logits(some).tolist(), strict=True))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         values = np.fromiter((self.known[w] for p in parts for w in p), np.float64, int(sizes.sum()))
-        means, first = window_means(values, sizes)
-        worst = np.zeros(len(parts))
-        some = sizes > 0
-        if some.any():
-            worst[some] = np.maximum.reduceat(means, first[some])
+        worst = worst_means(values, sizes)
         return 1 / (1 + np.exp(-np.clip(worst + (self.bias[1] - self.bias[0]), -60, 60)))
 
 
+#: All that training needs of a text, whatever its length: its distinct words, and how often each occurs.
+Example = tuple[list[str], np.ndarray]
+
+
+def example(text: str | None) -> Example:
+    numbers: dict[str, int] = {}
+    ids = [numbers.setdefault(w, len(numbers)) for w in words_of(text)]
+    return list(numbers), np.bincount(ids, minlength=len(numbers))
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> SubwordModel:
-    """Embeddings and softmax by Adam on whole batches: first on the means of whole texts, then on each text's worst window.
+    """As train_examples, from texts."""
+    return train_examples([example(t) for t in texts], labels, epochs, seed)
+
+
+def train_examples(examples: list[Example], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> SubwordModel:
+    """Embeddings and softmax by Adam on whole batches: first on the means of whole texts, then on each text's worst words.
 
-    Both labels weigh the same. One more example, of label 0 and weight UNKNOWN, is a window of n-grams that training never saw: their embeddings
+    Both labels weigh the same. One more example, of label 0 and weight UNKNOWN, is a bag of n-grams that training never saw: their embeddings
     stay zero. Without examples of both labels, every score is 0.5.
     """
     rng = np.random.default_rng(seed)
     embeddings = np.zeros((BUCKETS, DIMENSIONS), np.float32)
     linear = (rng.standard_normal((DIMENSIONS, 2)) * 0.3).astype(np.float32)
     bias = np.zeros(2)
-    numbers: dict[str, int] = {}
-    ids = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], np.int32) for t in texts]
-    kept = [i for i, own in enumerate(ids) if len(own)]
-    ids, labels = [ids[i] for i in kept], np.asarray(labels, np.int64)[kept]
+    labels = np.asarray(labels, np.int64)[[i for i, e in enumerate(examples) if e[0]]]
+    examples = [e for e in examples if e[0]]
     if len(set(labels.tolist())) < 2:
         return SubwordModel(embeddings, linear, bias)
-    sizes = np.array([len(i) for i in ids])
-    tokens = np.concatenate(ids)
-    token_first = np.cumsum(sizes) - sizes
+    numbers: dict[str, int] = {}
+    ids = [np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32) for words, _ in examples]
+    bag, bag_owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    count = np.concatenate([own for _, own in examples])
+    start = np.searchsorted(bag_owner, np.arange(len(ids)))
+    size = np.add.reduceat(count, start)
     buckets, first = subwords_in_parts(list(numbers))
     many = np.diff([*first, len(buckets)])
     share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
     state = [np.zeros_like(x) for x in (embeddings, embeddings, linear, linear, bias, bias)]
-    widths = np.minimum(sizes, WINDOW)
     for epoch in range(1, epochs + 1):
         if epoch <= WARM_UP:
-            chosen, owner = tokens, np.repeat(np.arange(len(sizes)), sizes)
-            width = sizes
+            chosen, owner, weight = bag, bag_owner, count / size[bag_owner]
         else:
             each = (embeddings @ (linear[:, 1] - linear[:, 0])).astype(np.float64)[buckets]
             word = np.add.reduceat(each, first) / many
-            means, start = window_means(word[tokens], sizes)
-            top = np.maximum.reduceat(means, start)
-            hit = np.flatnonzero(means == np.repeat(top, np.diff([*start, len(means)])))
-            row = np.searchsorted(start, hit, side="right") - 1
-            _, once = np.unique(row, return_index=True)
-            begin = token_first + hit[once] - start
-            owner = np.repeat(np.arange(len(sizes)), widths)
-            step = np.arange(len(owner)) - np.repeat(np.cumsum(widths) - widths, widths)
-            chosen, width = tokens[np.repeat(begin, widths) + step], widths
-        # word vectors of the chosen words only, then means over each text's (or window's) words
+            order = np.lexsort((-word[bag], bag_owner))  # each text's words, the worst first
+            before = np.cumsum(count[order]) - count[order]
+            taken = np.clip(WORST - (before - before[start][bag_owner]), 0, count[order])
+            kept = taken > 0
+            chosen, owner = bag[order][kept], bag_owner[kept]
+            weight = taken[kept] / np.minimum(WORST, size[owner])
+        # word vectors of the chosen words only, then their weighted sums over each text (or its worst words)
         used, which = np.unique(chosen, return_inverse=True)
         span = many[used]
         flat = buckets if len(used) == len(many) else buckets[np.repeat(first[used], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)]
         begins = np.cumsum(span) - span
         vectors = np.stack([np.add.reduceat(embeddings[:, d][flat], begins) for d in range(DIMENSIONS)], 1) / span[:, None]  # a dimension at a time: the whole would be large
-        hidden = np.zeros((len(sizes), DIMENSIONS))
-        for d in range(DIMENSIONS):
-            hidden[:, d] = np.bincount(owner, weights=vectors[which, d], minlength=len(sizes)) / width
+        hidden = np.stack([np.bincount(owner, weights=vectors[which, d] * weight, minlength=len(labels)) for d in range(DIMENSIONS)], 1)
         logits = hidden @ linear + bias
         chance = np.exp(logits - logits.max(1, keepdims=True))
         chance /= chance.sum(1, keepdims=True)
         error = chance.copy()
         error[np.arange(len(labels)), labels] -= 1
         error *= share[:, None]
-        back = error @ linear.T / width[:, None]
-        by_word = np.stack([np.bincount(which, weights=back[owner, d], minlength=len(used)) for d in range(DIMENSIONS)], 1) / span[:, None]
+        back = error @ linear.T
+        by_word = np.stack([np.bincount(which, weights=back[owner, d] * weight, minlength=len(used)) for d in range(DIMENSIONS)], 1) / span[:, None]
         slope = np.stack([np.bincount(flat, weights=np.repeat(by_word[:, d], span), minlength=BUCKETS) for d in range(DIMENSIONS)], 1)
         slope += DECAY * embeddings
         unseen = np.exp(bias - np.logaddexp(*bias)) - [1, 0]
@@ -197,11 +203,27 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return SubwordModel(embeddings, linear, bias)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, divisor: int = 5, left_out: int = 0, most: int = MAX_LABELLED, max_chars: int = MAX_CHARS) -> Broadcast:
-    """The model learned from `labels.toxic` of at most `most` rows of at most `max_chars` characters that are not left out, broadcast."""
-    table = labelled_sample(docs, labels, "toxic", divisor, left_out, most, max_chars).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    model = train(table.column("text").to_pylist(), table.column("label_").to_numpy().astype(np.int64))
-    return docs.sparkSession.sparkContext.broadcast(model)
+def sample_examples(sample: DataFrame) -> tuple[list[Example], np.ndarray]:
+    """The sample's Examples, made on the executors, and labels: of a text only its distinct words and their counts reach the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part = batch.slice(row, 1)
+                words, count = example(part.column(1)[0].as_py())
+                packed = pa.array([words], pa.list_(pa.string())), pa.array([count.astype("<i4").tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *packed], names=["doc_id", "label_", "words", "count"])
+
+    table = sample.mapInArrow(work, "doc_id long, label_ int, words array<string>, count binary").toArrow()
+    table = table.sort_by([("doc_id", "ascending"), ("label_", "ascending")])
+    found = [(w, np.frombuffer(c, "<i4").astype(np.int64)) for w, c in zip(table.column("words").to_pylist(), table.column("count").to_pylist(), strict=True)]
+    return found, table.column("label_").to_numpy().astype(np.int64)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, divisor: int = 5, left_out: int = 0, most: int = MAX_LABELLED) -> Broadcast:
+    """The model learned from `labels.toxic` of at most `most` rows, of any length, that are not left out, broadcast."""
+    examples, wanted = sample_examples(labelled_sample(docs, labels, "toxic", divisor, left_out, most))
+    return docs.sparkSession.sparkContext.broadcast(train_examples(examples, wanted))
 
 
 def score_column(model: Broadcast, text: Column) -> Column:
@@ -219,7 +241,8 @@ def score_column(model: Broadcast, text: Column) -> Column:
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`; learns from rows whose crc32(doc_id) mod 5 is not 0.
 
-    Null and empty texts have no words and score what the bias gives; equal texts get equal scores. Labels other than 0 and 1, and labels of
-    unknown documents, are left out. Without examples of both labels every score is 0.5. Empty tables give no rows.
+    Null and empty texts have no words and score what the bias gives; texts of any length are scored (and learned from) whole; equal texts get equal
+    scores. Repeated rows, and rows with a null doc_id, are scored each. Labels other than 0 and 1, and labels of unknown documents, are left out. Without
+    examples of both labels every score is 0.5. Empty tables give no rows. Other columns, whatever their names, are left out.
     """
     return predictions(docs, score_column(fit_toxicity(docs, labels), F.col("text")), 5, 0)

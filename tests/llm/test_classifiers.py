@@ -56,20 +56,91 @@ def test_subwords_are_the_words_ngrams():
     assert parts.tolist() == buckets.tolist() and starts.tolist() == first.tolist()
 
 
-def test_window_means_equal_brute_force():
+def test_worst_means_equal_brute_force():
     rng = np.random.default_rng(1)
     sizes = np.array([0, 1, 2, 5, 0, 9])
     values = rng.standard_normal(sizes.sum())
-    means, first = toxicity.window_means(values, sizes, 3)
-    at, expected = 0, []
-    for n in sizes:
-        own = values[at : at + n]
-        at += n
-        expected.append([own[i : i + 3].mean() for i in range(max(1, n - 2))] if n else [])
-    assert means == pytest.approx([m for e in expected for m in e])
-    assert first.tolist() == np.cumsum([0, *map(len, expected)])[:-1].tolist()
+    ends = np.cumsum(sizes)
+    want = [np.mean(sorted(values[e - n : e])[-3:]) if n else 0.0 for n, e in zip(sizes, ends, strict=True)]
+    assert toxicity.worst_means(values, sizes, 3) == pytest.approx(want)
 
 
-def test_score_is_the_worst_window():
+def test_score_is_that_of_the_worst_words():
     model = toxicity.train(["zzidiot here now", "nice words here now"] * 5, np.array([1, 0] * 5), 40)
     assert model.score(["nice words here now"])[0] < 0.5 < model.score(["nice words here now " * 200 + "zzidiot zzidiot"])[0]
+
+
+def brute_toxicity(model, text):
+    """The softmax over the mean of the embeddings, word by word and n-gram by n-gram."""
+    words, vectors = (text or "").lower().split(), []
+    for word in words:
+        buckets, _ = toxicity.subwords([word])
+        vectors.append(np.mean([model.embeddings[b].astype(np.float64) for b in buckets], axis=0))
+    vectors.sort(key=lambda v: -float(v @ (model.linear[:, 1] - model.linear[:, 0])))
+    mean = np.mean(vectors[: toxicity.WORST], axis=0) if vectors else np.zeros(toxicity.DIMENSIONS)
+    logits = mean @ model.linear.astype(np.float64) + model.bias
+    return float(np.exp(logits[1]) / np.exp(logits).sum())
+
+
+def test_scores_equal_brute_force():
+    rng = np.random.default_rng(4)
+    words = ["zzidiot", "zzstupid,", "nice", "plain", "Été", "x", "--"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(40)] + [None, "", "zzidiott"]
+    labels = np.array([int("zz" in (t or "")) for t in texts])
+    model = toxicity.train(texts, labels, 30)
+    assert model.taught
+    assert model.score(texts) == pytest.approx([brute_toxicity(model, t) for t in texts], abs=1e-6)
+    assert [float(model.score([t])[0]) for t in texts] == pytest.approx(model.score(texts).tolist(), abs=0)
+
+
+def test_training_follows_the_gradient(monkeypatch):
+    """One step of training from zero embeddings: each n-gram of a word moves against the numeric slope of the loss of the mean of whole texts."""
+    texts, labels = ["bad bad nice", "nice plain"], np.array([1, 0])
+    monkeypatch.setattr(toxicity, "DECAY", 0.0)
+    before = toxicity.train(texts, labels, 0)
+    after = toxicity.train(texts, labels, 1)
+
+    def loss(embeddings):
+        total = 0.0
+        for text, label in zip(texts, labels, strict=True):
+            hidden = np.mean([embeddings[toxicity.subwords([w])[0]].mean(0) for w in text.split()], axis=0)
+            logits = hidden @ before.linear.astype(np.float64) + before.bias
+            total -= 0.5 * (logits[label] - np.logaddexp(*logits))
+        return total
+
+    moved = after.embeddings.astype(np.float64) - before.embeddings
+    for bucket in toxicity.subwords(["bad"])[0][:3]:
+        for d in range(3):
+            up, down = before.embeddings.astype(np.float64), before.embeddings.astype(np.float64)
+            up[bucket, d] += 1e-4
+            down[bucket, d] -= 1e-4
+            slope = (loss(up) - loss(down)) / 2e-4
+            assert slope * moved[bucket, d] < 0
+            assert abs(moved[bucket, d]) == pytest.approx(toxicity.RATE, rel=1e-2)  # Adam's first step is RATE against the sign of the slope
+    assert not moved[np.setdiff1d(np.arange(toxicity.BUCKETS), toxicity.subwords("bad nice plain".split())[0])].any()
+
+
+def test_long_labelled_texts_teach(spark):
+    """Labelled texts of any length are learned from, and nothing else is needed to tell the others apart."""
+    filler = "calm words of a text without end " * 3000
+    rows = [(i, filler + ("zzidiot zzmoron zzidiot" if i % 2 else "nice"), None, None) for i in range(24)] + [(100, "a zzidiot and zzmoron", None, None), (101, "calm nice words", None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(24)], LABELS)
+    found = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert found == {i: i % 2 for i in range(24)} | {100: 1, 101: 0}
+
+
+def test_quality_scores_do_not_depend_on_company():
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdefgh !"), rng.integers(0, 300))) for _ in range(300)] + [None, ""]
+    model = quality.fit(quality.features(texts), rng.integers(0, 2, len(texts)))
+    together = model.score(texts)
+    assert [float(model.score([t])[0]) for t in texts[::4]] == together[::4].tolist()
+    assert model.score(texts[::-1]).tolist() == together[::-1].tolist()
+
+
+def test_equal_cosines_go_by_place():
+    texts = ["same text"] * 40 + ["other words!"] * 3
+    labels = np.array([1, 0] * 20 + [1] * 3)
+    model = quality.fit(quality.features(texts), labels, 8, 5)
+    assert model.score(["same text"])[0] == pytest.approx(3 / 5)
