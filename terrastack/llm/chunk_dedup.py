@@ -1,14 +1,17 @@
 """Substring deduplication by content-defined chunks.
 
-A gear rolling hash over the last 16 bytes is taken at the end of each word; where it is low the text is cut. Cuts depend on those bytes
-alone, so chunks after an insertion are the same as before it. Chunks are deduplicated by digest over the whole corpus: the first
-occurrence, in order of doc_id and place, owns the chunk. A run of repeated chunks in a document is a repeated passage if it
-is long enough and most of it comes from one owner; shorter repeats (stock phrases and lines) are left alone.
+A gear rolling hash over the last 16 bytes is taken at the end of each word (in long runs without white space, at each character); where it is low the
+text is cut. Cuts depend on those bytes and on white space near them alone, so chunks after an insertion are the same as before it. Chunks are deduplicated
+by digest over the whole corpus: the first occurrence, in order of doc_id and place, owns the chunk. A run of repeated chunks in a document is
+a repeated passage if it is long enough and its chunks follow each other in an owner too, or most of them come from one owner; shorter repeats (stock
+phrases and lines) are left alone. A passage begins and ends inside chunks: owners tell the REACH words on either side of their repeated chunks (as 16-bit
+hashes), and the passage grows over the words that are the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +21,16 @@ from pyspark.sql import functions as F
 from terrastack.llm import blocks
 
 WINDOW = 16
-#: One word end in CUT_WORDS is a cut.
-CUT_WORDS = 4
-#: A passage is removed if its repeated chunks have this many words, and its main owner this many of them.
+#: One word end in CUT_WORDS is a cut; in runs of LONG_RUN bytes without white space one character in CUT_CHARACTERS.
+CUT_WORDS, LONG_RUN, CUT_CHARACTERS = 4, 64, 12
+#: A passage is removed if its repeated chunks have this many words, and this many of them come from its main owner or follow each other in their owners.
 MIN_WORDS, MIN_OWNER_WORDS = 16, 12
+#: Bytes that count as a word in chunks where no word begins.
+UNIT_BYTES = 12
+#: Words that a passage can grow by at either end.
+REACH = 8
+#: White space between texts that are worked on together, as long as the hash's window, and their bytes.
+PAD, GROUP_BYTES = WINDOW, 400_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: UTF-8 bytes of text in a block: digests are mostly distinct, so larger blocks would save little.
@@ -30,71 +39,135 @@ BLOCK_BYTES = 6_000_000
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
-def cut_places(data: np.ndarray) -> np.ndarray:
-    """Ends of chunks of a text's bytes (the last one is its length): places after a word where the gear hash is low."""
-    if not len(data):
-        return np.zeros(0, np.int64)
-    gear = GEAR[data]
-    rolled, span = gear, 1
-    while span < WINDOW:  # the hash of 2n bytes from two of n bytes
-        longer = rolled.copy()
-        longer[span:] += rolled[:-span] << np.uint64(span)
-        rolled, span = longer, span * 2
-    space = _SPACE[data]
-    ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1  # a white-space byte after a word: the cut is before it
-    value = (rolled[ends - 1] >> np.uint64(1)) & np.uint64(0xFFFF)
-    cuts = ends[value < 0x10000 // CUT_WORDS]
-    return cuts if len(cuts) and cuts[-1] == len(data) else np.append(cuts, len(data))
+class _Group:
+    """Some texts of a block in one array of bytes, PAD white-space bytes after each, so that numpy works on many texts at a time."""
+
+    def __init__(self, texts: list[bytes], first: int):
+        pad = b" " * PAD
+        self.data = np.frombuffer(pad.join(texts) + pad, np.uint8)
+        sizes = np.array([len(t) for t in texts])
+        self.first, self.some = first, np.flatnonzero(sizes)
+        starts = np.cumsum(sizes + PAD) - sizes - PAD
+        #: Of the texts that are not empty: their rows, and where they begin and end.
+        self.row, self.start, self.end = first + self.some, starts[self.some], (starts + sizes)[self.some]
+        self.space = _SPACE[self.data]
+
+    def cuts(self) -> np.ndarray:
+        """Ends of chunks: places where the gear hash is low after a word, or in a long run at a character, and the ends of texts."""
+        rolled = GEAR[self.data]
+        for at in range(PAD):
+            rolled[self.end + at] = 0  # a text's hashes do not hold bytes of the one before it
+        span = 1
+        while span < WINDOW:  # the hash of 2n bytes from two of n bytes
+            longer = rolled.copy()
+            longer[span:] += rolled[:-span] << np.uint64(span)
+            rolled, span = longer, span * 2
+        ends = np.flatnonzero(self.space[1:] & ~self.space[:-1]) + 1  # a white-space byte after a word: the cut is before it
+        value = (rolled[ends - 1] >> np.uint64(1)) & np.uint64(0xFFFF)
+        parts = [ends[value < 0x10000 // CUT_WORDS], self.end]
+        if np.diff(np.flatnonzero(np.concatenate([[True], self.space, [True]]))).max() > LONG_RUN + 1:
+            spaces = np.cumsum(self.space)
+            at = np.arange(LONG_RUN, len(self.data))
+            inner = at[(spaces[at] == spaces[at - LONG_RUN]) & ~self.space[at - LONG_RUN] & (self.data[at] & 0xC0 != 0x80)]
+            low = (rolled[inner - 1] >> np.uint64(20)) & np.uint64(0xFFFF)
+            parts.append(inner[low < 0x10000 // CUT_CHARACTERS])
+        return np.unique(np.concatenate(parts))
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, end, 16-bit hash that is not 0) of each word."""
+        letter = np.concatenate([[False], ~self.space])
+        opens, closes = np.flatnonzero(letter[1:] & ~letter[:-1]), np.flatnonzero(~letter[1:] & letter[:-1])
+        if not len(opens):
+            return opens, closes, np.empty(0, np.uint16)
+        since = np.zeros(len(self.data), np.int64)
+        since[opens] = opens
+        place = np.minimum(np.arange(len(self.data)) - np.maximum.accumulate(since), np.diff([0, *closes]).max())
+        term = np.where(self.space, np.uint64(0), (GEAR[self.data] | np.uint64(1)) * _powers(int(place.max()) + 1)[place])
+        mixed = blocks.mix(np.add.reduceat(term, opens), (closes - opens).astype(np.uint64))
+        return opens, closes, np.maximum((mixed >> np.uint64(20)).astype(np.uint16), 1)
+
+
+def _together(texts: list[bytes]) -> list[tuple[int, int]]:
+    """(first, last) of runs of texts that make up GROUP_BYTES or so; a longer text ends a run."""
+    sizes = np.cumsum([len(t) + PAD for t in texts])
+    cuts = np.flatnonzero(np.diff(sizes // GROUP_BYTES)) + 1 if len(sizes) else []
+    return list(zip([0, *cuts], [*cuts, len(texts)], strict=True)) if texts else []
 
 
 class Chunks:
-    """The chunks of a block's texts in order: row, first and last byte, words, and the 64-bit digest of the trimmed bytes.
+    """The chunks of a block's texts in order: row, first and last byte, words, units of length, and the 64-bit digest of the trimmed bytes.
 
-    Digests are taken from the chunk's words joined by one space, so white space between words does not tell chunks apart.
+    Digests are taken from the chunk's words joined by one space, so white space between words does not tell chunks apart. Units are words, or bytes
+    where no word begins.
     """
 
     def __init__(self, texts: list[str | None]):
-        row, start, end, words, digest = [], [], [], [], []
-        for i, text in enumerate(texts):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            data = np.frombuffer(raw, np.uint8)
-            cuts = cut_places(data)
-            if not len(cuts):
-                continue
-            begins = np.concatenate([[0], cuts[:-1]])
-            count, keys = _digests(data, _SPACE[data], begins)
-            row.append(np.full(len(cuts), i))
-            start.append(begins)
-            end.append(cuts)
-            words.append(count)
-            digest.append(keys)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        self.row, self.start, self.end = join(row, np.int64), join(start, np.int64), join(end, np.int64)
-        self.words, self.digest = join(words, np.int64), join(digest, np.uint64)
-
-
-def _digests(data: np.ndarray, space: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        parts = [found for first, last in _together(self.texts) if (found := self._group_chunks(first, last)) is not None]
+        join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, kind)
+        self.row, self.start, self.end, self.words, self.units = (join(k, np.int64) for k in range(5))
+        self.digest = join(5, np.uint64)
+
+    def _group_chunks(self, first: int, last: int) -> tuple[np.ndarray, ...] | None:
+        group = _Group(self.texts[first:last], first)
+        if not len(group.some):
+            return None
+        cuts = group.cuts()
+        text = np.searchsorted(group.end, cuts)
+        begins = np.maximum(np.concatenate([[0], cuts[:-1]]), group.start[text])
+        ranges = np.stack([begins, cuts], 1).ravel()  # every other sum is that of a chunk
+        count, keys = _digests(group.data, group.space, begins, ranges)
+        units = np.where(count > 0, count, -(-np.add.reduceat((~group.space).astype(np.int64), ranges)[::2] // UNIT_BYTES))
+        return group.row[text], begins - group.start[text], cuts - group.start[text], count, units, keys
+
+    def around(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chunk in `some`: hashes of the REACH words before and after it, the nearest first, 0 beyond the text; and where those words begin or end.
+
+        Places are those a passage has that grows to the word: the end of the word before it (0 if there is none), and its own end.
+        """
+        hashes = np.zeros((len(some), 2, REACH), np.uint16)
+        places = np.zeros((len(some), 2, REACH), np.int64)
+        rows, which = np.unique(self.row[some], return_inverse=True)
+        for begin, stop in _together([self.texts[r] for r in rows]):
+            part = np.flatnonzero((which >= begin) & (which < stop))
+            group, own = _Group([self.texts[r] for r in rows[begin:stop]], 0), some[part]
+            opens, closes, hashed = group.words()
+            text = which[part] - begin
+            base = group.start[text]
+            low, high = np.searchsorted(opens, base), np.searchsorted(opens, group.end[text])
+            before, after = np.searchsorted(closes, base + self.start[own], side="right"), np.searchsorted(opens, base + self.end[own])
+            for k in range(REACH):
+                for side, at in ((0, before - 1 - k), (1, after + k)):
+                    there = np.flatnonzero((at >= low) & (at < high))
+                    word = at[there]
+                    hashes[part[there], side, k] = hashed[word]
+                    edge = closes[word] if side else np.where(word > low[there], closes[word - 1], base[there])
+                    places[part[there], side, k] = edge - base[there]
+        return hashes, places
+
+
+def _digests(data: np.ndarray, space: np.ndarray, begins: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, digest) of each chunk. White-space runs count as one separator; those at a chunk's ends do not count.
 
     The digest is a polynomial in the chunk's bytes modulo 2**64 by odd multipliers, finished by mixing.
     """
     after = np.zeros(len(data), bool)
     after[1:] = space[:-1]
-    opens = ~space & (after | (np.arange(len(data)) == 0))
+    opens = ~space & after
+    opens[0] = not space[0]
     kept = ~space | (space & ~after)  # each word's bytes, and the first byte of each white-space run
     value = GEAR[np.where(space, 32, data)] | np.uint64(1)
     kept_before = np.cumsum(kept) - kept
-    first_kept = kept_before[begins]
     lead = space[begins] & kept[begins]  # the separator that a chunk begins with
-    power = kept_before - np.repeat(first_kept, np.diff([*begins, len(data)]))
-    table = _powers(int(power.max()) + 1)
-    term = np.where(kept, value * table[power], np.uint64(0))
-    lead_at = begins[lead]
-    term[lead_at] = 0
-    total = np.add.reduceat(term, begins)
+    base = np.zeros(len(data), np.int64)
+    base[begins] = kept_before[begins]
+    power = kept_before - np.maximum.accumulate(base)
+    term = np.where(kept, value * _powers(int(power.max()) + 1)[power], np.uint64(0))
+    term[begins[lead]] = 0
+    total = np.add.reduceat(term, ranges)[::2]
     # a chunk that begins with its separator has all powers one higher: divide that out
     total = np.where(lead, total * _INVERSE, total)
-    count = np.add.reduceat(opens.astype(np.int64), begins)
+    count = np.add.reduceat(opens.astype(np.int64), ranges)[::2]
     return count, blocks.mix(total, count.astype(np.uint64))
 
 
@@ -116,76 +189,156 @@ def _powers(size: int) -> np.ndarray:
 _LAST = np.iinfo(np.int64).max
 
 
-def _order(rows: pa.Table) -> np.ndarray:
-    return rows.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy()
+def _ordered(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The rows by ascending doc_id, and their ids."""
+    ids = rows.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return rows.take(pa.array(order)), ids[order]
 
 
-def _local(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids = _order(rows)
-    by_id = np.argsort(ids, kind="stable")
-    texts = rows.column("text").to_pylist()
-    chunks = Chunks([texts[i] for i in by_id])
+def _known(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The digests of a block, and of each the first row and place that has it, and whether there are more."""
+    rows, ids = _ordered(rows)
+    chunks = Chunks(rows.column("text").to_pylist())
     keys, first, many = np.unique(chunks.digest, return_index=True, return_counts=True)
-    return keys, [ids[by_id][chunks.row[first]], chunks.start[first], np.minimum(many, 2)]
+    return keys, [ids[chunks.row[first]], chunks.start[first], np.minimum(many, 2)]
 
 
-def _merge(keys: np.ndarray, which: np.ndarray, arrays: list[np.ndarray]) -> tuple[list[np.ndarray], tuple[int, int]]:
+def _first(keys: np.ndarray, which: np.ndarray, arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """The first (doc_id, place) of each key, and 2 where there are more."""
     owner, start, many = arrays
     order = np.lexsort((start, owner, which))
     first = order[np.concatenate([[True], which[order][1:] != which[order][:-1]])] if len(order) else order
-    total = np.bincount(which, weights=many, minlength=len(keys))
-    repeated = total > 1
-    return [np.where(repeated, owner[first], -1), np.where(repeated, start[first], -1)], (int(repeated.sum()), len(keys))
-
-
-def passages(chunks: Chunks, ids: np.ndarray, owner: np.ndarray, begin: np.ndarray, min_words: int, min_owner_words: int) -> list[tuple[int, int, int, int, int]]:
-    """(row, first byte, last byte, words, owner) of each repeated passage; `owner` and `begin` go along the chunks' sorted distinct digests."""
-    if not len(chunks.row):
-        return []
-    _, at = np.unique(chunks.digest, return_inverse=True)
-    holds, place = owner[at], begin[at]
-    repeated = (place >= 0) & (chunks.words > 0) & ~((holds == ids[chunks.row]) & (place == chunks.start))
-    same = np.concatenate([[False], (chunks.row[1:] == chunks.row[:-1]) & repeated[1:] & repeated[:-1]])
-    run = np.cumsum(~same)
-    found = []
-    where = np.flatnonzero(repeated)
-    words = np.bincount(run[where], weights=chunks.words[where], minlength=run[-1] + 1)
-    for part in np.split(where, np.flatnonzero(np.diff(run[where])) + 1):
-        if not len(part) or words[run[part[0]]] < min_words:
-            continue
-        owners, index = np.unique(holds[part], return_inverse=True)
-        weight = np.bincount(index, weights=chunks.words[part])
-        if weight.max() < min_owner_words:
-            continue
-        found.append((int(chunks.row[part[0]]), int(chunks.start[part[0]]), int(chunks.end[part[-1]]), int(chunks.words[part].sum()), int(owners[weight.argmax()])))
-    return found
+    return [owner[first], start[first], np.minimum(np.bincount(which, weights=many, minlength=len(keys)), 2)]
+
+
+def _owners(keys: np.ndarray, which: np.ndarray, arrays: list[np.ndarray]) -> tuple[list[np.ndarray], tuple[int, int]]:
+    owner, start, many = _first(keys, which, arrays)
+    return [np.where(many > 1, owner, -1), np.where(many > 1, start, -1)], (0, 0)
+
+
+#: What owners tell of a chunk: whether this is an owner's entry (others ask), and the words around the chunk.
+_AROUND = np.dtype([("known", "u1"), ("words", "<u2", 2 * REACH)])
+
+
+def _told(keys: np.ndarray, which: np.ndarray, arrays: list[np.ndarray]) -> list[np.ndarray]:
+    out = np.zeros(len(keys), _AROUND)
+    owned = arrays[0]["known"] > 0
+    out[which[owned]] = arrays[0][owned]
+    return [out]
+
+
+@dataclass
+class Passage:
+    """A run of repeated chunks (first, last), its words, owner, and the first and last chunk in it that the owner has."""
+
+    first: int
+    last: int
+    owner: int
+    left: int
+    right: int
+
+
+class Repeats:
+    """The chunks of a block that earlier places have, and its repeated passages; `owner` and `begin` go along the chunks' sorted distinct digests."""
+
+    def __init__(self, chunks: Chunks, ids: np.ndarray, owner: np.ndarray, begin: np.ndarray, min_words: int, min_owner_words: int):
+        self.chunks = chunks
+        _, at = np.unique(chunks.digest, return_inverse=True)
+        self.holds, self.place = (owner[at], begin[at]) if len(at) else (np.empty(0, np.int64),) * 2
+        here = (self.holds == ids[chunks.row]) & (self.place == chunks.start)
+        #: Chunks that later places repeat.
+        self.owned = np.flatnonzero(here & (self.place >= 0))
+        self.repeated = (self.place >= 0) & (chunks.units > 0) & ~here
+        self.passages = list(self._passages(min_words, min_owner_words)) if self.repeated.any() else []
+
+    def _passages(self, min_words: int, min_owner_words: int):
+        chunks, where = self.chunks, np.flatnonzero(self.repeated)
+        follows = (np.diff(where) == 1) & (np.diff(chunks.row[where]) == 0)
+        # whether a chunk comes after the one before it in their owner too; white space may differ
+        step = np.diff(self.place[where]) - np.diff(chunks.start[where])
+        along = follows & (np.diff(self.holds[where]) == 0) & (abs(step) <= 2 * chunks.words[where][:-1] + 4)
+        inside = np.concatenate([[False], along]) | np.concatenate([along, [False]])
+        first = np.concatenate([[0], np.flatnonzero(~follows) + 1])
+        size = np.add.reduceat(chunks.units[where], first)
+        for begin, end in zip(first[size >= min_words], np.append(first[1:], len(where))[size >= min_words], strict=True):
+            part = np.arange(begin, end)
+            units = chunks.units[where[part]]
+            owners, index = np.unique(self.holds[where[part]], return_inverse=True)
+            weight = np.bincount(index, weights=units)
+            if max(weight.max(), units[inside[part]].sum()) < min_owner_words:
+                continue
+            main = np.flatnonzero(index == weight.argmax())
+            yield Passage(int(where[part[0]]), int(where[part[-1]]), int(owners[weight.argmax()]), int(where[part[main[0]]]), int(where[part[main[-1]]]))
+
+    def asked(self) -> np.ndarray:
+        """Digests whose surroundings in their owner the block needs, sorted."""
+        return np.unique(self.chunks.digest[[c for p in self.passages for c in (p.left, p.right)]]) if self.passages else np.empty(0, np.uint64)
+
+    def tells(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Sorted digests that the block asks for or owns, and what it tells of them."""
+        chunks = self.chunks
+        keys, first = np.unique(chunks.digest[self.owned], return_index=True)
+        every = np.union1d(keys, self.asked())
+        entries = np.zeros(len(every), _AROUND)
+        at = np.searchsorted(every, keys)
+        entries["words"][at] = chunks.around(self.owned[first])[0].reshape(len(keys), 2 * REACH)
+        entries["known"][at] = 1
+        return every, [entries]
+
+    def spans(self, told: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, first byte, last byte, words, owner) of each passage, grown by what the owners told (along tells()'s digests)."""
+        chunks, found = self.chunks, []
+        every = np.union1d(chunks.digest[self.owned], self.asked())
+        anchors = np.array([c for p in self.passages for c in (p.left, p.right)], np.int64)
+        hashes, places = chunks.around(anchors)
+        theirs = told["words"][np.searchsorted(every, chunks.digest[anchors])].reshape(-1, 2, REACH) if len(anchors) else hashes
+        same = np.cumprod((hashes == theirs) & (hashes > 0), axis=2).sum(2)
+        for i, p in enumerate(self.passages):
+            row = int(chunks.row[p.first])
+            start, end = int(chunks.start[p.first]), int(chunks.end[p.last])
+            if many := same[2 * i, 0]:
+                start = min(start, int(places[2 * i, 0, many - 1]))
+            if many := same[2 * i + 1, 1]:
+                end = max(end, int(places[2 * i + 1, 1, many - 1]))
+            if found and found[-1][0] == row and found[-1][2] > start:  # both grew over what lies between
+                start = found[-1][2]
+            found.append((row, start, end, len(chunks.texts[row][start:end].split()), p.owner))
+        return [f for f in found if f[1] < f[2]]
 
 
 def _spans(docs: DataFrame, found: Callable, schema: str, min_words: int, min_owner_words: int, block_bytes: int) -> DataFrame:
-    """found(rows of a block, their texts, their repeated passages) for each block of `docs`, which has doc_id and text."""
+    """found(rows of a block, their texts in UTF-8, their repeated passages) for each block of `docs`, which has doc_id and text."""
     blocked, many = blocks.deal(docs, block_bytes)
-    answers = blocks.ask(blocked, many, _local, ["<i8", "<i8", "u1"], _merge, ["<i8", "<i8"])
+    owners = blocks.Lookup(many, ["<i8", "<i8", "u1"], ["<i8", "<i8"], _owners, _first)
+    around = blocks.Lookup(many, [_AROUND], [_AROUND], lambda *entries: (_told(*entries), (0, 0)), _told)
+
+    def repeats(rows: pa.Table, owned: list[np.ndarray]) -> tuple[pa.Table, Repeats]:
+        rows, ids = _ordered(rows)
+        return rows, Repeats(Chunks(rows.column("text").to_pylist()), ids, *owned, min_words, min_owner_words)
 
-    def work(rows: pa.Table, merged: list[np.ndarray]) -> pa.Table:
-        texts = rows.column("text").to_pylist()
-        chunks = Chunks(texts)
-        return found(rows, texts, passages(chunks, _order(rows), *merged, min_words, min_owner_words))
+    def work(block: int, rows: pa.Table, answers: list[list[np.ndarray]]) -> pa.Table:
+        rows, own = repeats(rows, answers[0])
+        return found(rows, own.chunks.texts, own.spans(answers[1][0]))
 
-    return blocks.with_answers(blocked, answers, ["<i8", "<i8"], work, schema)
+    first = owners, owners.answers(blocks.first_questions(blocked, _known, owners))[0]
+    more = blocks.with_answers(blocked, [first], lambda block, rows, answers: around.ask(block, *repeats(rows, answers[0])[1].tells()), around.asked)
+    return blocks.with_answers(blocked, [first, (around, around.answers(more)[0])], work, schema)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_owner_words: int = MIN_OWNER_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, kept_doc_id, start_byte, n_bytes, n_words, passage: one row for each passage that an earlier document (or place) has.
 
-    kept_doc_id is the document that owns most of it: the one with the smallest doc_id, or the same document at an earlier place. Documents
-    without repeated passages give no row; nor do null and empty texts and empty tables. Rows that share doc_id and text have one place and
-    stay whole; rows with a null doc_id come after all others. White space between words does not matter.
+    kept_doc_id is the document that owns most of it: the one with the smallest doc_id, or the same document at an earlier place; of documents that own as
+    much of it, the smallest. Documents without repeated passages give no row; nor do null and empty texts and empty tables. Texts of any length are
+    searched whole. Rows that share doc_id and text have one place and stay whole; rows with a null doc_id come after all others. White space between
+    words does not matter. Other columns, whatever their names, are left out.
     """
 
-    def found(rows: pa.Table, texts: list[str | None], spans: list[tuple[int, int, int, int, int]]) -> pa.Table:
+    def found(rows: pa.Table, texts: list[bytes], spans: list[tuple[int, int, int, int, int]]) -> pa.Table:
         columns = list(zip(*spans, strict=True)) or [()] * 5
         row, start, end, words, owner = (np.array(c, np.int64) for c in columns)
-        raw = [texts[r].encode("utf-8", "surrogatepass")[s:e].decode("utf-8", "replace") for r, s, e, _, _ in spans]
+        raw = [texts[r][s:e].decode("utf-8", "replace") for r, s, e, _, _ in spans]
         kept = pa.array(owner, mask=owner == _LAST)
         return pa.table({"doc_id": rows.column("doc_id").take(row), "kept_doc_id": kept, "start_byte": start, "n_bytes": end - start, "n_words": words, "passage": pa.array(raw, pa.string())})
 
@@ -196,16 +349,21 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_owner_wor
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_owner_words: int = MIN_OWNER_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with every repeated passage cut out of `text`; all rows and columns stay, and n_chars, where it is there, is counted anew.
 
-    What repeated_passages says of nulls, empty texts and repeated rows holds. Other columns, whatever their names, are carried as they are.
+    What repeated_passages says of nulls, empty and long texts, ties, repeated rows and empty tables holds. Other columns, whatever their names, are carried as they are.
     """
     names = docs.columns
     plain = docs.select(*[F.col(f"`{n}`").alias({"doc_id": "doc_id", "text": "text"}.get(n, f"c{i}")) for i, n in enumerate(names)])
 
-    def found(rows: pa.Table, texts: list[str | None], spans: list[tuple[int, int, int, int, int]]) -> pa.Table:
-        for row, start, end, _, _ in sorted(spans, reverse=True):
-            raw = texts[row].encode("utf-8", "surrogatepass")
-            texts[row] = (raw[:start] + raw[end:]).decode("utf-8", "surrogatepass")
-        return rows.set_column(rows.column_names.index("text"), "text", pa.array(texts, pa.string()))
+    def found(rows: pa.Table, texts: list[bytes], spans: list[tuple[int, int, int, int, int]]) -> pa.Table:
+        kept = rows.column("text").to_pylist()
+        held: dict[int, list[bytes]] = {}
+        after: dict[int, int] = {}
+        for row, start, end, _, _ in spans:  # in order of place
+            held.setdefault(row, []).append(texts[row][after.get(row, 0) : start])
+            after[row] = end
+        for row, parts in held.items():
+            kept[row] = b"".join([*parts, texts[row][after[row] :]]).decode("utf-8", "surrogatepass")
+        return rows.set_column(rows.column_names.index("text"), "text", pa.array(kept, pa.string()))
 
     out = _spans(plain, found, plain.schema, min_words, min_owner_words, block_bytes)
     out = out.select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])

@@ -1,10 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from terrastack.llm import chunk_dedup
+from terrastack.llm import blocks, chunk_dedup
 
 SCHEMA = "doc_id long, text string, lang string, n_chars long, block_ string, c0 string"
 
@@ -98,3 +99,125 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert chunk_dedup.repeated_passages(docs).collect() == []
     assert chunk_dedup.without_repeats(docs).collect() == []
+
+
+def brute_spans(rows, min_words=16, min_owner=12):
+    """(doc_id, owner, first byte, last byte) of the passages, by plain dictionaries: chunks by the rule itself, words compared as words."""
+    texts = [t or "" for _, t in rows]
+    chunks = []
+    for (doc, _), parts in zip(rows, brute_digest_groups(texts), strict=True):
+        own, at, raw = [], 0, texts[len(chunks)].encode()
+        for part in parts:  # the chunk's place: up to the end of its last word, white space after it goes to the next one
+            end = at
+            for word in part.split():
+                end = raw.index(word, end) + len(word)
+            own.append((part, at, end if part else len(raw)))
+            at = end
+        chunks.append((doc, own))
+    first, count = {}, {}
+    for doc, own in sorted(chunks, key=lambda c: c[0]):
+        for part, start, _ in own:
+            first.setdefault(part, (doc, start))
+            count[part] = count.get(part, 0) + 1
+
+    def words_of(doc):
+        raw = dict(rows)[doc].encode()
+        return raw, [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+
+    def grow(doc, edge, owner_doc, owner_edge, side):
+        (raw, own), (other, theirs) = words_of(doc), words_of(owner_doc)
+        a = [s for s in own if (s[1] <= edge if side < 0 else s[0] >= edge)][::side]
+        b = [s for s in theirs if (s[1] <= owner_edge if side < 0 else s[0] >= owner_edge)][::side]
+        many = 0
+        while many < min(len(a), len(b), chunk_dedup.REACH) and raw[slice(*a[many])] == other[slice(*b[many])]:
+            many += 1
+        if not many:
+            return edge
+        return a[many - 1][1] if side > 0 else (a[many][1] if many < len(a) else 0)
+
+    found = []
+    for doc, own in chunks:
+        run = []
+        for item in [*own, None]:
+            if item and item[0] and count[item[0]] > 1 and first[item[0]] != (doc, item[1]):
+                run.append(item)
+                continue
+            size = lambda some: sum(len(c[0].split()) for c in some)
+            if size(run) >= min_words:
+                weight = {}
+                for c in run:
+                    weight[first[c[0]][0]] = weight.get(first[c[0]][0], 0) + len(c[0].split())
+                best = max(weight.values())
+                main = min(o for o, w in weight.items() if w == best)
+                along = set()
+                for i, (c, d) in enumerate(zip(run, run[1:], strict=False)):
+                    (o, p), (q, r) = first[c[0]], first[d[0]]
+                    if o == q and abs((r - p) - (d[1] - c[1])) <= 2 * len(c[0].split()) + 4:
+                        along |= {i, i + 1}
+                if max(best, size([run[i] for i in along])) >= min_owner:
+                    left, right = [c for c in run if first[c[0]][0] == main][0], [c for c in run if first[c[0]][0] == main][-1]
+                    p = first[left[0]][1]
+                    start = min(run[0][1], grow(doc, left[1], main, p, -1))
+                    owner_end = next(e for part, s, e in dict(chunks)[main] if s == first[right[0]][1])
+                    end = max(run[-1][2], grow(doc, right[2], main, owner_end, 1))
+                    if found and found[-1][0] == doc:
+                        start = max(start, found[-1][3])
+                    found.append((doc, main, start, end))
+            run = []
+    return sorted(found)
+
+
+@pytest.mark.parametrize(("block", "fan"), [(2000, 1024), (2000, 3), (10**7, 1024)])
+def test_rows_equal_brute_force(spark, monkeypatch, block, fan):
+    monkeypatch.setattr(blocks, "FAN", fan)
+    rng = random.Random(21)
+    stock = [words(rng, rng.randint(2, 30)) for _ in range(25)]
+    rows = []
+    for i in range(80):
+        parts = [words(rng, rng.randint(3, 40)) if rng.random() < 0.6 else rng.choice(stock) for _ in range(rng.randint(1, 8))]
+        rows.append((i, rng.choice([" ", "\n", "  "]).join(parts)))
+    rows += [(80, rows[3][1]), (81, rows[5][1] + " " + rows[5][1]), (82, ""), (83, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.kept_doc_id, r.start_byte, r.start_byte + r.n_bytes) for r in chunk_dedup.repeated_passages(docs, block_bytes=block).collect())
+    want = brute_spans(rows)
+    assert got == want and len(want) > 20
+    clean = {r.doc_id: r.text for r in chunk_dedup.without_repeats(docs, block_bytes=block).collect()}
+    for doc, text in rows:
+        raw = text.encode()
+        gone = {b for d, _, s, e in want if d == doc for b in range(s, e)}
+        assert clean[doc].encode() == bytes(x for b, x in enumerate(raw) if b not in gone)
+
+
+def test_a_passage_of_several_owners_goes(spark):
+    """Each part of a passage is in an earlier document of its own, and none of these has 12 words of it alone."""
+    rng = random.Random(33)
+    passage = words(rng, 80).split()
+    rows = [(i, f"{words(rng, 50)} {' '.join(passage[5 * i : 5 * i + 12])} {words(rng, 50)}") for i in range(15)]
+    rows += [(50, f"{words(rng, 60)} {' '.join(passage)} {words(rng, 60)}")]
+    found = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {50} and sum(r.n_words for r in found) > 30
+
+
+def test_text_without_white_space_is_cut_between_characters(spark):
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    text = lambda n: "".join(rng.choices(letters, k=n))
+    shared = text(300)
+    rows = [(i, text(400) + (shared if i in (2, 5) else "") + text(400)) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = chunk_dedup.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in found} == {(5, 2)}
+    assert all(r.passage in shared for r in found) and sum(len(r.passage) for r in found) > 220
+    clean = {r.doc_id: r.text for r in chunk_dedup.without_repeats(docs).collect()}
+    assert all((clean[i] == t) == (i != 5) for i, t in rows)
+
+
+def test_very_long_texts_and_many_passages(spark):
+    """Texts of a megabyte with hundreds of passages: time is in proportion to their length."""
+    rng = random.Random(4)
+    passages = [words(rng, 40) for _ in range(600)]
+    rows = [(1, " ".join(f"{p} {words(rng, 20)}" for p in passages)), (2, " ".join(f"{words(rng, 20)} {p}" for p in passages)), (3, "a" * 1_000_000), (4, " " * 1_000_000)]
+    found = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in found} == {(2, 1)} and len(found) > 590
+    clean = {r.doc_id: r.text for r in chunk_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(clean[2].split()) < 20 * 600 + 0.06 * 40 * 600 and clean[3] == rows[2][1] and clean[4] == rows[3][1]

@@ -3,9 +3,10 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from terrastack.llm import ngram_lm
+from terrastack.llm import blocks, ngram_lm
 
 
 def brute(texts, held, order, mu):
@@ -36,7 +37,10 @@ def brute(texts, held, order, mu):
 
 
 @pytest.mark.parametrize(("order", "mu", "block"), [(1, 1.0, 10**6), (2, 300.0, 400), (3, 5.0, 700), (4, 2.0, 10**6)])
-def test_scores_equal_brute_force(spark, order, mu, block):
+@pytest.mark.parametrize("fan", [1024, 2])
+def test_scores_equal_brute_force(spark, monkeypatch, order, mu, block, fan):
+    monkeypatch.setattr(blocks, "FAN", fan)  # 2: blocks are gathered and sent on in two levels
+    monkeypatch.setattr(ngram_lm, "TOGETHER", fan)
     rng = random.Random(order)
     words = ["The", "the", "cat", "É", "dog", "sat.", "on", "x y", "start", "end"]
     texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(40)] + ["", None, " \t\n", "The cat", "The cat", "new words here"]
@@ -79,3 +83,21 @@ def test_registered_model_learns_trigrams(spark):
     two = lambda c, n, w: (c + 7 * single(w)) / (n + 7)
     chances = [two(30, 60, 30), (30 + 2 * two(60 / 2, 30, 60)) / 32, (30 + 2 * two(30, 60, 30)) / 32, (30 + 2 * two(30, 30, 60)) / 32]
     assert both[60] == pytest.approx(sum(map(math.log10, chances)), abs=1e-9)
+
+
+@pytest.mark.parametrize(("many", "high"), [(0, 1), (1, 5), (1000, 7), (1000, 2**40), (1000, 2**62)])
+def test_numbered_equals_unique(many, high):
+    values = np.random.default_rng(1).integers(0, high, many)
+    for got, want in zip(ngram_lm.numbered(values), np.unique(values, return_inverse=True), strict=True):
+        assert (got == want).all()
+
+
+def test_long_texts_and_hot_words(spark):
+    """A text of 60,000 words, and a word that fills a third of all texts: all of it is counted and scored, in blocks far smaller than the text."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["hot", "hot", *map(str, range(50))], k=60_000))] + ["hot " * rng.randint(1, 60) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t, i % 7 == 2) for i, t in enumerate(texts)], "doc_id long, text string, h boolean")
+    got = {r.doc_id: r for r in ngram_lm.score_texts(docs, "h", 3, (300.0, 5.0), 3000).collect()}
+    wide = {r.doc_id: r for r in ngram_lm.score_texts(docs, "h", 3, (300.0, 5.0)).collect()}
+    assert got[0].n_tokens == 60_001 and len(got) == len(texts)
+    assert all(got[i].score == pytest.approx(wide[i].score, abs=1e-6) and got[i].train_tokens == wide[i].train_tokens for i in got)
