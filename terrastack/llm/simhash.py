@@ -3,9 +3,9 @@
 Fingerprints are first made distinct. Two that differ in at most 2 bits agree on one of three bands of the 64 bits, and, within
 the rest, on one of three sub-bands: nine (band, sub-band) keys deal the distinct fingerprints to shards, and every link is
 found in one of them. Each shard is a BK-tree (children keyed by their integer Hamming distance to the parent); searches
-follow only the edges within the radius. A shard's tree goes whole to every task that searches it, and its queries are dealt
-in blocks, so one large shard is shared by many tasks. Trees reach the tasks by shuffle and not by a driver broadcast: all
-shards together grow with the data, so no size bound for a broadcast would hold.
+follow only the edges within the radius. The trees of shards of more than HOT_WORDS are built on the executors and broadcast, if all of them hold no more than
+BROADCAST_WORDS together, and their queries are dealt to as many tasks as they need. All other trees have no size bound together and are built where they are searched:
+small shards go to one task each, and hot ones beyond the broadcast's bound are cut by further sub-bands, until 2 ** 14 words is all that a shard can hold.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from terrastack.llm.common import ensure_checkpoint_dir
 RADIUS = 2
 SHINGLE_WORDS = 3
 SEED = 42
-#: Queries of a shard that one task searches for; larger shards are dealt to several tasks, each with the whole tree.
-QUERY_BLOCK = 4096
+#: Words of a shard that one task searches alone at most, and words of all broadcast trees together (24 bytes each).
+HOT_WORDS, BROADCAST_WORDS = 4096, 1 << 19
 #: Three bands of the 64 bits (low, high), and how many sub-bands the remaining bits are dealt to in turn.
 BANDS = ((0, 21), (21, 42), (42, 64))
 SUB_BANDS = 3
@@ -71,66 +71,80 @@ def band_masks() -> list[int]:
     return masks
 
 
+def further_masks(mask: int) -> list[int]:
+    """Nine masks that add bits to `mask`: two words that agree under it and are within 2 bits of each other agree under at least one of them."""
+    found = []
+    rest = [b for b in range(64) if not mask >> b & 1]
+    for turn in range(SUB_BANDS):
+        part = rest[turn::SUB_BANDS]
+        more = [b for b in rest if b not in part]
+        found += [mask | sum(1 << b for b in [*part, *more[sub::SUB_BANDS]]) for sub in range(SUB_BANDS)]
+    return found
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
 class BKTree:
-    """A BK-tree over distinct 64-bit words, built and searched level by level with numpy.
+    """BK-trees over fingerprints of one or more 64-bit words each, built and searched level by level with numpy.
 
-    `edges` holds the sorted keys parent * 65 + distance and `child` the node at the end of each edge.
+    Each run of equal `shard` numbers is a tree of its own, whose root is its first fingerprint. `edges` holds the sorted keys parent * STEP + distance and `child`
+    the node at the end of each edge.
     """
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
-        pending = np.arange(1, len(words))
-        parent = np.zeros(len(pending), np.int64)
-        keys, nodes = [], []
+    STEP = 1024
+
+    def __init__(self, words: np.ndarray, shard: np.ndarray | None = None):
+        self.words = words if words.ndim == 2 else words[:, None]
+        shard = np.zeros(len(words), np.int64) if shard is None else shard
+        first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(words) else np.empty(0, np.int64)
+        #: The root of each fingerprint's tree.
+        self.root = np.repeat(first, np.diff([*first, len(words)]))
+        pending = np.flatnonzero(self.root != np.arange(len(words)))
+        parent = self.root[pending]
+        keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         while len(pending):
-            key = parent * 65 + np.bitwise_count(words[pending] ^ words[parent])
-            _, first, which = np.unique(key, return_index=True, return_inverse=True)
-            keys.append(key[first])
-            nodes.append(pending[first])
-            parent = pending[first][which]
+            key = parent * self.STEP + _apart(self.words[pending], self.words[parent])
+            _, place, which = np.unique(key, return_index=True, return_inverse=True)
+            keys.append(key[place])
+            nodes.append(pending[place])
+            parent = pending[place][which]
             below = np.ones(len(pending), bool)
-            below[first] = False
+            below[place] = False
             pending, parent = pending[below], parent[below]
-        keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        nodes = np.concatenate(nodes) if nodes else np.empty(0, np.int64)
+        keys, nodes = np.concatenate(keys), np.concatenate(nodes)
         order = np.argsort(keys)
         self.edges, self.child = keys[order], nodes[order]
 
-    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query index, node) of every word within `radius` of a query."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for start in range(0, len(queries), 1024):
-            at = np.arange(start, min(start + 1024, len(queries)))
-            node = np.zeros(len(at), np.int64)
-            while len(at) and len(self.words):
-                distance = np.bitwise_count(queries[at] ^ self.words[node]).astype(np.int64)
+    def found(self, queries: np.ndarray, radius: int, root: np.ndarray | None = None, together: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query index, node) of every fingerprint within `radius` of a query in the tree with its `root` (the first one's), for some queries at a time."""
+        queries = queries if queries.ndim == 2 else queries[:, None]
+        for start in range(0, len(queries) if len(self.words) else 0, together):
+            at = np.arange(start, min(start + together, len(queries)))
+            node = np.zeros(len(at), np.int64) if root is None else root[at]
+            parts = []
+            while len(at):
+                distance = _apart(queries[at], self.words[node])
                 near = distance <= radius
-                found.append((at[near], node[near]))
-                low = np.searchsorted(self.edges, node * 65 + np.maximum(distance - radius, 0))
-                high = np.searchsorted(self.edges, node * 65 + np.minimum(distance + radius, 64), side="right")
+                parts.append((at[near], node[near]))
+                low = np.searchsorted(self.edges, node * self.STEP + np.maximum(distance - radius, 0))
+                high = np.searchsorted(self.edges, node * self.STEP + np.minimum(distance + radius, self.STEP - 1), side="right")
                 many = high - low
                 at = np.repeat(at, many)
                 step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 node = self.child[np.repeat(low, many) + step]
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            yield np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
+    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """All that found() finds."""
+        parts = [(np.empty(0, np.int64),) * 2, *self.found(queries, radius)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-def shard_links(tree_words: np.ndarray, query_words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (word, smaller word of its group) of the links between the queries and the tree's words.
 
-    At most one row for each word, whatever the number of links.
-    """
-    tree = BKTree(tree_words)
-    order = np.argsort(tree_words)
-    ranked = tree_words[order]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    root = np.arange(len(ranked))
-    at, node = tree.search(query_words, radius)
-    a, b = np.searchsorted(ranked, query_words)[at], rank[node]
-    a, b = a[a != b], b[a != b]
+def spanning(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`root` (of each number the smallest one it is known to reach) with the links (a, b) added; at most one row for each number, whatever the number of links."""
     while len(a):
         low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
         open_ = low != high
@@ -139,65 +153,101 @@ def shard_links(tree_words: np.ndarray, query_words: np.ndarray, radius: int) ->
         np.minimum.at(root, high[open_], low[open_])
         while (root[root] != root).any():
             root = root[root]
+    return root
+
+
+def tree_links(tree: BKTree, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (word, smaller word of its group) of the links between 64-bit queries and the tree's words."""
+    ranked = np.union1d(tree.words[:, 0], queries)
+    nodes, asked = np.searchsorted(ranked, tree.words[:, 0]), np.searchsorted(ranked, queries)
+    root = np.arange(len(ranked))
+    for at, node in tree.found(queries, radius):
+        root = spanning(root, asked[at], nodes[node])
     linked = np.flatnonzero(root != np.arange(len(root)))
     return ranked[linked], ranked[root[linked]]
 
 
-def _runs(search: Callable, radius: int) -> Callable:
-    """For mapInArrow over rows sorted by (shard, slice, fp): applies `search` to each run of one key, across batches."""
-
-    def emit(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
-        words = np.concatenate([p[0] for p in parts]).view(np.uint64)
-        asks = np.concatenate([p[1] for p in parts])
-        a, b = search(words, words[asks], radius)
-        if not len(a):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+def _runs(use: Callable) -> Callable:
+    """For mapInArrow over rows (band, shard, fp) sorted by all: use(band, shard, words) of each run of one (band, shard), across batches; its batches go out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            words, asks = batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            band, shard, words = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((band[1:] != band[:-1]) | (shard[1:] != shard[:-1])) + 1
             for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if start == end:
                     continue
-                this = tuple(keys[:, start].tolist())
-                if this != key:
-                    if parts and sum(len(p[0]) for p in parts) > 1 and (out := emit(parts)) is not None:
-                        yield out
+                if (this := (int(band[start]), int(shard[start]))) != key:
+                    if parts:
+                        yield from use(*key, np.concatenate(parts).view(np.uint64))
                     key, parts = this, []
-                parts.append((words[start:end], asks[start:end]))
-        if parts and sum(len(p[0]) for p in parts) > 1 and (out := emit(parts)) is not None:
-            yield out
+                parts.append(words[start:end])
+        if parts:
+            yield from use(*key, np.concatenate(parts).view(np.uint64))
 
     return work
 
 
+def _links(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+
+def _by_shard(rows: DataFrame) -> DataFrame:
+    return rows.select("band", "shard", "fp").repartition("band", "shard").sortWithinPartitions("band", "shard", "fp")
+
+
+def _searched(rows: DataFrame, radius: int) -> DataFrame:
+    """Links in shards of bounded size: each tree is built and searched in one task."""
+    return _by_shard(rows).mapInArrow(_runs(lambda band, shard, words: _links(*tree_links(BKTree(words), words, radius))), "a long, b long")
+
+
+def _searched_by_broadcast(rows: DataFrame, many: int, radius: int) -> DataFrame:
+    """Links in hot shards: their trees, `many` words in all, are built by tasks and broadcast; the queries are dealt to tasks by their hash."""
+
+    def build(band: int, shard: int, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tree = BKTree(words)
+        packed = [pa.array([x.tobytes()], pa.binary()) for x in (tree.words, tree.edges, tree.child)]
+        yield pa.RecordBatch.from_arrays([pa.array([band], pa.int32()), pa.array([shard], pa.int64()), *packed], names=["band", "shard", "words", "edges", "child"])
+
+    built = _by_shard(rows).mapInArrow(_runs(build), "band int, shard long, words binary, edges binary, child binary").toArrow().to_pylist()
+    trees = rows.sparkSession.sparkContext.broadcast({(r["band"], r["shard"]): (r["words"], r["edges"], r["child"]) for r in built})
+
+    def search(band: int, shard: int, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words, edges, child = trees.value[band, shard]
+        tree = BKTree(np.empty(0, np.uint64))
+        tree.words, tree.edges, tree.child = np.frombuffer(words, np.uint64).reshape(-1, 1), np.frombuffer(edges, np.int64), np.frombuffer(child, np.int64)
+        yield from _links(*tree_links(tree, queries, radius))
+
+    dealt = rows.select("band", "shard", "fp").repartition(max(1, -(-many // HOT_WORDS)), "fp").sortWithinPartitions("band", "shard", "fp")
+    return dealt.mapInArrow(_runs(search), "a long, b long")
+
+
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b), b < a as unsigned words: links that join every group of distinct fingerprints `fp` within `radius` bits of each other.
 
-    Groups, not all pairs: each shard gives at most one row for each of its fingerprints.
+    Groups, not all pairs: each search gives at most one row for each of its fingerprints.
     """
     if radius > RADIUS:
         raise ValueError(f"the bands find every link only up to radius {RADIUS}")
-    masks = F.array(*[F.struct(F.lit(i).alias("band"), F.lit(m - (1 << 64) if m >> 63 else m).alias("mask")) for i, m in enumerate(band_masks())])
-    keyed = prints.select("fp", F.explode(masks).alias("m")).select(F.col("m.band").alias("band"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("shard"), "fp")
-    sized = keyed.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("band", "shard"))).where("size > 1")
-    one = F.lit(0).alias("slice"), "fp", F.lit(True).alias("asks")
-    small = sized.where(F.col("size") <= QUERY_BLOCK).select("band", "shard", *one)
-    slices = F.ceil(F.col("size") / QUERY_BLOCK).cast("int")
-    large = (
-        sized.where(F.col("size") > QUERY_BLOCK)
-        .withColumn("own", F.pmod(F.xxhash64("fp"), slices).cast("int"))
-        .select("band", "shard", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "fp", "own")
-        .select("band", "shard", "slice", "fp", (F.col("slice") == F.col("own")).alias("asks"))
-        .repartition("band", "shard", "slice")
-    )
-    schema = "a long, b long"
-    found = [x.sortWithinPartitions("band", "shard", "slice", "fp").mapInArrow(_runs(shard_links, radius), schema) for x in (small, large)]
-    return found[0].unionByName(found[1]).distinct()
+    ensure_checkpoint_dir(prints.sparkSession)
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    masks = band_masks()
+    pairs = F.array(*[F.struct(F.lit(i).alias("band"), signed(m).alias("mask")) for i, m in enumerate(masks)])
+    keyed = prints.select("fp", F.explode(pairs).alias("m")).select(F.col("m.band").alias("band"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("shard"), "fp")
+    sizes = keyed.groupBy("band", "shard").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = keyed.join(sizes, ["band", "shard"]).checkpoint()
+    hot = shared.where(F.col("size") > HOT_WORDS)
+    many = hot.count()
+    links = _searched(shared.where(F.col("size") <= HOT_WORDS), radius)
+    if 0 < many <= BROADCAST_WORDS:
+        links = links.unionByName(_searched_by_broadcast(hot, many, radius))
+    elif many:
+        further = F.get(F.array(*[F.array(*[F.struct(F.lit(len(masks) * (i + 1) + j).alias("band"), signed(m).alias("mask")) for j, m in enumerate(further_masks(mask))]) for i, mask in enumerate(masks)]), F.col("band"))
+        cut = hot.select("fp", F.explode(further).alias("m")).select(F.col("m.band").alias("band"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("shard"), "fp")
+        links = links.unionByName(_searched(cut, radius))
+    return links.distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -235,7 +285,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable over links of `radius` bits or fewer).
 
     One row for each row of `docs`; equal fingerprints share a component, texts without words (fingerprint zero) too. Rows whose doc_id
-    is null keep their row; the component's id is its smallest id that is not null (null if it has none). Empty tables give no rows.
+    is null keep their row; the component's id is its smallest id that is not null (null if it has none). Texts of any length are fingerprinted whole; repeated rows
+    give repeated results; there are no ties: a bit set in just half of the hashes is 0. Empty tables give no rows. Other columns, whatever their names, are left out.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     prints = with_fingerprints(docs).checkpoint()
@@ -248,22 +299,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs`, one for each component of near-duplicates: the one with the smallest doc_id. All columns stay, whatever their names.
 
-    Null ids come last. Of rows that share the kept id and fingerprint, one stays, the first by the hash of its text. Empty tables give no rows.
+    Null ids come last; null and empty texts share the fingerprint zero. Of rows that share the kept id and fingerprint, one stays, the first by the hash of its text.
+    Texts of any length are fingerprinted whole, and once: rows are checkpointed with their fingerprints. Empty tables give no rows.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     names = docs.columns
     own = {"doc_id": "doc_id", "text": "text"}
-    plain = docs.select(*[F.col(f"`{c}`").alias(own.get(c, f"c{i}")) for i, c in enumerate(names)])
 
     @F.pandas_udf("long")
     def prints_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             yield pd.Series(np.array([fingerprint(t or "") for t in part], np.uint64).view(np.int64))
 
-    grouped = _grouped(with_fingerprints(docs).checkpoint(), radius)
+    plain = docs.select(*[F.col(f"`{c}`").alias(own.get(c, f"c{i}")) for i, c in enumerate(names)])
+    marked = plain.withColumn("fp_", prints_of(F.coalesce("text", F.lit("")))).checkpoint()
+    grouped = _grouped(marked.select("doc_id", F.col("fp_").alias("fp")), radius)
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("k"))
-    keys = first.select(F.col("k.fp").alias("fp_"), F.col("k.first_id").alias("id_")).checkpoint()
-    marked = plain.withColumn("fp_", prints_of(F.coalesce("text", F.lit("")))).withColumn("id_", F.col("doc_id"))
-    kept = marked.join(keys, (marked["fp_"] == keys["fp_"]) & marked["id_"].eqNullSafe(keys["id_"]), "left_semi")
-    place = F.row_number().over(W.partitionBy("fp_", "id_").orderBy(F.xxhash64("text")))
+    keys = first.select(F.col("k.fp").alias("key_"), F.col("k.first_id").alias("id_")).checkpoint()
+    kept = marked.join(keys, (F.col("fp_") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
+    place = F.row_number().over(W.partitionBy("fp_", "doc_id").orderBy(F.xxhash64("text")))
     return kept.withColumn("place_", place).where("place_ = 1").select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])

@@ -76,13 +76,58 @@ def test_rows_equal_brute_force(spark):
     assert len(set(roots)) < len(roots)
 
 
-def test_large_shards_are_dealt_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "QUERY_BLOCK", 8)
-    words = [0xABCD << 40 | i for i in range(40)]
-    links = simhash.fingerprint_links(spark.createDataFrame([(w,) for w in words], "fp long"))
-    rows = simhash.components(links).collect()
-    assert {r.node for r in rows} == set(words[1:])
-    assert {r.root for r in rows} == {words[0]}
+@pytest.mark.parametrize(("hot", "most"), [(4096, 1 << 19), (8, 1 << 19), (8, 20)], ids=["one task", "broadcast", "cut further"])
+def test_links_join_the_groups_of_brute_force(spark, monkeypatch, hot, most):
+    """However hot shards are searched, the components are those of all pairs."""
+    monkeypatch.setattr(simhash, "HOT_WORDS", hot)
+    monkeypatch.setattr(simhash, "BROADCAST_WORDS", most)
+    rng = random.Random(3)
+    words = {0xABCD << 40 | i for i in range(60)}
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        for _ in range(6):
+            words.add(base)
+            for _ in range(rng.randint(1, 3)):
+                base ^= 1 << rng.randrange(64)
+    words = sorted(words)
+    signed = [w - (1 << 64) if w >> 63 else w for w in words]
+    links = simhash.fingerprint_links(spark.createDataFrame([(w,) for w in signed], "fp long"))
+    root = {r.node: r.root for r in simhash.components(links).collect()}
+    brute = brute_components(words)
+    groups, got = {}, {}
+    for i, w in enumerate(signed):
+        groups.setdefault(brute[i], set()).add(w)
+        got.setdefault(root.get(w, w), set()).add(w)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values())) and len(groups) < len(words) - 40
+
+
+def test_further_masks_keep_every_link():
+    for mask in simhash.band_masks():
+        rest = [b for b in range(64) if not mask >> b & 1]
+        further = simhash.further_masks(mask)
+        assert all(m & mask == mask and 64 - bin(m).count("1") <= 14 for m in further)
+        assert all(any(m & (1 << i | 1 << j) == 0 for m in further) for i in rest for j in rest)
+
+
+def test_trees_of_many_shards_and_wide_fingerprints():
+    rng = np.random.default_rng(4)
+    shard = np.repeat(np.arange(30), rng.integers(1, 12, 30))
+    words = rng.integers(0, 1 << 63, (len(shard), 2), dtype=np.uint64)
+    words[5:9] = words[4]
+    tree = simhash.BKTree(words, shard)
+    found = [(a, n) for at, node in tree.found(words, 60, tree.root, 7) for a, n in zip(at.tolist(), node.tolist(), strict=True)]
+    apart = lambda i, j: sum(bin(int(words[i, k] ^ words[j, k])).count("1") for k in (0, 1))
+    assert sorted(found) == [(i, j) for i in range(len(shard)) for j in range(len(shard)) if shard[i] == shard[j] and apart(i, j) <= 60]
+
+
+def test_long_texts_and_hot_fingerprints(spark):
+    """A third of all rows are copies; a very long text and its edited copy are linked, whatever columns come along."""
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    rows = [(i, "the same few words", 0) for i in range(40)] + [(100 + i, " ".join(f"x{rng.random()}" for _ in range(9)), 0) for i in range(80)]
+    rows += [(900, " ".join(long), 1), (901, " ".join([*long, "end"]), 1)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id int")).collect()}
+    assert {got[i] for i in range(40)} == {0} and got[900] == got[901] == 900 and all(got[100 + i] == 100 + i for i in range(80))
 
 
 def test_chain_of_links_settles(spark):
