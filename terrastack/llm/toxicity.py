@@ -1,8 +1,8 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the mean of the embeddings of its letter n-grams (hashed) and of itself; a bag of words is the mean of its words; a softmax over a linear map
-of that mean gives the bag's chance of being toxic, and a text's score is that of the bag of its WORST words, so that a few words in a long text
-count and a single odd word of clean text does not. Embeddings and map are trained jointly in numpy. A misspelt word that training never
+of that mean gives the bag's chance of being toxic, and a text's score is that of the bag of its WORST words (fewer in short texts), so that a few words in a
+long text count and a single odd word of clean text does not. Embeddings and map are trained jointly in numpy. A misspelt word that training never
 saw shares most of its n-grams with the word it stands for.
 """
 
@@ -24,8 +24,8 @@ from terrastack.llm.quality import labelled_sample, predictions
 MAX_LABELLED = 3000
 BUCKETS, DIMENSIONS = 1 << 16, 12
 SIZES = (3, 4, 5)
-#: Words (occurrences) of a text that its score is taken over.
-WORST = 3
+#: Words (occurrences) of a text that its score is taken over at most, and words of the text for each of them.
+WORST, WORDS_EACH = 3, 10
 EPOCHS, WARM_UP, RATE = 50, 5, 0.05
 UNKNOWN, DECAY = 0.3, 1e-6
 CACHED_WORDS = 150_000
@@ -72,13 +72,18 @@ def subwords_in_parts(words: list[str], part: int = 20_000) -> tuple[np.ndarray,
     return np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([f + n for (_, f), n in zip(parts, before, strict=False)])
 
 
-def worst_means(values: np.ndarray, sizes: np.ndarray, worst: int = WORST) -> np.ndarray:
-    """The mean of each text's `worst` largest values (of all, if it has fewer); 0 for a text without words."""
-    ends = np.cumsum(sizes)
+def worst_counts(sizes: np.ndarray) -> np.ndarray:
+    """How many words of texts of `sizes` words count: one in WORDS_EACH, but one at least and WORST at most."""
+    return np.clip(sizes // WORDS_EACH, 1, WORST)
+
+
+def worst_means(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The mean of each text's largest values, as many as worst_counts says; 0 for a text without words."""
+    ends, counts = np.cumsum(sizes), worst_counts(sizes)
     out = np.zeros(len(sizes))
     for i in np.flatnonzero(sizes):
         own = values[ends[i] - sizes[i] : ends[i]]
-        out[i] = (np.partition(own, len(own) - worst)[-worst:] if len(own) > worst else own).mean()
+        out[i] = (np.partition(own, len(own) - counts[i])[-counts[i] :] if len(own) > counts[i] else own).mean()
     return out
 
 
@@ -170,10 +175,11 @@ def train_examples(examples: list[Example], labels: np.ndarray, epochs: int = EP
             word = np.add.reduceat(each, first) / many
             order = np.lexsort((-word[bag], bag_owner))  # each text's words, the worst first
             before = np.cumsum(count[order]) - count[order]
-            taken = np.clip(WORST - (before - before[start][bag_owner]), 0, count[order])
+            most = worst_counts(size)
+            taken = np.clip(most[bag_owner] - (before - before[start][bag_owner]), 0, count[order])
             kept = taken > 0
             chosen, owner = bag[order][kept], bag_owner[kept]
-            weight = taken[kept] / np.minimum(WORST, size[owner])
+            weight = taken[kept] / most[owner]
         # word vectors of the chosen words only, then their weighted sums over each text (or its worst words)
         used, which = np.unique(chosen, return_inverse=True)
         span = many[used]
