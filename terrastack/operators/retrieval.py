@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +14,7 @@ from terrastack.functions.masks import clear_sky, where_valid
 from terrastack.functions.spectral import add_indices, scale_bands, solar_geometry
 from terrastack.params import ForestParams
 from terrastack.schemas import FEATURES, LABEL
+from terrastack.sources.shared import shared_folder
 
 
 def clear_observations(obs: DataFrame, scenes: DataFrame, prefix: str = "dn_") -> DataFrame:
@@ -53,12 +55,17 @@ def predict(model: RandomForestRegressionModel, obs: DataFrame, out: str = "lai_
 def retrieve(obs: DataFrame, models: dict[tuple[str, int], RandomForestRegressionModel], nonveg: bool = False, features: list[str] = FEATURES) -> DataFrame:
     """lai_real of each observation by the model of its (sensor, biome): biomes 1 to 8, and 0 as well if `nonveg`.
 
-    Observations are split by key and each part meets one model: at most 27 disjoint parts, put together by union. Rows without a model are left out.
+    Observations are worked out once, written by key to the shared folder, and each key's files meet one model: at most 27 disjoint parts, put together by
+    union. Rows without a model are left out.
     """
-    parts = [predict(model, obs.where((F.col("sensor") == sensor) & (F.col("biome") == biome)), features=features) for (sensor, biome), model in sorted(models.items()) if biome > 0 or nonveg]
-    if not parts:
+    keys = sorted(key for key in models if key[1] > 0 or nonveg)
+    if not keys:
         return obs.where(F.lit(False)).withColumn("lai_real", F.lit(None).cast("double"))
-    return reduce(DataFrame.unionByName, parts)
+    path = f"{shared_folder(obs.sparkSession)}/retrieval-{uuid.uuid4().hex}"
+    is_key = lambda key: (F.col("sensor") == key[0]) & (F.col("biome") == key[1])
+    obs.where(reduce(lambda a, b: a | b, map(is_key, keys))).write.partitionBy("sensor", "biome").parquet(path)
+    kept = obs.sparkSession.read.schema(obs.schema).parquet(path).select(*obs.columns)
+    return reduce(DataFrame.unionByName, [predict(models[key], kept.where(is_key(key)), features=features) for key in keys])
 
 
 def select_by_biome(obs: DataFrame, candidates: dict[int, str], out: str = "lai_real") -> DataFrame:

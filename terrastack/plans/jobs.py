@@ -12,6 +12,7 @@ from terrastack.operators import composite, density, grid, mosaic, quality_flags
 from terrastack.params import CompositeParams, DensityParams, MosaicParams
 from terrastack.schemas import FEATURES
 from terrastack.sources import catalog, geotiff, tiles
+from terrastack.sources.shared import shared_folder
 
 
 def retrievals(scenes: DataFrame, obs: DataFrame, pixels: DataFrame, cover: DataFrame, hull: DataFrame, models: dict[tuple[str, int], RandomForestRegressionModel], start: str, end: str, params: CompositeParams = CompositeParams(), features: list[str] = FEATURES) -> DataFrame:
@@ -56,14 +57,17 @@ def density_tables(scenes: DataFrame, obs: DataFrame, pixels: DataFrame, members
 def mosaic_files(spark: SparkSession, folder: str, target: grid.GridSpec, out: str, params: MosaicParams = MosaicParams(), options: geotiff.TiffOptions = geotiff.TiffOptions(), recursive: bool = True) -> DataFrame:
     """Merges the GeoTIFFs of a folder, in file order, onto `target`, writes the result to `out` and returns its cells.
 
-    Files may lie on other grids of the same coordinates: each target cell takes the source cell that holds its centre. A folder without files is an
-    error of its own.
+    Files may lie on other grids of the same coordinates: each target cell takes the source cell that holds its centre. A file that names another
+    coordinate system is an error (one that names none is taken to have the target's); so is a folder without files.
     """
     order = tiles.list_tiles(spark, folder, recursive)
     if order.isEmpty():
         raise FileNotFoundError(f"no .tif or .tiff file in {folder}")
     # NaN and infinities are never values; the declared nodata is tested on raw values, before scaling
-    blocks = geotiff.read_blocks(spark, folder, None, recursive)
+    same = F.col("crs").isin(target.crs, "EPSG:0")
+    refused = F.raise_error(F.concat(F.col("path"), F.lit(" has the coordinates of "), F.col("crs"), F.lit(f", not {target.crs}"))).cast("boolean")
+    # the files' order is joined to blocks, not to cells
+    blocks = geotiff.read_blocks(spark, folder, None, recursive).where(F.when(same, F.lit(True)).otherwise(refused)).join(order.select("path", "tile_ordinal"), "path")
     first_row, first_col = (F.ceil(x - 0.5 - 1e-9).cast("int") for x in ((F.lit(target.y0) - F.col("y")) / target.dy, (F.col("x") - F.lit(target.x0)) / target.dx))
     last_row = F.ceil((F.lit(target.y0) - F.col("y") + F.col("rows") * F.col("dy")) / target.dy - 0.5 - 1e-9).cast("int") - 1
     last_col = F.ceil((F.col("x") + F.col("cols") * F.col("dx") - F.lit(target.x0)) / target.dx - 0.5 - 1e-9).cast("int") - 1
@@ -73,8 +77,8 @@ def mosaic_files(spark: SparkSession, folder: str, target: grid.GridSpec, out: s
     x, y = target.centre(F.col("grid_row"), F.col("grid_col"))
     down = F.least(F.floor((F.col("y") - y) / F.col("dy")).cast("int"), F.col("rows") - 1)
     across = F.least(F.floor((x - F.col("x")) / F.col("dx")).cast("int"), F.col("cols") - 1)
-    cells = rows.select("path", "grid_row", "grid_col", F.get("cells", down * F.col("cols") + across).cast("double").alias("raw"))
-    placed = cells.join(order.select("path", "tile_ordinal"), "path")
-    merged = mosaic.merge(placed, params).select("grid_row", "grid_col", "value")
+    placed = rows.select("tile_ordinal", "grid_row", "grid_col", F.get("cells", down * F.col("cols") + across).cast("double").alias("raw"))
+    shared_folder(spark)
+    merged = mosaic.merge(placed, params).select("grid_row", "grid_col", "value").checkpoint()  # read by the writer and by the caller
     geotiff.write(geotiff.encode(merged, target, options, "mosaic"), out)
     return merged

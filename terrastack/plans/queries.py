@@ -5,7 +5,6 @@ Each runs an operator over its whole tables. Doubles are rounded to six places,
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +17,7 @@ from terrastack.params import CompositeParams, DensityParams, ForestParams, Mosa
 from terrastack.plans.views import oracle, view
 from terrastack.schemas import epoch_by_year
 from terrastack.sources import catalog, geotiff, tiles
+from terrastack.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -399,8 +399,7 @@ def overview_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geotiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mosaic written as GeoTIFF files and read again: masked cells come back masked."""
     dense = mosaic.on_grid(mosaic.merge(ordered_tiles(spark, sf_dir), MosaicParams(nodata=0)), view(spark, sf_dir, "pixels"))
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{folder}/geotiff-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/geotiff-{uuid.uuid4().hex}"
     files = geotiff.encode(dense, GRID, geotiff.TiffOptions(block=16, tile=64))
     geotiff.write(files, path)
     return geotiff.read_cells(spark, path).select("grid_row", "grid_col", F.round(F.col("value").cast("double"), 4).alias("value"))

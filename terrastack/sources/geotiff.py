@@ -25,6 +25,7 @@ NONE, LZW, DEFLATE = 1, 5, 8
 COMPRESSIONS = {"none": NONE, "lzw": LZW, "deflate": DEFLATE}
 SUBFILE, WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, SAMPLES, PLANAR, PREDICTOR = 254, 256, 257, 258, 259, 262, 277, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 322, 323, 324, 325, 339
+STRIP_OFFSETS, STRIP_ROWS, STRIP_COUNTS = 273, 278, 279
 PIXEL_SCALE, TIE_POINT, GEO_KEYS, METADATA, NODATA = 33550, 33922, 34735, 42112, 42113
 SHORT, LONG, DOUBLE, ASCII = 3, 4, 12, 2
 KINDS = {SHORT: "H", LONG: "I", DOUBLE: "d"}
@@ -132,10 +133,13 @@ def _pack(block: np.ndarray, options: TiffOptions) -> bytes:
 
 
 def _unpack(raw: bytes, compression: int, predictor: int, shape: tuple[int, int], dtype: np.dtype) -> np.ndarray:
+    """The values of a block; the last strip of an image may have fewer rows than the others."""
     if compression not in (NONE, LZW, DEFLATE, 32946):
         raise ValueError(f"compression {compression} is not read")
     plain = raw if compression == NONE else lzw_decode(raw) if compression == LZW else zlib.decompress(raw)
-    words = np.frombuffer(plain, f"<u{dtype.itemsize}", shape[0] * shape[1]).reshape(shape)
+    kind = np.dtype(f"u{dtype.itemsize}").newbyteorder(dtype.byteorder)
+    rows = min(shape[0], len(plain) // (shape[1] * kind.itemsize))
+    words = np.frombuffer(plain, kind, rows * shape[1]).reshape(rows, shape[1])
     if predictor == 2:
         words = np.cumsum(words, axis=1, dtype=words.dtype)
     return words.view(dtype)
@@ -207,24 +211,30 @@ def _append_directory(out: bytearray, tags: dict[int, tuple[int, list]]) -> int:
     return start + 2 + 12 * len(tags)
 
 
+def byte_order(data: bytes) -> str:
+    """'<' or '>': how the numbers of a classic TIFF are stored."""
+    if data[:4] not in (b"II*\0", b"MM\0*"):
+        raise ValueError("not a classic TIFF")
+    return "<" if data[:2] == b"II" else ">"
+
+
 def read_directories(data: bytes) -> list[dict[int, list]]:
-    """The tags of every image in a little-endian classic TIFF."""
-    if data[:4] != b"II*\0":
-        raise ValueError("not a little-endian TIFF")
-    found, at = [], struct.unpack_from("<I", data, 4)[0]
+    """The tags of every image in a classic TIFF, of either byte order."""
+    order = byte_order(data)
+    found, at = [], struct.unpack_from(f"{order}I", data, 4)[0]
     while at:
-        many = struct.unpack_from("<H", data, at)[0]
+        many = struct.unpack_from(f"{order}H", data, at)[0]
         tags = {}
         for i in range(many):
             place = at + 2 + 12 * i
-            tag, kind, count = struct.unpack_from("<HHI", data, place)
+            tag, kind, count = struct.unpack_from(f"{order}HHI", data, place)
             if kind not in KINDS and kind != ASCII:
                 continue
             size = count * (1 if kind == ASCII else struct.calcsize(KINDS[kind]))
-            start = place + 8 if size <= 4 else struct.unpack_from("<I", data, place + 8)[0]
-            tags[tag] = [data[start : start + count].rstrip(b"\0").decode("ascii")] if kind == ASCII else list(struct.unpack_from(f"<{count}{KINDS[kind]}", data, start))
+            start = place + 8 if size <= 4 else struct.unpack_from(f"{order}I", data, place + 8)[0]
+            tags[tag] = [data[start : start + count].rstrip(b"\0").decode("ascii")] if kind == ASCII else list(struct.unpack_from(f"{order}{count}{KINDS[kind]}", data, start))
         found.append(tags)
-        at = struct.unpack_from("<I", data, at + 2 + 12 * many)[0]
+        at = struct.unpack_from(f"{order}I", data, at + 2 + 12 * many)[0]
     return found
 
 
@@ -238,12 +248,19 @@ def read_grid(tags: dict[int, list]) -> GridSpec:
 
 
 def read_blocks_of(data: bytes, image: int = 0) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, first column, values) of each block of an image, clipped to the image."""
+    """(first row, first column, values) of each block (tile or strip) of a one-band image, clipped to the image."""
     tags = read_directories(data)[image]
-    dtype = np.dtype({(3, 32): "<f4", (3, 64): "<f8", (1, 16): "<u2", (1, 8): "u1", (1, 32): "<u4"}[tags.get(SAMPLE_FORMAT, [1])[0], tags[BITS][0]])
-    width, height, tw, th = tags[WIDTH][0], tags[HEIGHT][0], tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]
+    kinds = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
+    dtype = np.dtype(byte_order(data) + kinds[tags.get(SAMPLE_FORMAT, [1])[0], tags[BITS][0]])
+    if tags.get(SAMPLES, [1])[0] != 1:
+        raise ValueError("only images of one band are read")
+    width, height = tags[WIDTH][0], tags[HEIGHT][0]
+    if TILE_OFFSETS in tags:
+        tw, th, offsets, counts = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILE_OFFSETS], tags[TILE_COUNTS]
+    else:
+        tw, th, offsets, counts = width, min(height, tags.get(STRIP_ROWS, [height])[0]), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
     across = -(-width // tw)
-    for i, (offset, count) in enumerate(zip(tags[TILE_OFFSETS], tags[TILE_COUNTS], strict=True)):
+    for i, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
         row, col = i // across * th, i % across * tw
         block = _unpack(data[offset : offset + count], tags[COMPRESSION][0], tags.get(PREDICTOR, [1])[0], (th, tw), dtype)
         yield row, col, block[: height - row, : width - col]
@@ -292,6 +309,8 @@ class _FileWriter(DataSourceWriter):
 
     def __init__(self, path: str):
         self.path = path.removeprefix("file://").removeprefix("file:")
+        if "://" in self.path:
+            raise ValueError(f"files are written to a path that all nodes have mounted, not to {path}")
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         os.makedirs(self.path, exist_ok=True)
@@ -324,7 +343,7 @@ def read_meta(spark: SparkSession, path: str, recursive: bool = True) -> DataFra
 
 
 _META = pa.schema([("path", pa.string()), ("crs", pa.string()), *[(n, pa.float64()) for n in ("x0", "y0", "dx", "dy")], ("width", pa.int32()), ("height", pa.int32()), ("nodata", pa.float64()), ("images", pa.int32())])
-_BLOCKS = pa.schema([("path", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("dx", pa.float64()), ("dy", pa.float64()), ("row_off", pa.int32()), ("col_off", pa.int32()), ("rows", pa.int32()), ("cols", pa.int32()), ("cells", pa.list_(pa.float32()))])
+_BLOCKS = pa.schema([("path", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("dx", pa.float64()), ("dy", pa.float64()), ("row_off", pa.int32()), ("col_off", pa.int32()), ("rows", pa.int32()), ("cols", pa.int32()), ("crs", pa.string()), ("cells", pa.list_(pa.float32()))])
 
 
 def _files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
@@ -333,7 +352,7 @@ def _files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
 
 
 def read_blocks(spark: SparkSession, path: str, nodata: float | None = None, recursive: bool = True) -> DataFrame:
-    """One row a block: path, x and y of its corner, cell sizes, offsets, sizes, and its cells row by row, nodata as NULL.
+    """One row a block: path, x and y of its corner, cell sizes, offsets, sizes, coordinate system, and its cells row by row, nodata as NULL.
 
     `nodata` overrides what the files declare. Band 1 alone is read.
     """
@@ -347,10 +366,10 @@ def read_blocks(spark: SparkSession, path: str, nodata: float | None = None, rec
                     values = block.astype(np.float32).ravel()
                     hole = ~np.isfinite(values) if empty is None else ~np.isfinite(values) | (values == np.float32(empty))
                     cells = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, mask=hole))
-                    rest = [[name], [g.x0 + col * g.dx], [g.y0 - row * g.dy], [g.dx], [g.dy], [row], [col], [block.shape[0]], [block.shape[1]]]
+                    rest = [[name], [g.x0 + col * g.dx], [g.y0 - row * g.dy], [g.dx], [g.dy], [row], [col], [block.shape[0]], [block.shape[1]], [g.crs]]
                     yield pa.RecordBatch.from_arrays([*(pa.array(v, f.type) for v, f in zip(rest, _BLOCKS, strict=False)), cells], schema=_BLOCKS)
 
-    schema = "path string, x double, y double, dx double, dy double, row_off int, col_off int, rows int, cols int, cells array<float>"
+    schema = "path string, x double, y double, dx double, dy double, row_off int, col_off int, rows int, cols int, crs string, cells array<float>"
     return _files(spark, path, recursive).mapInArrow(work, schema)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def monthly_running(stream: DataFrame, key: str, stamp: str, value: str, delay: str = "40 days") -> DataFrame:
-    """key, month, n, mean of a stream; a month's state is dropped once rows `delay` late are past. Works on static tables too.
+    """Of a static table key, month, n, mean; of a stream key, day, n, total, whose state is dropped once rows `delay` late are past: months_of_days
+    makes months of these.
 
     `stamp` is a time stamp with time zone (event time).
     """

@@ -15,8 +15,9 @@ def test_queries_and_oracles_belong_together():
     assert all(callable(q) for q in queries.values())
 
 
-def test_stands_without_the_training_text_folders(tmp_path):
-    ignored = shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse")
+@pytest.mark.parametrize("gone", [["llm", "corpus_pipeline.py"], ["llm"]], ids=["with the pipeline", "alone"])
+def test_stands_without_the_training_text_folders(tmp_path, gone):
+    ignored = shutil.ignore_patterns(".git", *gone, "__pycache__", "spark-warehouse")
     shutil.copytree(ROOT, tmp_path / "r", ignore=ignored)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'monthly_obs_stats' in q and 'pipeline' not in q; print(len(q), len(e.oracle_sql()))"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
