@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrastack.sources.shared import shared_folder
+
 #: ASCII white space that ends a word: space and \x09-\x0D. bytes.split() and this pattern agree.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -28,11 +28,8 @@ def id_remainder(divisor: int, doc_id: Column | str = "doc_id") -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder of spark.checkpoint.dir; makes one only where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    """Uses the shared folder of spark.checkpoint.dir; only a local session makes one of its own, as in tests."""
+    shared_folder(spark)
 
 
 def text_bytes(docs: DataFrame) -> tuple[int, int]:

@@ -68,7 +68,9 @@ def likeness(a: Column, b: Column) -> Column:
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "bins") -> DataFrame:
     """`docs` with `out`, the fingerprint of the column `text` as an array of bytes; equal texts have equal fingerprints.
 
-    Null texts count as empty. A text without words has a fingerprint of zeros, and is like other such texts only.
+    Null texts count as empty; texts of any length are hashed whole. A text without words has a fingerprint of zeros, and is like other such texts only. Repeated rows
+    and rows with a null doc_id are rows like others; empty tables stay empty. The other columns stay, but for those named `out` or `out`_0_ to `out`_5_, which
+    are overwritten.
     """
     return _bins(docs, text, out)
 
@@ -123,8 +125,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document's, in ascending
-    doc_id; after the last document comes the first, and a table of one row follows itself. Null texts count as empty; rows that share
-    a doc_id follow each other by text. Empty tables give no rows.
+    doc_id; after the last document comes the first, and a table of one row follows itself. Null and empty texts have nothing to replace; texts of any length
+    are taken whole; rows that share a doc_id (repeated rows among them) follow each other by text; rows with a null doc_id come first, and all in one range, so
+    that a table with many of them is slow. Empty tables give no rows. Other columns, whatever their names, are left out.
     """
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = with_fingerprints(narrow, "text", "bins")

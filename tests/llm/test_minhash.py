@@ -1,7 +1,11 @@
 import hashlib
 import random
+import re
+import string
 
+import numpy as np
 import pytest
+import xxhash
 
 from terrastack.llm import minhash
 
@@ -76,3 +80,58 @@ def test_small_tables(spark):
     only = minhash.edited_fingerprints(spark.createDataFrame([(5, "one two three four")], schema)).first()
     assert only.edited_sha256 == hashlib.sha256(b"one two tone two t").hexdigest()
     assert only.near_next == 1.0
+
+
+def spark_hash(*values):
+    """What F.xxhash64 gives: each value (text, 64-bit or 32-bit number) hashed with the hash before it as seed; nulls are passed over."""
+    seed = 42
+    for kind, value in values:
+        raw = value.encode() if kind == "s" else value.to_bytes(8 if kind == "l" else 4, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_fingerprint(text):
+    """Bins, densification and low-order bits written out with dictionaries."""
+    lower = "".join(c.lower() if c in string.ascii_uppercase else c for c in text or "")
+    words = [("l", spark_hash(("s", w))) for w in re.split(r"[\x20\x09-\x0D]+", lower) if w]
+    hashes = [spark_hash(*words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+    least = {}
+    for h in hashes:
+        least[(h >> 56) + 128] = min(h, least.get((h >> 56) + 128, h))
+    draws = np.random.default_rng(97).integers(0, minhash.BINS, (minhash.DRAWS, minhash.BINS))
+    out = []
+    for i in range(minhash.BINS):
+        places = [i, *draws[:, i].tolist()]
+        value = next((least[p] for p in places if p in least), None)
+        if value is None:
+            value = min(((spark_hash(("i", i), ("i", j)), v) for j, v in least.items()), default=(0, 0))[1]
+        out.append(value & 255)
+    return out
+
+
+def brute_likeness(a, b):
+    equal = sum(x == y for x, y in zip(a, b, strict=True)) / 256
+    return min(1.0, max(0.0, (equal - 1 / 256) / (1 - 1 / 256)))
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark):
+    rng = random.Random(17)
+    words = ["Alpha", "beta", "Été", "x.", "gamma", *map(str, range(40))]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 3, 4, 5, 6, 30, 300, 3000]))) for _ in range(24)] + [None, "", " \n", "same words here", "same words here"]
+    docs = spark.createDataFrame([(5 * i, t, "b") for i, t in enumerate(texts)], "doc_id long, text string, bins string")
+    got = {r.doc_id: r for r in minhash.edited_fingerprints(docs).collect()}
+    own = [brute_fingerprint(t) for t in texts]
+    for i, text in enumerate(texts):
+        text, after = text or "", (i + 1) % len(texts)
+        half = len(text) // 2
+        edited = brute_fingerprint(text[: len(text) - half] + (texts[after] or "")[:half])
+        r = got[5 * i]
+        assert r.fingerprint == bytes(own[i]).hex() and r.edited_fingerprint == bytes(edited).hex()
+        assert r.near_edited == pytest.approx(brute_likeness(own[i], edited)) and r.near_next == pytest.approx(brute_likeness(own[i], own[after]))
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i % 7919}" for i in range(150_000))
+    got = {r.doc_id: r for r in minhash.edited_fingerprints(spark.createDataFrame([(1, long), (2, long), (None, "a b")], "doc_id long, text string")).collect()}
+    assert got[1].fingerprint == got[2].fingerprint == bytes(brute_fingerprint(long)).hex() and got[1].n_chars == len(long)
