@@ -62,15 +62,15 @@ def monthly_obs_stats(mean_counts: DataFrame) -> DataFrame:
 
 
 def regional_obs_stats(mean_counts: DataFrame, membership: DataFrame, state: str = "state") -> DataFrame:
-    """region, month_num, month_label, mean and median. A pixel counts in every region that holds its state; `membership` is small."""
-    found = zonal(mean_counts.join(F.broadcast(membership), state), "obs_count", ["region", "month"])
+    """region, month_num, month_label, mean and median. A pixel counts in every region that holds its state; whether `membership` is broadcast goes by its size."""
+    found = zonal(mean_counts.join(membership, state), "obs_count", ["region", "month"])
     return found.select("region", F.col("month").alias("month_num"), month_label(F.col("month")).alias("month_label"), "obs_count_mean", "obs_count_median")
 
 
 def regional_single_year(counts: DataFrame, membership: DataFrame, year: int, months: list[int], state: str = "state") -> DataFrame:
     """region, year, month, mean and median of one year's counts (pixel_id, state, year, month, obs_count)."""
     some = counts.where((F.col("year") == year) & F.col("month").isin(months))
-    return zonal(some.join(F.broadcast(membership), state), "obs_count", ["region", "year", "month"])
+    return zonal(some.join(membership, state), "obs_count", ["region", "year", "month"])
 
 
 def gap_fraction(mean_counts: DataFrame, thresholds: dict[str, float] | None = None, mask: Column | None = None) -> DataFrame:

@@ -41,10 +41,10 @@ def bounds(pixels: DataFrame, by: list[str], x: str = "x", y: str = "y") -> Data
 
 
 def dissolve(pixels: DataFrame, membership: DataFrame, state: str = "state") -> DataFrame:
-    """region, pixel_id: the distinct pixels of each region's member states. `membership` (region, state) is small; regions may overlap."""
-    return pixels.join(F.broadcast(membership), state).select("region", "pixel_id").distinct()
+    """region, pixel_id: the distinct pixels of each region's member states. Regions may overlap; whether `membership` (region, state) is broadcast goes by its size."""
+    return pixels.join(membership, state).select("region", "pixel_id").distinct()
 
 
 def ranked(frame: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds ordinal, 0 first, over a small table (file lists, zone codes)."""
+    """Adds ordinal, 0 first, in one task: for file lists and zone codes, which have a short row for each file or zone, never for pixels."""
     return frame.withColumn("ordinal", F.row_number().over(W.orderBy(*order)) - 1)
