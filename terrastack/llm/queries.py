@@ -62,7 +62,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sentence of every text that a license notice matches."""
+    """Every window of every text that a license or notice matches best."""
     return licenses.scan(documents(spark, sf_dir))
 
 
