@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from terrastack.llm.common import block_count, ensure_checkpoint_dir
 
 #: UTF-8 bytes of text in a block: what one task holds at a time.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 9_000_000
 #: Partitions that blocks are dealt to at most; beyond it a task takes several blocks, one after another.
 MOST_PARTITIONS = 20_000
 #: Ranges of keys that a block sends to at most, and blocks whose entries are gathered.
