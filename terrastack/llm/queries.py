@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrastack.llm import chunk_dedup, licenses, media, minhash, ngram_lm, packing, piece_bpe, quality, simhash, toxicity
+from terrastack.llm import chunk_dedup, licenses, media, minhash, ngram_lm, packing, periodic_runs, piece_bpe, quality, simhash, toxicity
 from terrastack.llm.common import narrow, read_table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,6 +66,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of every text, some with planted periods: how many, the one that repeats most, digests of all and of the text without repeats."""
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.planted(documents(spark, sf_dir))))
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_lm_scoring": op2_lm_scoring,
@@ -77,5 +82,6 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op9_packing": op9_packing,
     "op6_sentencepiece": op6_sentencepiece,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql()}
