@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrastack.llm import chunk_dedup, licenses, media, minhash, ngram_lm, packing, periodic_runs, piece_bpe, quality, simhash, toxicity
+from terrastack.llm import chunk_dedup, html_extract, licenses, media, minhash, ngram_lm, packing, periodic_runs, piece_bpe, quality, simhash, toxicity
 from terrastack.llm.common import narrow, read_table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.planted(documents(spark, sf_dir))))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_lm_scoring": op2_lm_scoring,
@@ -83,5 +88,6 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op6_sentencepiece": op6_sentencepiece,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_html_extraction": op12_html_extraction,
 }
 ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql()}
