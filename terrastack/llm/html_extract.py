@@ -2,7 +2,7 @@
 
 A page is read as a sequence of words and tags (Pasternack and Roth, "Extracting article text from the web with maximum subsequence segmentation"). Words score
 by how likely they are text of an article, given whether they stand in a link, heading, list item, or in or outside of an article element; tags score below zero, the more
-the less often their kind stands in articles. Both weights are learned from labelled pages. One linear scan finds the contiguous region with the greatest sum. Elements that are never
+the less often their kind stands in articles (kinds that no labelled page has: as any tag in, or outside of, an article element). Both weights are learned from labelled pages. One linear scan finds the contiguous region with the greatest sum. Elements that are never
 part of an article (menus, forms, scripts, comments, whatever their names or roles tell) count as a single tag and leave no words, within the region too.
 """
 
@@ -214,7 +214,7 @@ class Weights:
     def __init__(self, pages: list[str]):
         read = [read_items(p) for p in pages]
         rows, marks, counts = [], [], []
-        tags: dict[str, list[float]] = {}
+        tags: dict[tuple[str, bool], list[float]] = {}
         for items in read:
             marked = _has_article(items)
             for x in items:
@@ -223,9 +223,10 @@ class Weights:
                     marks.append(x[7])
                     counts.append(len(x[0].split()))
                 else:
-                    tags.setdefault(x[0], [1.0, 2.0])
-                    tags[x[0]][0] += x[7]
-                    tags[x[0]][1] += 1
+                    for kind in ((x[0], x[3]), ("", x[3])):  # the empty name: any tag in, or outside of, an article element
+                        tags.setdefault(kind, [0, 0])
+                        tags[kind][0] += x[7]
+                        tags[kind][1] += 1
         # logistic regression, weakly held to zero, by Newton's steps; weighted by words
         x, y, n = np.array(rows, float), np.array(marks, float), np.array(counts, float)
         w = np.zeros(x.shape[1])
@@ -233,7 +234,8 @@ class Weights:
             p = 1 / (1 + np.exp(-(x @ w)))
             w += np.linalg.solve((x.T * (n * p * (1 - p))) @ x + 0.5 * np.eye(len(w)), x.T @ (n * (y - p)) - 0.5 * w)
         self.word = {f: 2 / (1 + float(np.exp(-(np.array(f, float) @ w)))) - 1 for f in np.ndindex(*(2,) * len(w))}
-        self.tag = {t: a / b - 1 for t, (a, b) in tags.items()}
+        any_tag = {zone: tags[("", zone)][0] / tags[("", zone)][1] for zone in (False, True)}
+        self.tag = {(t, zone): (a + 2 * any_tag[zone]) / (b + 2) - 1 for (t, zone), (a, b) in tags.items()}
         agreement = {c: round(sum(self._agreement(items, c) for items in read), 9) for c in (0.25, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 12.0)}
         best = [c for c, a in agreement.items() if a == max(agreement.values())]
         self.cost = best[len(best) // 2]
@@ -248,7 +250,7 @@ class Weights:
     def scores(self, items: list[tuple], cost: float | None = None) -> list[float]:
         cost = self.cost if cost is None else cost
         marked = _has_article(items)
-        return [self.word[tuple(map(int, _word_features(x, marked)))] * len(x[0].split()) if x[1] else cost * self.tag.get(x[0], -0.5) for x in items]
+        return [self.word[tuple(map(int, _word_features(x, marked)))] * len(x[0].split()) if x[1] else cost * self.tag.get((x[0], x[3]), self.tag["", x[3]]) for x in items]
 
 
 @cache

@@ -80,7 +80,7 @@ def test_region_equals_trying_all():
 
 def test_weights_are_words_for_and_tags_against():
     learned = html_extract.weights()
-    assert all(w <= 0 for w in learned.tag.values()) and learned.tag["p"] > learned.tag["div"]
+    assert all(w <= 0 for w in learned.tag.values()) and learned.tag["p", False] > learned.tag["div", False]
     word = lambda **on: learned.word[tuple(int(f == "bias" or f in on) for f in html_extract.FEATURES)]
     assert word() > 0 and word(inside=1) > 0 > word(outside=1) and word(link=1, item=1) < 0
     assert all(learned._agreement(html_extract.read_items(p), learned.cost) > 0.95 for p in html_extract.PAGES)
