@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrastack.llm import chunk_dedup, html_extract, licenses, media, minhash, ngram_lm, packing, periodic_runs, piece_bpe, quality, simhash, toxicity
+from terrastack.llm import chunk_dedup, hard_negatives, html_extract, licenses, media, minhash, ngram_lm, packing, periodic_runs, piece_bpe, quality, simhash, toxicity
 from terrastack.llm.common import narrow, read_table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,11 @@ def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    return hard_negatives.hard_negatives(hard_negatives.scaled_rows(read_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_lm_scoring": op2_lm_scoring,
@@ -89,5 +94,6 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_html_extraction": op12_html_extraction,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql()}
