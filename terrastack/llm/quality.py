@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log1p
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,9 @@ RAW, SHAPE, WORD = 2048, 1024, 64
 FEATURES = RAW + SHAPE + WORD
 #: Texts whose feature counts are held at a time, and their characters.
 BATCH_TEXTS, BATCH_CHARS = 256, 200_000
+#: Damped counts are whole numbers of 1 / STEP, components of vectors of 1 / GRID: FEATURES products of two of them stay below 2^53.
+STEP, GRID = 1 << 12, 1 << 20
+_LOGS = np.log1p(np.arange(1 << 16))
 
 
 def _shapes() -> np.ndarray:
@@ -91,7 +95,7 @@ def features(texts: list[str | None], out: np.ndarray | None = None) -> np.ndarr
 
 @dataclass
 class NeighbourModel:
-    """Feature weights, projection, and the labelled vectors with their labels."""
+    """Feature weights, projection (whole steps of 1 / GRID), and the labelled vectors (likewise) with their labels."""
 
     weight: np.ndarray
     projection: np.ndarray
@@ -104,16 +108,20 @@ class NeighbourModel:
         """Whether there were examples of both labels."""
         return len(np.unique(self.labels)) == 2
 
-    def project(self, counts: np.ndarray) -> np.ndarray:
-        """Unit vectors of the texts; a text without any known feature is the zero vector."""
-        flat = _unit(np.log1p(counts) * self.weight) @ self.projection
-        return _unit(flat)
+    def project(self, damped: np.ndarray) -> np.ndarray:
+        """Unit vectors of texts given by their damped counts, in whole steps of 1 / GRID; a text without any known feature is the zero vector.
+
+        All sums are of whole numbers and stay below 2^53, so they are exact, whatever their order: a text has the same vector in any company.
+        """
+        flat = damped @ self.projection
+        flat = np.rint(flat * (GRID / np.maximum(np.abs(flat).max(1, keepdims=True), 1)))
+        norm = np.sqrt((flat * flat).sum(1, keepdims=True))
+        return np.rint(flat * (GRID / np.maximum(norm, 1)))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Share of the nearest neighbours' similarity that is of label 1; 0.5 without labelled rows.
+        """Share of the nearest neighbours' similarity that is of label 1; 0.5 without labelled rows. Of equal cosines the labelled row that comes first counts.
 
-        A text scores the same in any company: blocks are filled up with empty rows to one size, so that all products are taken alike, cosines are rounded to
-        six places, and of equal ones the labelled row that comes first counts.
+        Cosines are exact whole numbers, and weights are added up in the order of the neighbours' places, so that a text scores the same in any company.
         """
         many = len(self.labels)
         if not many:
@@ -122,34 +130,45 @@ class NeighbourModel:
         scores = np.empty(len(texts))
         for start in range(0, len(texts), BATCH_TEXTS):
             own = texts[start : start + BATCH_TEXTS]
-            counts = np.zeros((BATCH_TEXTS, FEATURES), np.float32)
-            features(own, counts)
-            cosines = np.rint((self.project(counts) @ self.vectors.T)[: len(own)] * 1e6).astype(np.int64)
+            cosines = (self.project(damped(features(own), self.weight)) @ self.vectors.T).astype(np.int64)
             best = np.sort(np.argpartition(np.arange(many) - cosines * many, nearest - 1, axis=1)[:, :nearest], axis=1)
-            weight = np.maximum(np.take_along_axis(cosines, best, 1) / 1e6, 0) ** 8 + 1e-12
-            scores[start : start + len(own)] = (weight * self.labels[best]).sum(1) / weight.sum(1)
+            weight = np.maximum(np.take_along_axis(cosines, best, 1) / GRID**2, 0)
+            for _ in range(3):  # the eighth power
+                weight = weight * weight
+            weight += 1e-12
+            votes, total = np.zeros(len(own)), np.zeros(len(own))
+            for place in range(nearest):
+                votes += weight[:, place] * self.labels[best[:, place]]
+                total += weight[:, place]
+            scores[start : start + len(own)] = votes / total
         return np.clip(scores, 0.0, 1.0)
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+def damped(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """log(1 + count) times the feature's weight in whole steps of 1 / STEP, below 2^20: equal counts give equal numbers, wherever they stand."""
+    whole = counts.astype(np.int64)
+    logs = _LOGS[np.minimum(whole, len(_LOGS) - 1)]
+    for at in np.argwhere(whole >= len(_LOGS)):
+        logs[tuple(at)] = log1p(int(whole[tuple(at)]))
+    return np.rint(logs * (weight * STEP))
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> NeighbourModel:
     """Weights and leading singular vectors (by subspace iteration from a fixed start) of the labelled texts' counts, which are overwritten."""
     if not len(labels):
-        return NeighbourModel(np.zeros(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), labels.astype(np.float64))
-    weight = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    matrix = np.log1p(counts, out=counts)  # in place: this is the driver's largest array
-    matrix *= weight
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
+        return NeighbourModel(np.zeros(FEATURES), np.zeros((FEATURES, 1)), np.zeros((0, 1)), labels.astype(np.float64))
+    weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
+    for start in range(0, len(counts), BATCH_TEXTS):  # in place: this is the driver's largest array; whole numbers below 2^20 are exact in it
+        counts[start : start + BATCH_TEXTS] = damped(counts[start : start + BATCH_TEXTS], weight)
+    norm = np.sqrt(np.einsum("ij,ij->i", counts, counts, dtype=np.float64))[:, None].astype(np.float32) + np.float32(1e-30)
     basis = np.random.default_rng(11).standard_normal((FEATURES, min(dimensions + 8, FEATURES))).astype(np.float32)
     for _ in range(6):
-        basis = np.linalg.qr(matrix.T @ (matrix @ basis))[0]
-    left, scale, right = np.linalg.svd(matrix @ basis, full_matrices=False)
-    projection = (basis @ right.T)[:, :dimensions].astype(np.float32)
-    return NeighbourModel(weight, projection, _unit(matrix @ projection), labels.astype(np.float64), neighbours)
+        basis = np.linalg.qr(counts.T @ ((counts @ basis) / norm**2))[0]
+    left, scale, right = np.linalg.svd((counts @ basis) / norm, full_matrices=False)
+    projection = np.rint((basis @ right.T)[:, :dimensions].astype(np.float64) * GRID)
+    model = NeighbourModel(weight, projection, np.zeros((0, 1)), labels.astype(np.float64), neighbours)
+    model.vectors = np.concatenate([model.project(counts[s : s + BATCH_TEXTS].astype(np.float64)) for s in range(0, len(counts), BATCH_TEXTS)])
+    return model
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int, most: int) -> DataFrame:

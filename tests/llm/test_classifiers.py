@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
@@ -30,7 +34,7 @@ def test_votes_equal_brute_force():
     asked = texts[::7] + ["", "other words", None]
     got = model.score(asked)
     for text, score in zip(asked, got, strict=True):
-        mine = model.project(quality.features([text]))[0]
+        mine = model.project(quality.damped(quality.features([text]), model.weight))[0] / quality.GRID
         cosines = [float(mine @ v) for v in model.vectors]
         best = sorted(range(80), key=lambda i: -cosines[i])[:5]
         weights = [max(cosines[i], 0) ** 8 + 1e-12 for i in best]
@@ -133,11 +137,79 @@ def test_long_labelled_texts_teach(spark):
 
 def test_quality_scores_do_not_depend_on_company():
     rng = np.random.default_rng(2)
-    texts = ["".join(rng.choice(list("abcdefgh !"), rng.integers(0, 300))) for _ in range(300)] + [None, ""]
+    texts = ["".join(rng.choice(list("abcdefgh !"), rng.integers(0, 300))) for _ in range(300)] + [None, "", "word " * 90_000]
     model = quality.fit(quality.features(texts), rng.integers(0, 2, len(texts)))
     together = model.score(texts)
     assert [float(model.score([t])[0]) for t in texts[::4]] == together[::4].tolist()
     assert model.score(texts[::-1]).tolist() == together[::-1].tolist()
+    for place in (0, 1, 7, 100, 255, 256):  # at other places of a block
+        others = texts[: place % 256]
+        assert model.score(others + texts)[len(others) :].tolist() == together.tolist()
+
+
+@pytest.mark.parametrize("threads", ["1", "4"])
+def test_quality_scores_with_threads(threads):
+    """Equal texts score alike at every place, however the products are shared out."""
+    code = (
+        "import numpy as np; from terrastack.llm import quality; rng = np.random.default_rng(3);"
+        "texts = [''.join(rng.choice(list('abcdef g!'), rng.integers(0, 200))) for _ in range(150)];"
+        "model = quality.fit(quality.features(texts), rng.integers(0, 2, 150)); doubled = model.score([t for t in texts for _ in range(3)]);"
+        "assert (doubled.reshape(-1, 3) == model.score(texts)[:, None]).all()"
+    )
+    settings = {"OMP_NUM_THREADS": threads, "OPENBLAS_NUM_THREADS": threads}
+    subprocess.run([sys.executable, "-c", code], env=os.environ | settings, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))), check=True, timeout=120)
+
+
+def test_quality_model_equals_brute_force():
+    """Features by plain counting, weights and singular vectors by their definitions, cosines and votes in Python."""
+    rng = np.random.default_rng(6)
+    topics = [["".join(rng.choice(list("abcDE1é!"), rng.integers(1, 6))) for _ in range(5)] for _ in range(4)]
+    texts = [" ".join(rng.choice(topics[i % 4], rng.integers(15, 30))) for i in range(60)] + [""]
+
+    def hashed(codes, buckets):
+        h = (codes[0] << 42 | codes[1] << 21 | codes[2]) * 0x9E3779B97F4A7C15 % 2**64
+        return ((h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64 >> 40) % buckets
+
+    def shape(c):
+        letter = chr(c)
+        return 1 if c >= 0x250 or letter.islower() else 2 if letter.isupper() else 3 if letter.isdigit() else 4 if letter.isspace() else c
+
+    counts = np.zeros((len(texts), quality.FEATURES))
+    for row, text in zip(counts, texts, strict=True):
+        codes = [ord(c) for c in f"\n{text}\n"]
+        for trio in zip(codes, codes[1:], codes[2:], strict=False):
+            row[hashed(trio, quality.RAW)] += 1
+            row[quality.RAW + hashed([shape(c) for c in trio], quality.SHAPE)] += 1
+        words = text.split()
+        pairs = list(zip(words, words[1:], strict=False))
+        at = row[quality.RAW + quality.SHAPE :]
+        if words:
+            at[1], at[2] = len(words), sum(a == b for a, b in pairs)
+            at[3], at[4] = sum(a == b for a, b in zip(words, words[2:], strict=False)), len(pairs) - len(set(pairs))
+            at[5 + min(9, int(10 * at[2] / len(words)))] = at[15 + min(9, int(10 * at[4] / len(words)))] = len(words)
+            for w in words:
+                at[25 + min(len(w), 19)] += 1
+        else:
+            at[0] = 1
+    assert (quality.features(texts) == counts).all()
+
+    labels = rng.integers(0, 2, len(texts))
+    model = quality.fit(quality.features(texts), labels, 4, 5)
+    weight = np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))) + 1
+    assert np.allclose(model.weight, weight, rtol=1e-12)
+    rows = np.log1p(counts) * weight
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    singular = np.linalg.svd(rows, full_matrices=False)[2][:4]
+    flat = rows @ singular.T
+    wanted = (flat / np.linalg.norm(flat, axis=1, keepdims=True)) @ (flat / np.linalg.norm(flat, axis=1, keepdims=True)).T
+    cosines = model.vectors @ model.vectors.T / quality.GRID**2
+    assert np.abs(cosines - wanted)[:60, :60].max() < 1e-3  # the empty text is next to zero among these vectors
+    exact = [[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in model.vectors] for u in model.vectors]
+    assert (model.vectors @ model.vectors.T == np.array(exact, np.float64)).all()
+    for i, scores in enumerate(exact):
+        near = sorted(range(len(texts)), key=lambda j: (-scores[j], j))[:5]
+        votes = {j: max(0, scores[j] / quality.GRID**2) ** 8 + 1e-12 for j in near}
+        assert model.score([texts[i]])[0] == pytest.approx(sum(votes[j] * labels[j] for j in near) / sum(votes.values()), abs=1e-12)
 
 
 def test_equal_cosines_go_by_place():
