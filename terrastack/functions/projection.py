@@ -52,3 +52,18 @@ def to_lonlat(x: Column, y: Column, steps: int = 6) -> tuple[Column, Column]:
     # each step is bound to a lambda variable: written out, the expression would grow fivefold a step
     start = F.array(F.asin(q / 2))
     return lon, F.degrees(F.get(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda acc, _: F.transform(acc, step)), F.lit(0)))
+
+
+#: Systems that coordinates can be moved between; those in degrees are taken as one, datum shifts of a metre or two being left out.
+DEGREES, METRES = ("EPSG:4269", "EPSG:4326", "OGC:CRS84"), ("EPSG:5070",)
+
+
+def transform(x: Column, y: Column, crs: str, to: str) -> tuple[Column, Column]:
+    """(x, y) of one system in another; unknown systems are refused unless they are the same."""
+    if crs == to or crs in DEGREES and to in DEGREES:
+        return x, y
+    if crs in DEGREES and to in METRES:
+        return to_albers(x, y)
+    if crs in METRES and to in DEGREES:
+        return to_lonlat(x, y)
+    raise ValueError(f"no way from {crs} to {to}: {', '.join(DEGREES + METRES)} are known")

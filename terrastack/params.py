@@ -40,9 +40,12 @@ class DensityParams:
         return self.last_year - self.first_year + 1
 
 
+RESAMPLING = ("nearest", "bilinear", "average")
+
+
 @dataclass(frozen=True)
 class MosaicParams:
-    """prefer 'src' keeps the last valid tile of a cell, 'dest' the first. A scale of None or 1 leaves values as they are."""
+    """prefer 'src' keeps the last valid tile of a cell, 'dest' the first. A scale of None or 1 leaves values as they are. resampling: how tiles are brought onto the grid."""
 
     prefer: str = "src"
     scale: float | None = 0.01
@@ -52,8 +55,8 @@ class MosaicParams:
     def __post_init__(self) -> None:
         if self.prefer not in ("src", "dest"):
             raise ValueError(f"prefer must be 'src' or 'dest', not {self.prefer!r}")
-        if self.resampling != "nearest":
-            raise ValueError("only nearest resampling is built")
+        if self.resampling not in RESAMPLING:
+            raise ValueError(f"resampling must be one of {', '.join(RESAMPLING)}, not {self.resampling!r}")
 
 
 @dataclass(frozen=True)

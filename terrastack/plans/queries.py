@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrastack.functions import landcover, masks, projection, spectral
-from terrastack.operators import composite, density, grid, mosaic, quality_flags, retrieval, zonal
+from terrastack.operators import composite, density, grid, mosaic, outlines, quality_flags, retrieval, warp, zonal
 from terrastack.params import CompositeParams, DensityParams, ForestParams, MosaicParams
 from terrastack.plans.views import oracle, view
 from terrastack.schemas import epoch_by_year
@@ -128,6 +128,34 @@ def block_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.block_grid(spark, 3100, 2300)
 
 
+# Outlines
+
+
+@query("SELECT zone, pixel_id, grid_row, grid_col FROM {zone_cells}")
+def zone_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pixel with the zones whose outline holds its centre."""
+    intervals = outlines.cover(view(spark, sf_dir, "outlines"), GRID)
+    return outlines.members(view(spark, sf_dir, "pixels"), intervals, 8).select("zone", "pixel_id", "grid_row", "grid_col")
+
+
+@query("SELECT zone, count(*) AS cells, CAST(min(grid_row) AS INT) AS first_row, CAST(max(grid_row) AS INT) AS last_row, CAST(sum(grid_col) AS BIGINT) AS columns_total FROM {zone_cells} GROUP BY zone")
+def zone_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and place of each zone, from its intervals alone."""
+    width = F.col("col_to") - F.col("col_from") + 1
+    total = (F.col("col_from") + F.col("col_to")) * width / 2
+    found = outlines.cover(view(spark, sf_dir, "outlines"), GRID).groupBy("zone")
+    return found.agg(F.sum(width).alias("cells"), F.min("grid_row").alias("first_row"), F.max("grid_row").alias("last_row"), F.sum(total).cast("long").alias("columns_total"))
+
+
+@query("""SELECT region, count(*) AS pixels, CAST(sum(is_veg) AS BIGINT) AS vegetated FROM (SELECT DISTINCT r.region, z.pixel_id, z.is_veg FROM {zone_cells} z JOIN {region_states} r ON z.zone = r.state_key) GROUP BY region""")
+def region_dissolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as unions of their zones' outlines, which overlap in parts: each pixel counts once in a region."""
+    held = outlines.members(view(spark, sf_dir, "pixels").select("pixel_id", "grid_row", "grid_col", "is_veg"), outlines.cover(view(spark, sf_dir, "outlines"), GRID))
+    regions = zonal.dissolve(held.select("pixel_id", F.col("zone").alias("state_key")), view(spark, sf_dir, "region_states"), "state_key")
+    counted = regions.join(view(spark, sf_dir, "pixels").select("pixel_id", "is_veg"), "pixel_id")
+    return counted.groupBy("region").agg(F.count(F.lit(1)).alias("pixels"), F.sum("is_veg").alias("vegetated"))
+
+
 # Bands, masks, indices
 
 
@@ -386,6 +414,77 @@ def warp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.warp_nearest(source, GRID, grid.cells(spark, COARSE), COARSE).select("grid_row", "grid_col", six("value"))
 
 
+#: The tiles' own grid in degrees, and an Albers grid that covers part of it and some ground beside it.
+DEGREES = grid.GridSpec(x0=-98.0, y0=40.0, dx=0.004, dy=0.003, width=20, height=10, nodata=-9999.0, crs="EPSG:4269")
+ALBERS = grid.GridSpec(x0=-170500.0, y0=1887500.0, dx=270.0, dy=290.0, width=26, height=15)
+
+
+def _back(points: str) -> str:
+    """Oracle: `points` (r, c: rows and columns of the ALBERS grid, any others) with v and u, their place on the DEGREES grid: Albers undone by six steps of Snyder's iteration."""
+    found = f"""SELECT *, sqrt(x * x + (r0 - y) * (r0 - y)) AS rho, degrees(radians(-96e0) + atan2(x, r0 - y) / n) AS lon FROM (SELECT *, -170500e0 + c * 270e0 AS x, 1887500e0 - r * 290e0 AS y FROM ({points}))
+ CROSS JOIN (SELECT 0.60290276906576e0 AS n, 1.3491820315609704e0 AS k, 9928937.004248783e0 AS r0, 6378137e0 AS a, (1 / 298.257222101e0) * (2 - 1 / 298.257222101e0) AS e2, sqrt((1 / 298.257222101e0) * (2 - 1 / 298.257222101e0)) AS e)"""
+    found = f"SELECT *, (k - rho * rho * n * n / (a * a)) / n AS q FROM ({found})"
+    found = f"SELECT *, asin(q / 2) AS lat FROM ({found})"
+    for _ in range(6):
+        step = "lat + power(1 - e2 * sin(lat) * sin(lat), 2) / (2 * cos(lat)) * (q / (1 - e2) - sin(lat) / (1 - e2 * sin(lat) * sin(lat)) + ln((1 - e * sin(lat)) / (1 + e * sin(lat))) / (2 * e))"
+        found = f"SELECT * REPLACE ({step} AS lat) FROM ({found})"
+    return f"SELECT * EXCLUDE (x, y, rho, lon, n, k, r0, a, e2, e, q, lat), (40e0 - degrees(lat)) / 0.003e0 AS v, (lon + 98e0) / 0.004e0 AS u FROM ({found})"
+
+
+_CELLS = "SELECT CAST(i AS INT) AS grid_row, CAST(j AS INT) AS grid_col, {} FROM range(0, 15) AS a(i), range(0, 26) AS b(j)"
+_CENTRES = f"({_back(_CELLS.format('i + 0.5e0 AS r, j + 0.5e0 AS c'))}) WHERE v >= 0 AND u >= 0 AND v < 10 AND u < 20"
+_FOUR = f"SELECT grid_row, grid_col, floor(v - 0.5) + di AS sr, floor(u - 0.5) + dj AS sc, abs(1 - di - (v - 0.5 - floor(v - 0.5))) * abs(1 - dj - (u - 0.5 - floor(u - 0.5))) AS w FROM {_CENTRES.replace(' WHERE', ' CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(di, dj) WHERE')}"
+_BOXES = f"SELECT grid_row, grid_col, min(v) AS v0, max(v) AS v1, min(u) AS u0, max(u) AS u1 FROM ({_back(_CELLS.format('i + di AS r, j + dj AS c') + ', (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(di, dj)')}) GROUP BY ALL"
+_AREAS = f"SELECT grid_row, grid_col, sr, sc, (least(v1, sr + 1) - greatest(v0, sr)) * (least(u1, sc + 1) - greatest(u0, sc)) AS w FROM ({_BOXES}), range(0, 10) AS d(sr), range(0, 20) AS e(sc) WHERE sr < v1 AND sr + 1 > v0 AND sc < u1 AND sc + 1 > u0"
+_NEAREST = f"SELECT grid_row, grid_col, floor(v) AS sr, floor(u) AS sc, 1e0 AS w FROM {_CENTRES}"
+
+
+def _warped(touches: str) -> str:
+    """Oracle: each tile by its weights, then the last tile of each cell."""
+    return f"""SELECT grid_row, grid_col, round(arg_max(raw, tile_ordinal) * 0.01e0, 6) AS value, max(tile_ordinal) AS tile_ordinal FROM (SELECT t.grid_row, t.grid_col, s.tile_ordinal, sum(w * s.raw) / sum(w) AS raw
+ FROM ({touches}) t JOIN {{ordered_tiles}} s ON s.grid_row = t.sr AND s.grid_col = t.sc WHERE s.raw <> 0 AND w > 1e-9 GROUP BY ALL) GROUP BY ALL"""
+
+
+def _warp_tiles(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    found = warp.warp_mosaic(ordered_tiles(spark, sf_dir), DEGREES, ALBERS, MosaicParams(nodata=0, resampling=method))
+    return found.select("grid_row", "grid_col", six("value"), "tile_ordinal")
+
+
+@query(_warped(_NEAREST))
+def warp_degrees_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles in degrees brought onto an Albers grid, the last one winning."""
+    return _warp_tiles(spark, sf_dir, "nearest")
+
+
+@query(_warped(_FOUR))
+def warp_degrees_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warp_tiles(spark, sf_dir, "bilinear")
+
+
+@query(_warped(_AREAS))
+def warp_degrees_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warp_tiles(spark, sf_dir, "average")
+
+
+_COARSE = "SELECT CAST(i AS INT) AS grid_row, CAST(j AS INT) AS grid_col, {} FROM range(0, 7) AS a(i), range(0, 14) AS b(j)"
+_SAME = """SELECT t.grid_row, t.grid_col, round(sum(w * m.value) / sum(w), 6) AS value FROM ({}) t JOIN {{mosaic}} m ON m.grid_row = t.sr AND m.grid_col = t.sc WHERE w > 1e-9 GROUP BY ALL"""
+
+
+@query(_SAME.format(f"""SELECT grid_row, grid_col, floor(v) + di AS sr, floor(u) + dj AS sc, abs(1 - di - (v - floor(v))) * abs(1 - dj - (u - floor(u))) AS w
+ FROM ({_COARSE.format("((i + 0.5) * 45 - 10) / 30e0 - 0.5 AS v, ((j + 0.5) * 45 + 15) / 30e0 - 0.5 AS u")}), (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(di, dj) WHERE v >= -0.5 AND u >= -0.5 AND v < 9.5 AND u < 19.5"""))
+def warp_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within one coordinate system: the mosaic on a shifted grid of larger cells."""
+    source = mosaic.merge(ordered_tiles(spark, sf_dir), MosaicParams(nodata=0)).drop("tile_ordinal")
+    return warp.warp(source, GRID, COARSE, "bilinear").select("grid_row", "grid_col", six("value"))
+
+
+@query(_SAME.format(f"""SELECT grid_row, grid_col, sr, sc, (least(v + 1.5, sr + 1) - greatest(v, sr)) * (least(u + 1.5, sc + 1) - greatest(u, sc)) AS w
+ FROM ({_COARSE.format("(i * 45 - 10) / 30e0 AS v, (j * 45 + 15) / 30e0 AS u")}), range(0, 10) AS d(sr), range(0, 20) AS e(sc) WHERE sr < v + 1.5 AND sr + 1 > v AND sc < u + 1.5 AND sc + 1 > u"""))
+def warp_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = mosaic.merge(ordered_tiles(spark, sf_dir), MosaicParams(nodata=0)).drop("tile_ordinal")
+    return warp.warp(source, GRID, COARSE, "average").select("grid_row", "grid_col", six("value"))
+
+
 @query("""WITH last AS (SELECT grid_row, grid_col, arg_max(raw, tile_ordinal) AS raw FROM {ordered_tiles} WHERE raw <> 0 GROUP BY ALL)
  SELECT CAST(f AS INT) AS level, CAST(floor(grid_row / f) AS INT) AS grid_row, CAST(floor(grid_col / f) AS INT) AS grid_col, round(CAST(sum(raw) AS DOUBLE) / count(*) * 0.01e0, 6) AS value
  FROM last CROSS JOIN (VALUES (2), (4), (8), (16), (32)) AS t(f) GROUP BY ALL""")

@@ -43,10 +43,22 @@ WHERE (l_partkey % 200 + 3 * n_nationkey) % 20 < 4 GROUP BY n.n_name, l_partkey
     "cover": """SELECT pixel_id, e.epoch, r.release_rank, CASE WHEN (pixel_id + e.epoch + r.release_rank) % 11 = 0 THEN 99 ELSE c.landcover END AS landcover
 FROM {pixels} JOIN (VALUES (2001),(2004),(2006),(2008),(2011),(2013),(2016),(2019)) AS e(epoch) ON 1 = 1 JOIN (VALUES (0),(1)) AS r(release_rank)
  ON (pixel_id + e.epoch) % 3 <> r.release_rank JOIN {class_map} c ON (pixel_id + 3 * e.epoch + 7 * r.release_rank) % 20 = c.ix""",
+    # zone outlines: a lattice of 5 x 5 slanted cells that share their edges; every third zone has a hole, every fourth a part of its own across others
+    "outlines": """SELECT n_nationkey AS zone, 0 AS ring, seq, 120e0 * (n_nationkey % 5 + a) + 14e0 * (((n_nationkey % 5 + a) * 3 + (floor(n_nationkey / 5) + b) * 5) % 4) AS x,
+ 60e0 * (floor(n_nationkey / 5) + b) + 9e0 * (((n_nationkey % 5 + a) * 2 + floor(n_nationkey / 5) + b) % 3) AS y
+ FROM {nation} JOIN (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) AS t(seq, a, b) ON 1 = 1
+UNION ALL SELECT n_nationkey, 1, seq, 120e0 * (n_nationkey % 5) + a, 60e0 * floor(n_nationkey / 5) + b FROM {nation} JOIN (VALUES (0, 41, 15), (1, 107, 22), (2, 65, 52)) AS t(seq, a, b) ON n_nationkey % 3 = 0
+UNION ALL SELECT n_nationkey, 2, seq, 37e0 * (n_nationkey % 11) + a, 11e0 * n_nationkey + b FROM {nation} JOIN (VALUES (0, 0, -40), (1, 75, -33), (2, 75, 10), (3, 0, -40)) AS t(seq, a, b) ON n_nationkey % 4 = 0""",
 }
 
 #: The deterministic stand-in for a retrieval: 3 + 9 NDVI. Oracles only; queries compute these by the library's operators.
 ORACLE_VIEWS = {
+    "edges": """SELECT zone, CASE WHEN y < yn THEN x ELSE xn END AS x1, least(y, yn) AS y1, CASE WHEN y < yn THEN xn ELSE x END AS x2, greatest(y, yn) AS y2
+ FROM (SELECT zone, x, y, coalesce(lead(x) OVER (PARTITION BY zone, ring ORDER BY seq), first_value(x) OVER (PARTITION BY zone, ring ORDER BY seq)) AS xn,
+ coalesce(lead(y) OVER (PARTITION BY zone, ring ORDER BY seq), first_value(y) OVER (PARTITION BY zone, ring ORDER BY seq)) AS yn FROM {outlines}) WHERE y <> yn""",
+    # a point lies in a zone if a ray to its left crosses an odd number of edges
+    "zone_cells": """SELECT e.zone, p.pixel_id, p.grid_row, p.grid_col, p.is_veg FROM {pixels} p JOIN {edges} e ON e.y1 <= 300e0 - (p.grid_row + 0.5e0) * 30e0 AND e.y2 > 300e0 - (p.grid_row + 0.5e0) * 30e0
+ AND e.x1 + (300e0 - (p.grid_row + 0.5e0) * 30e0 - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) <= (p.grid_col + 0.5e0) * 30e0 GROUP BY ALL HAVING count(*) % 2 = 1""",
     "refl": """SELECT o.scene_id, o.pixel_id, s.time_start, s.cloud_cover, o.qa_pixel,
   (o.dn_green * 2.75e-5 - 0.2e0) / 1e-4 AS green, (o.dn_red * 2.75e-5 - 0.2e0) / 1e-4 AS red,
   (o.dn_nir * 2.75e-5 - 0.2e0) / 1e-4 AS nir, (o.dn_swir1 * 2.75e-5 - 0.2e0) / 1e-4 AS swir1,
