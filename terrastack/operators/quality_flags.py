@@ -29,10 +29,10 @@ def hull_index() -> Column:
 def with_hull(obs: DataFrame, hull: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """`obs` with in_hull (1 or 0). Cells that the table lacks, and observations out of range, are outside.
 
-    `hull` has hull_index, in_hull and `keys` (such as sensor): 10,000 cells for each sensor, so it is broadcast.
+    `hull` has hull_index, in_hull and `keys` (such as sensor): 10,000 cells for each sensor; whether it is broadcast goes by its size.
     """
     on = ["hull_index", *(keys or [])]
-    found = obs.withColumn("hull_index", hull_index()).join(F.broadcast(hull.select(*on, F.col("in_hull").alias("hull_"))), on, "left")
+    found = obs.withColumn("hull_index", hull_index()).join(hull.select(*on, F.col("in_hull").alias("hull_")), on, "left")
     return found.withColumn("in_hull", F.coalesce("hull_", F.lit(0))).drop("hull_")
 
 

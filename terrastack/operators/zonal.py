@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from terrastack.schemas import EXCLUDED_ZONES, MONTH_LABELS
+from terrastack.sources.shared import shared_folder
 
 
 def statistics(value: str, percentiles: list[int] = ()) -> list[Column]:
@@ -46,5 +46,17 @@ def dissolve(pixels: DataFrame, membership: DataFrame, state: str = "state") ->
 
 
 def ranked(frame: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds ordinal, 0 first, in one task: for file lists and zone codes, which have a short row for each file or zone, never for pixels."""
-    return frame.withColumn("ordinal", F.row_number().over(W.orderBy(*order)) - 1)
+    """Adds ordinal, 0 first, without bringing all rows into one task: rows are dealt to ranges of the order, sorted within them, and numbered from the sizes of the ranges before.
+
+    The dealt rows are written to the checkpoint folder once, so that sizes and places are of the same ranges. Rows that are equal in `order` come in any order.
+    """
+    shared_folder(frame.sparkSession)
+    dealt = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id())  # range << 33, plus the place in it
+    dealt = dealt.withColumns({"range_": F.shiftright("at_", 33).cast("int"), "at_": F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
+    sizes = dict(dealt.groupBy("range_").count().collect())  # a row for each range
+    before, total = [], 0
+    for number in range(max(sizes, default=0) + 1):
+        before.append(str(total))
+        total += sizes.get(number, 0)
+    start = F.get(F.split(F.lit(",".join(before)), ",").cast("array<long>"), F.col("range_"))
+    return dealt.withColumn("ordinal", (start + F.col("at_")).cast("int")).drop("range_", "at_")

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrastack.functions import landcover, masks, projection, spectral
-from terrastack.operators import composite, density, grid, mosaic, outlines, quality_flags, retrieval, warp, zonal
+from terrastack.operators import composite, density, footprints, grid, increments, mosaic, outlines, quality_flags, raster_blocks, retrieval, sketches, warp, zonal
 from terrastack.params import CompositeParams, DensityParams, ForestParams, MosaicParams
 from terrastack.plans.views import oracle, view
 from terrastack.schemas import epoch_by_year
-from terrastack.sources import catalog, geotiff, tiles
+from terrastack.sources import catalog, geotiff, partitioned, tiles
 from terrastack.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,7 +72,7 @@ def ordered_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = view(spark, sf_dir, "tiles")
     order = zonal.ranked(found.select("tile").distinct(), [F.col("tile")]).withColumnRenamed("ordinal", "tile_ordinal")
     placed = found.withColumns({"grid_row": F.floor(F.col("pixel_id") / 20).cast("int"), "grid_col": (F.col("pixel_id") % 20).cast("int")})
-    return placed.join(F.broadcast(order), "tile")  # one row a tile
+    return placed.join(order, "tile")
 
 
 # Catalog and zones
@@ -114,18 +114,52 @@ def zone_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zonal.bounds(placed, ["state_key"])
 
 
-@query("""SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month, CAST(make_date(y, m, 1) AS TIMESTAMP) AS month_start, CAST(make_date(y, m, 1) + INTERVAL 1 MONTH AS TIMESTAMP) AS month_end
- FROM range(1995, 2001) AS a(y), range(1, 13) AS b(m)""")
+@query("""SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month, CAST(make_date(y, m, 1) AS TIMESTAMP) AS month_start, CAST(make_date(y, m, 1) + INTERVAL 1 MONTH AS TIMESTAMP) AS month_end, n AS scenes
+ FROM (SELECT year(time_start) AS y, month(time_start) AS m, count(*) AS n FROM {scenes} GROUP BY ALL)""")
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    years = spark.range(1995, 2001).select(F.col("id").cast("int").alias("year"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    """Each month that has scenes, with its bounds."""
+    months = view(spark, sf_dir, "scenes").groupBy(F.year("time_start").alias("year"), F.month("time_start").alias("month")).agg(F.count(F.lit(1)).alias("scenes"))
     start = F.make_date("year", "month", F.lit(1))
-    return years.select("year", "month", start.cast("timestamp_ntz").alias("month_start"), F.add_months(start, 1).cast("timestamp_ntz").alias("month_end"))
+    return months.select("year", "month", start.cast("timestamp_ntz").alias("month_start"), F.add_months(start, 1).cast("timestamp_ntz").alias("month_end"), "scenes")
 
 
-@query("""SELECT CAST(r AS INT) AS block_row, CAST(c AS INT) AS block_col, CAST(r * 512 AS INT) AS row_off, CAST(c * 512 AS INT) AS col_off, CAST(least(512, 2300 - r * 512) AS INT) AS rows,
- CAST(least(512, 3100 - c * 512) AS INT) AS cols FROM range(0, 5) AS a(r), range(0, 7) AS b(c)""")
+@query("""SELECT CAST(floor(grid_row / 8) AS INT) AS block_row, CAST(floor(grid_col / 8) AS INT) AS block_col, CAST(least(8, 10 - floor(grid_row / 8) * 8) AS INT) AS rows, CAST(least(8, 20 - floor(grid_col / 8) * 8) AS INT) AS cols,
+ count(*) AS cells, CAST(sum(is_veg) AS BIGINT) AS vegetated FROM {pixels} GROUP BY ALL""")
 def block_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.block_grid(spark, 3100, 2300)
+    """The blocks that hold pixels, clipped at the edges of the grid."""
+    found = view(spark, sf_dir, "pixels").groupBy(*raster_blocks.block_of(8)).agg(F.count(F.lit(1)).alias("cells"), F.sum("is_veg").alias("vegetated"))
+    shape = raster_blocks.shape(GRID, 8)
+    return found.select("block_row", "block_col", *[c.cast("int").alias(n) for n, c in shape.items()], "cells", "vegetated")
+
+
+# Scene search
+
+_MEET = "f.xmin <= z.xmax AND z.xmin <= f.xmax AND f.ymin <= z.ymax AND z.ymin <= f.ymax"
+_ZONE_BOXES = "(SELECT zone, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM {outlines} GROUP BY zone) z"
+
+
+@query(f"SELECT f.scene_id, z.zone FROM {{footprints}} f JOIN {_ZONE_BOXES} ON {_MEET}")
+def footprint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each scene with the zones whose box its footprint meets."""
+    zones = zonal.bounds(view(spark, sf_dir, "outlines"), ["zone"])
+    return footprints.overlapping(view(spark, sf_dir, "footprints"), zones, 64.0).select("a.scene_id", "b.zone")
+
+
+@query(f"SELECT scene_id, time_start FROM {{scenes}} WHERE scene_id IN (SELECT f.scene_id FROM {{footprints}} f JOIN {_ZONE_BOXES} ON {_MEET} WHERE z.zone IN (3, 4)) AND cloud_cover < 50")
+def footprint_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes of two zones by their footprints: no observation is read."""
+    zones = zonal.bounds(view(spark, sf_dir, "outlines").where(F.col("zone").isin(3, 4)), ["zone"])
+    kept = catalog.filter_cloud(view(spark, sf_dir, "scenes"))
+    return footprints.scenes_meeting(kept, view(spark, sf_dir, "footprints"), zones, 64.0).select("scene_id", "time_start")
+
+
+@query("""SELECT s.scene_id, w.sensor, w.year, w.month FROM (SELECT scene_id, CASE substring(spacecraft_id, 9, 1) WHEN '5' THEN 'LT05' WHEN '7' THEN 'LE07' ELSE 'LC08' END AS sensor, time_start FROM {scenes}) s
+ JOIN (SELECT DISTINCT * FROM {wanted}) w ON s.sensor = w.sensor AND year(s.time_start) = w.year AND month(s.time_start) = w.month""")
+def catalog_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog in folders by sensor, year and month; a table of wanted months says which folders are read."""
+    path = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    partitioned.write_catalog(view(spark, sf_dir, "scenes"), path)
+    return partitioned.scenes_of(spark.read.parquet(path), view(spark, sf_dir, "wanted")).select("scene_id", "sensor", "year", "month")
 
 
 # Outlines
@@ -339,6 +373,19 @@ def coarse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("month_num", "month_label", *[six(c) for c in found.columns[2:]])
 
 
+@query("SELECT month AS month_num, p AS percentile, count(*) AS pixels, TRUE AS within FROM {mean_counts} CROSS JOIN (VALUES (10), (25), (50), (75), (90)) AS t(p) GROUP BY ALL")
+def quantile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each month from sketches of zones, merged; `within` tells whether the rank is within a hundredth of the one asked for, by counting all values."""
+    counts, percentiles = mean_counts(spark, sf_dir), [10, 25, 50, 75, 90]
+    merged = sketches.merge(sketches.sketch(counts, "obs_count", ["state_key", "month"]), ["month"])
+    found = sketches.quantiles(merged, "obs_count", percentiles)
+    asked = found.select("month", F.inline(F.array(*[F.struct(F.lit(p).alias("percentile"), F.col(f"obs_count_p{p}").alias("quantile")) for p in percentiles])))
+    ranks = counts.select("month", "obs_count").join(asked, "month").groupBy("month", "percentile")
+    below, upto = F.avg((F.col("obs_count") < F.col("quantile")).cast("double")), F.avg((F.col("obs_count") <= F.col("quantile")).cast("double"))
+    share = F.col("percentile") / 100
+    return ranks.agg(F.count(F.lit(1)).alias("pixels"), ((below - 0.01 <= share) & (share <= upto + 0.01)).alias("within")).withColumnRenamed("month", "month_num")
+
+
 @query(f"SELECT region, month AS month_num, {_LABEL} AS month_label, {_STATS} FROM {{mean_counts}} c JOIN {{region_states}} r ON c.state_key = r.state_key GROUP BY region, month")
 def regional_obs_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = density.regional_obs_stats(mean_counts(spark, sf_dir), view(spark, sf_dir, "region_states"), "state_key")
@@ -414,6 +461,47 @@ def warp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.warp_nearest(source, GRID, grid.cells(spark, COARSE), COARSE).select("grid_row", "grid_col", six("value"))
 
 
+def _block_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The first and the later tiles, each half merged, as tables of blocks of 8 x 8 cells."""
+    placed, found = ordered_tiles(spark, sf_dir), []
+    for half in (F.col("tile_ordinal") < 12, F.col("tile_ordinal") >= 12):
+        cells = mosaic.merge(placed.where(half), MosaicParams(nodata=0, scale=None))
+        name = f"blocks_{uuid.uuid4().hex}"
+        found.append(raster_blocks.save(raster_blocks.to_blocks(cells, GRID, size=8), f"{shared_folder(spark)}/{name}", name, 8))
+        raster_blocks.forget(spark, name)
+    return found
+
+
+@query("SELECT grid_row, grid_col, round(value, 6) AS value FROM {mosaic}")
+def block_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of clipped blocks merged where they lie, the later tiles on top."""
+    merged = raster_blocks.merge(*_block_tables(spark, sf_dir))
+    return raster_blocks.to_cells(merged, 8).select("grid_row", "grid_col", six(F.col("value") * 0.01, "value"))
+
+
+@query("""SELECT CAST(floor(grid_row / 4) AS INT) AS grid_row, CAST(floor(grid_col / 4) AS INT) AS grid_col, round(CAST(sum(raw) AS DOUBLE) / count(*), 6) AS value
+ FROM (SELECT grid_row, grid_col, arg_max(raw, tile_ordinal) AS raw FROM {ordered_tiles} WHERE raw <> 0 GROUP BY ALL) GROUP BY ALL""")
+def block_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overview of merged blocks, each block by itself."""
+    return raster_blocks.overview(raster_blocks.merge(*_block_tables(spark, sf_dir)), 4, 8).select("grid_row", "grid_col", six("value"))
+
+
+@query("""SELECT CAST(floor(grid_row / 8) AS INT) AS block_row, CAST(floor(grid_col / 8) AS INT) AS block_col, CAST(count(*) AS INT) AS count, CAST(sum(raw) AS DOUBLE) AS total, CAST(min(raw) AS DOUBLE) AS least, CAST(max(raw) AS DOUBLE) AS largest
+ FROM (SELECT grid_row, grid_col, arg_max(raw, tile_ordinal) AS raw FROM {ordered_tiles} WHERE raw <> 0 GROUP BY ALL) GROUP BY ALL""")
+def block_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster_blocks.statistics(raster_blocks.merge(*_block_tables(spark, sf_dir)))
+
+
+@query("SELECT grid_row, grid_col, round(value, 6) AS value, tile_ordinal FROM {mosaic}")
+def mosaic_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles added in three batches, late ones before early ones: the same mosaic as in one go."""
+    path = f"{shared_folder(spark)}/mosaic-{uuid.uuid4().hex}"
+    placed, params = ordered_tiles(spark, sf_dir), MosaicParams(nodata=0)
+    for batch in (1, 2, 0):
+        increments.add_tiles(placed.where(F.col("tile_ordinal") % 3 == batch), path, params, 8)
+    return increments.current(spark, path, params).select("grid_row", "grid_col", six("value"), "tile_ordinal")
+
+
 #: The tiles' own grid in degrees, and an Albers grid that covers part of it and some ground beside it.
 DEGREES = grid.GridSpec(x0=-98.0, y0=40.0, dx=0.004, dy=0.003, width=20, height=10, nodata=-9999.0, crs="EPSG:4269")
 ALBERS = grid.GridSpec(x0=-170500.0, y0=1887500.0, dx=270.0, dy=290.0, width=26, height=15)

@@ -43,6 +43,10 @@ WHERE (l_partkey % 200 + 3 * n_nationkey) % 20 < 4 GROUP BY n.n_name, l_partkey
     "cover": """SELECT pixel_id, e.epoch, r.release_rank, CASE WHEN (pixel_id + e.epoch + r.release_rank) % 11 = 0 THEN 99 ELSE c.landcover END AS landcover
 FROM {pixels} JOIN (VALUES (2001),(2004),(2006),(2008),(2011),(2013),(2016),(2019)) AS e(epoch) ON 1 = 1 JOIN (VALUES (0),(1)) AS r(release_rank)
  ON (pixel_id + e.epoch) % 3 <> r.release_rank JOIN {class_map} c ON (pixel_id + 3 * e.epoch + 7 * r.release_rank) % 20 = c.ix""",
+    "footprints": """SELECT o_orderkey AS scene_id, CAST(o_custkey * 37 % 560 AS DOUBLE) AS xmin, CAST(o_orderkey * 13 % 260 AS DOUBLE) AS ymin,
+ CAST(o_custkey * 37 % 560 + 10 + o_custkey % 50 + CASE WHEN o_orderkey % 97 = 0 THEN 300 ELSE 0 END AS DOUBLE) AS xmax, CAST(o_orderkey * 13 % 260 + 8 + o_orderkey % 30 AS DOUBLE) AS ymax FROM {orders}""",
+    "wanted": """SELECT CASE n_nationkey % 3 WHEN 0 THEN 'LT05' WHEN 1 THEN 'LE07' ELSE 'LC08' END AS sensor, CAST(1995 + n_nationkey % 5 AS INT) AS year, CAST(1 + n_nationkey % 12 AS INT) AS month
+ FROM {nation} WHERE n_regionkey = 2""",
     # zone outlines: a lattice of 5 x 5 slanted cells that share their edges; every third zone has a hole, every fourth a part of its own across others
     "outlines": """SELECT n_nationkey AS zone, 0 AS ring, seq, 120e0 * (n_nationkey % 5 + a) + 14e0 * (((n_nationkey % 5 + a) * 3 + (floor(n_nationkey / 5) + b) * 5) % 4) AS x,
  60e0 * (floor(n_nationkey / 5) + b) + 9e0 * (((n_nationkey % 5 + a) * 2 + floor(n_nationkey / 5) + b) % 3) AS y
