@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrastack.sources.shared import shared_folder
+
 
 @dataclass(frozen=True)
 class GridSpec:
@@ -80,7 +82,7 @@ def overview(raster: DataFrame, factor: int, value: str = "value", scale: float
 def overview_pyramid(raster: DataFrame, factors: list[int], value: str = "value", scale: float = 1.0) -> DataFrame:
     """All levels: level, grid_row, grid_col, value (the mean of a square's cells times `scale`, empty cells left out).
 
-    A level is built from the sums and counts of the last one whose factor divides its own, so each shuffle is a fraction of the one before it. Sums of
+    A level is built from the sums and counts of the last one whose factor divides its own, so each shuffle is a fraction of the one before it, and the finest level's are written to the checkpoint folder once. Sums of
     integers are exact: pass raw integers and their scale where means must not depend on the order of additions.
     """
     if min(factors) < 2:
@@ -92,7 +94,8 @@ def overview_pyramid(raster: DataFrame, factors: list[int], value: str = "value"
         key = [F.floor(F.col(c) / step).cast("int").alias(c) for c in ("grid_row", "grid_col")]
         if below is None:
             sums = F.sum(value).alias("sum_"), F.count(value).alias("count_")
-            built[factor] = raster.groupBy(*key).agg(*sums)
+            shared_folder(raster.sparkSession)
+            built[factor] = raster.groupBy(*key).agg(*sums).checkpoint()  # every level reads it: the raster itself is worked out once
         else:
             built[factor] = built[below].groupBy(*key).agg(F.sum("sum_").alias("sum_"), F.sum("count_").alias("count_"))
     mean = F.col("sum_").cast("double") / F.col("count_") * F.lit(scale)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
@@ -14,6 +15,7 @@ from terrastack.functions.masks import clear_sky, where_valid
 from terrastack.functions.spectral import add_indices, scale_bands, solar_geometry
 from terrastack.params import ForestParams
 from terrastack.schemas import FEATURES, LABEL
+from terrastack.sources.partitioned import write_by_keys
 from terrastack.sources.shared import shared_folder
 
 
@@ -44,6 +46,20 @@ def train(samples: DataFrame, key: tuple[str, int] | None = None, params: Forest
     return forest.fit(rows)
 
 
+def train_all(samples: DataFrame, keys: list[tuple[str, int]], params: ForestParams = ForestParams(), features: list[str] = FEATURES, at_once: int = 4) -> dict[tuple[str, int], RandomForestRegressionModel]:
+    """A forest for each (sensor, biome), `at_once` of them at a time.
+
+    `samples` are written by key to the shared folder first, and each forest reads its own folders only: all samples are worked out once, not once a forest.
+    """
+    spark = samples.sparkSession
+    path = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}"
+    columns = ["sensor", "biome2", *features, LABEL]
+    write_by_keys(samples.select(*columns), path, ["sensor", "biome2"])
+    kept = spark.read.schema(samples.select(*columns).schema).parquet(path)
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(keys, pool.map(lambda key: train(kept, key, params, features), keys), strict=True))
+
+
 def predict(model: RandomForestRegressionModel, obs: DataFrame, out: str = "lai_real", features: list[str] = FEATURES) -> DataFrame:
     """`obs` with the model's value; masked where a feature is masked."""
     whole = reduce(lambda a, b: a & b, (F.col(f).isNotNull() for f in features))
@@ -63,7 +79,7 @@ def retrieve(obs: DataFrame, models: dict[tuple[str, int], RandomForestRegressio
         return obs.where(F.lit(False)).withColumn("lai_real", F.lit(None).cast("double"))
     path = f"{shared_folder(obs.sparkSession)}/retrieval-{uuid.uuid4().hex}"
     is_key = lambda key: (F.col("sensor") == key[0]) & (F.col("biome") == key[1])
-    obs.where(reduce(lambda a, b: a | b, map(is_key, keys))).write.partitionBy("sensor", "biome").parquet(path)
+    write_by_keys(obs.where(reduce(lambda a, b: a | b, map(is_key, keys))), path, ["sensor", "biome"])
     kept = obs.sparkSession.read.schema(obs.schema).parquet(path).select(*obs.columns)
     return reduce(DataFrame.unionByName, [predict(models[key], kept.where(is_key(key)), features=features) for key in keys])
 

@@ -285,14 +285,18 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"biome2": F.col("biome"), "MCD_LAI": F.col("lai_real")})
 
 
+def forest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clear observation with all ten features, lon and lat from the grid, and the stand-in LAI as label."""
+    placed = view(spark, sf_dir, "pixels").select("pixel_id", (F.lit(-100.0) + F.col("grid_col") * 0.37).alias("lon"), (F.lit(30.0) + F.col("grid_row") * 0.61).alias("lat"))
+    return _samples(spark, sf_dir).drop("lai_real", "lon", "lat").join(placed, "pixel_id")
+
+
 @query()
 def rf_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every clear observation with the value of the forest of its (sensor, biome): default forests on all ten features, lon and lat from the grid."""
-    rows = _samples(spark, sf_dir).drop("lai_real", "lon", "lat")
-    placed = view(spark, sf_dir, "pixels").select("pixel_id", (F.lit(-100.0) + F.col("grid_col") * 0.37).alias("lon"), (F.lit(30.0) + F.col("grid_row") * 0.61).alias("lat"))
-    rows = rows.join(placed, "pixel_id").cache()
-    keys = [(r.sensor, r.biome) for r in rows.where(F.col("MCD_LAI").isNotNull()).select("sensor", "biome").distinct().collect()]
-    models = {key: retrieval.train(rows, key, ForestParams()) for key in sorted(keys)}
+    """Every clear observation with the value of the default forest of its (sensor, biome)."""
+    rows = forest_rows(spark, sf_dir)
+    keys = sorted((r.sensor, r.biome) for r in rows.where(F.col("MCD_LAI").isNotNull()).select("sensor", "biome").distinct().collect())  # 27 at most
+    models = retrieval.train_all(rows, keys, ForestParams())
     return retrieval.retrieve(rows, models, nonveg=True).select("scene_id", "pixel_id", six("lai_real"), six("MCD_LAI"))
 
 
