@@ -13,12 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from terrastack.llm.common import ensure_checkpoint_dir
 
@@ -118,19 +116,21 @@ class BKTree:
         order = np.argsort(keys)
         self.edges, self.child = keys[order], nodes[order]
 
-    def found(self, queries: np.ndarray, radius: int, root: np.ndarray | None = None, together: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query index, node) of every fingerprint within `radius` of a query in the tree with its `root` (the first one's), for some queries at a time."""
+    def found(self, queries: np.ndarray, radius: int | np.ndarray, root: np.ndarray | None = None, together: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query index, node) of every fingerprint within `radius` (one for all, or each query's) of a query in the tree with its `root` (the first one's), for some queries at a time."""
         queries = queries if queries.ndim == 2 else queries[:, None]
+        reach = np.broadcast_to(np.asarray(radius), len(queries))
         for start in range(0, len(queries) if len(self.words) else 0, together):
             at = np.arange(start, min(start + together, len(queries)))
             node = np.zeros(len(at), np.int64) if root is None else root[at]
             parts = []
             while len(at):
                 distance = _apart(queries[at], self.words[node])
-                near = distance <= radius
+                within = reach[at]
+                near = distance <= within
                 parts.append((at[near], node[near]))
-                low = np.searchsorted(self.edges, node * self.STEP + np.maximum(distance - radius, 0))
-                high = np.searchsorted(self.edges, node * self.STEP + np.minimum(distance + radius, self.STEP - 1), side="right")
+                low = np.searchsorted(self.edges, node * self.STEP + np.maximum(distance - within, 0))
+                high = np.searchsorted(self.edges, node * self.STEP + np.minimum(distance + within, self.STEP - 1), side="right")
                 many = high - low
                 at = np.repeat(at, many)
                 step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -236,7 +236,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     masks = band_masks()
     pairs = F.array(*[F.struct(F.lit(i).alias("band"), signed(m).alias("mask")) for i, m in enumerate(masks)])
     keyed = prints.select("fp", F.explode(pairs).alias("m")).select(F.col("m.band").alias("band"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("shard"), "fp")
-    sizes = keyed.groupBy("band", "shard").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = keyed.groupBy("band", "shard").agg(F.count(F.lit(1)).alias("size")).where("size > 1").checkpoint()  # a plain table: a hot shard can then be split in the join
     shared = keyed.join(sizes, ["band", "shard"]).checkpoint()
     hot = shared.where(F.col("size") > HOT_WORDS)
     many = hot.count()
@@ -294,28 +294,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id")).checkpoint()  # a plain table: a hot root can then be split in the join
     named = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs`, one for each component of near-duplicates: the one with the smallest doc_id. All columns stay, whatever their names.
-
-    Null ids come last; null and empty texts share the fingerprint zero. Of rows that share the kept id and fingerprint, one stays, the first by the hash of its text.
-    Texts of any length are fingerprinted whole, and once: rows are checkpointed with their fingerprints. Empty tables give no rows.
-    """
-    ensure_checkpoint_dir(docs.sparkSession)
-    names = docs.columns
-    own = {"doc_id": "doc_id", "text": "text"}
-
-    @F.pandas_udf("long")
-    def prints_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series(np.array([fingerprint(t or "") for t in part], np.uint64).view(np.int64))
-
-    plain = docs.select(*[F.col(f"`{c}`").alias(own.get(c, f"c{i}")) for i, c in enumerate(names)])
-    marked = plain.withColumn("fp_", prints_of(F.coalesce("text", F.lit("")))).checkpoint()
-    grouped = _grouped(marked.select("doc_id", F.col("fp_").alias("fp")), radius)
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("k"))
-    keys = first.select(F.col("k.fp").alias("key_"), F.col("k.first_id").alias("id_")).checkpoint()
-    kept = marked.join(keys, (F.col("fp_") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
-    place = F.row_number().over(W.partitionBy("fp_", "doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("place_", place).where("place_ = 1").select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])
