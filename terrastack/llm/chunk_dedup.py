@@ -2,10 +2,9 @@
 
 A gear rolling hash over the last 16 bytes is taken at the end of each word (in long runs without white space, at each character); where it is low the
 text is cut. Cuts depend on those bytes and on white space near them alone, so chunks after an insertion are the same as before it. Chunks are deduplicated
-by digest over the whole corpus: the first occurrence, in order of doc_id and place, owns the chunk. A run of repeated chunks in a document is
-a repeated passage if it is long enough and its chunks follow each other in an owner too, or most of them come from one owner; shorter repeats (stock
-phrases and lines) are left alone. A passage begins and ends inside chunks: owners tell the REACH words on either side of their repeated chunks (as 16-bit
-hashes), and the passage grows over the words that are the same.
+by digest over the whole corpus: the first occurrence, in order of doc_id and place, owns the chunk. A run of repeated chunks in a document is a candidate. Passages begin and
+end inside chunks: owners tell the REACH words on either side of their repeated chunks (as 16-bit hashes), and a candidate grows over the words that are the same. It is a repeated passage if it
+is long enough then, and its chunks follow each other in an owner too, or most of its words come from one owner; shorter repeats (stock phrases and lines) are left alone.
 """
 
 from __future__ import annotations
@@ -23,12 +22,14 @@ from terrastack.llm import blocks
 WINDOW = 16
 #: One word end in CUT_WORDS is a cut; in runs of LONG_RUN bytes without white space one character in CUT_CHARACTERS.
 CUT_WORDS, LONG_RUN, CUT_CHARACTERS = 4, 64, 12
-#: A passage is removed if its repeated chunks have this many words, and this many of them come from its main owner or follow each other in their owners.
+#: A passage is removed if it has this many words once it has grown, and this many of them come from its main owner or follow each other in their owners.
 MIN_WORDS, MIN_OWNER_WORDS = 16, 12
+#: Words of whole repeated chunks in a row that make a candidate, which asks how far it grows.
+CANDIDATE_WORDS = 3
 #: Bytes that count as a word in chunks where no word begins.
 UNIT_BYTES = 12
 #: Words that a passage can grow by at either end.
-REACH = 8
+REACH = 12
 #: White space between texts that are worked on together, as long as the hash's window, and their bytes.
 PAD, GROUP_BYTES = WINDOW, 400_000
 _SPACE = np.zeros(256, bool)
@@ -230,13 +231,15 @@ def _told(keys: np.ndarray, which: np.ndarray, arrays: list[np.ndarray]) -> list
 
 @dataclass
 class Passage:
-    """A run of repeated chunks (first, last), its words, owner, and the first and last chunk in it that the owner has."""
+    """A run of repeated chunks (first, last), its owner, the first and last chunk in it that the owner has, its words, and those of them that the owner has or that follow each other in owners."""
 
     first: int
     last: int
     owner: int
     left: int
     right: int
+    units: int
+    held: int
 
 
 class Repeats:
@@ -250,9 +253,10 @@ class Repeats:
         #: Chunks that later places repeat.
         self.owned = np.flatnonzero(here & (self.place >= 0))
         self.repeated = (self.place >= 0) & (chunks.units > 0) & ~here
-        self.passages = list(self._passages(min_words, min_owner_words)) if self.repeated.any() else []
+        self.min_words, self.min_owner_words = min_words, min_owner_words
+        self.passages = list(self._candidates()) if self.repeated.any() else []
 
-    def _passages(self, min_words: int, min_owner_words: int):
+    def _candidates(self):
         chunks, where = self.chunks, np.flatnonzero(self.repeated)
         follows = (np.diff(where) == 1) & (np.diff(chunks.row[where]) == 0)
         # whether a chunk comes after the one before it in their owner too; white space may differ
@@ -261,15 +265,17 @@ class Repeats:
         inside = np.concatenate([[False], along]) | np.concatenate([along, [False]])
         first = np.concatenate([[0], np.flatnonzero(~follows) + 1])
         size = np.add.reduceat(chunks.units[where], first)
-        for begin, end in zip(first[size >= min_words], np.append(first[1:], len(where))[size >= min_words], strict=True):
+        able = size >= min(CANDIDATE_WORDS, self.min_words)
+        for begin, end in zip(first[able], np.append(first[1:], len(where))[able], strict=True):
             part = np.arange(begin, end)
             units = chunks.units[where[part]]
             owners, index = np.unique(self.holds[where[part]], return_inverse=True)
             weight = np.bincount(index, weights=units)
-            if max(weight.max(), units[inside[part]].sum()) < min_owner_words:
+            held = int(max(weight.max(), units[inside[part]].sum()))
+            if held + 2 * REACH < self.min_owner_words or units.sum() + 2 * REACH < self.min_words:  # it cannot grow enough
                 continue
             main = np.flatnonzero(index == weight.argmax())
-            yield Passage(int(where[part[0]]), int(where[part[-1]]), int(owners[weight.argmax()]), int(where[part[main[0]]]), int(where[part[main[-1]]]))
+            yield Passage(int(where[part[0]]), int(where[part[-1]]), int(owners[weight.argmax()]), int(where[part[main[0]]]), int(where[part[main[-1]]]), int(units.sum()), held)
 
     def asked(self) -> np.ndarray:
         """Digests whose surroundings in their owner the block needs, sorted."""
@@ -297,10 +303,12 @@ class Repeats:
         for i, p in enumerate(self.passages):
             row = int(chunks.row[p.first])
             start, end = int(chunks.start[p.first]), int(chunks.end[p.last])
-            if many := same[2 * i, 0]:
-                start = min(start, int(places[2 * i, 0, many - 1]))
-            if many := same[2 * i + 1, 1]:
-                end = max(end, int(places[2 * i + 1, 1, many - 1]))
+            if left := same[2 * i, 0]:
+                start = min(start, int(places[2 * i, 0, left - 1]))
+            if right := same[2 * i + 1, 1]:
+                end = max(end, int(places[2 * i + 1, 1, right - 1]))
+            if max(len(chunks.texts[row][start:end].split()), p.units) < self.min_words or p.held + left + right < self.min_owner_words:
+                continue
             if found and found[-1][0] == row and found[-1][2] > start:  # both grew over what lies between
                 start = found[-1][2]
             found.append((row, start, end, len(chunks.texts[row][start:end].split()), p.owner))

@@ -132,8 +132,8 @@ def brute_spans(rows, min_words=16, min_owner=12):
         while many < min(len(a), len(b), chunk_dedup.REACH) and raw[slice(*a[many])] == other[slice(*b[many])]:
             many += 1
         if not many:
-            return edge
-        return a[many - 1][1] if side > 0 else (a[many][1] if many < len(a) else 0)
+            return edge, 0
+        return (a[many - 1][1] if side > 0 else (a[many][1] if many < len(a) else 0)), many
 
     found = []
     for doc, own in chunks:
@@ -143,7 +143,7 @@ def brute_spans(rows, min_words=16, min_owner=12):
                 run.append(item)
                 continue
             size = lambda some: sum(len(c[0].split()) for c in some)
-            if size(run) >= min_words:
+            if size(run) >= chunk_dedup.CANDIDATE_WORDS:
                 weight = {}
                 for c in run:
                     weight[first[c[0]][0]] = weight.get(first[c[0]][0], 0) + len(c[0].split())
@@ -154,12 +154,17 @@ def brute_spans(rows, min_words=16, min_owner=12):
                     (o, p), (q, r) = first[c[0]], first[d[0]]
                     if o == q and abs((r - p) - (d[1] - c[1])) <= 2 * len(c[0].split()) + 4:
                         along |= {i, i + 1}
-                if max(best, size([run[i] for i in along])) >= min_owner:
+                if run:
                     left, right = [c for c in run if first[c[0]][0] == main][0], [c for c in run if first[c[0]][0] == main][-1]
                     p = first[left[0]][1]
-                    start = min(run[0][1], grow(doc, left[1], main, p, -1))
+                    lower, before = grow(doc, left[1], main, p, -1)
                     owner_end = next(e for part, s, e in dict(chunks)[main] if s == first[right[0]][1])
-                    end = max(run[-1][2], grow(doc, right[2], main, owner_end, 1))
+                    upper, after = grow(doc, right[2], main, owner_end, 1)
+                    start, end = min(run[0][1], lower), max(run[-1][2], upper)
+                    enough = len(dict(rows)[doc].encode()[start:end].split()) >= min_words and max(best, size([run[i] for i in along])) + before + after >= min_owner
+                    if not enough:
+                        run = []
+                        continue
                     if found and found[-1][0] == doc:
                         start = max(start, found[-1][3])
                     found.append((doc, main, start, end))
@@ -198,6 +203,27 @@ def test_a_passage_of_several_owners_goes(spark):
     assert {r.doc_id for r in found} == {50} and sum(r.n_words for r in found) > 30
 
 
+@pytest.mark.parametrize(("length", "least"), [(20, 0.9), (30, 0.97), (50, 1.0)])
+def test_recall_of_planted_passages(spark, length, least):
+    """Passages from 20 words on, in two documents each, are found, ends and all; stock lines of 12 words stay."""
+    rng = random.Random(length)
+    vocabulary = [words(rng, 1) for _ in range(5000)]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    rows, planted = [], {}
+    for i in range(0, 400, 2):
+        passage = text(length)
+        rows += [(j, f"{text(rng.randint(20, 60))} {passage} {text(30)}") for j in (i, i + 1)]
+        planted[i + 1] = (rows[-1][1].index(passage), len(passage))
+    line = text(12)
+    rows += [(1000 + i, f"{text(40)} {line} {text(40)}") for i in range(50)]
+    found = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} <= planted.keys()
+    assert len({r.doc_id for r in found}) >= least * len(planted)
+    inside = sum(max(0, min(r.start_byte + r.n_bytes, at + n) - max(r.start_byte, at)) for r in found for at, n in [planted[r.doc_id]])
+    assert inside >= (least - 0.02) * sum(n for _, n in planted.values())
+    assert sum(r.n_bytes for r in found) - inside <= 0.03 * inside  # white space before a passage, and words that are the same by chance
+
+
 def test_text_without_white_space_is_cut_between_characters(spark):
     rng = random.Random(8)
     letters = [chr(0x4E00 + i) for i in range(2000)]
