@@ -5,8 +5,8 @@ shuffle. A block sends its distinct 64-bit keys, with what it knows of them, as
 sent for a key; the block then gets the merged values in the order of its own keys. A key that fills a third of the corpus is one entry of each
 block, so there are no hot keys, and there are never more entries than distinct keys of blocks.
 
-Rows do not multiply either: a block sends at most FAN of them. Where there are more blocks than that, FAN blocks are gathered for each range, merged, and sent
-on as finer ranges; the answers go back the same way.
+A block sends FAN rows at most. Where there are more blocks than that, FAN blocks are gathered for each range, merged, and sent on as finer ranges; the answers go back the same way. With b
+blocks these are b^2 / FAN rows: few up to a million blocks (9 TB of text), beyond which a third level would be needed that is not built.
 """
 
 from __future__ import annotations
@@ -33,17 +33,22 @@ LEVEL = 3  # of zstd: texts are read once or more for each time they are written
 
 
 def deal(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(rows of `docs`, which has doc_id and text, dealt to blocks; how many blocks). Rows equal in both columns share a block.
+    """(rows of `docs`, which has doc_id and text, dealt to blocks; how many blocks). Of rows that are equal in both columns, those of one batch go to blocks in turn, so that one row that
+    is repeated without end is no hot block.
 
-    Rows travel as compressed record batches (block_, rows_), one for each input batch and block. The result is a table in the shared checkpoint folder.
+    Rows travel as compressed record batches (block_, rows_), one for each input batch and block. The result is a table in the shared checkpoint folder; its catalog entry, which tells
+    of the buckets, is dropped once the returned frame knows its files.
     """
     blocks = block_count(docs, block_bytes)
-    keyed = docs.withColumn("block_", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    keyed = docs.withColumn("block_", F.xxhash64("doc_id", "text"))
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))
         for batch in batches:
-            block = batch.column("block_").to_numpy()
+            _, which, many = np.unique(batch.column("block_").to_numpy(), return_inverse=True, return_counts=True)
+            turn = np.empty(len(which), np.int64)
+            turn[np.argsort(which, kind="stable")] = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+            block = ((batch.column("block_").to_numpy().view(np.uint64) + turn.astype(np.uint64)) % np.uint64(blocks)).astype(np.int32)
             rows = batch.drop_columns(["block_"])
             order = np.argsort(block, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
@@ -59,7 +64,9 @@ def deal(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, in
     name = f"dealt_{uuid.uuid4().hex}"
     dealt = keyed.mapInArrow(press, "block_ int, rows_ binary").repartition(many, "block_")
     dealt.write.bucketBy(many, "block_").option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").option("compression", "none").saveAsTable(name, format="parquet")
-    return spark.table(name), blocks
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of a table with a path of its own the files stay
+    return found, blocks
 
 
 def rows_of(dealt: pa.Table) -> pa.Table:

@@ -28,7 +28,9 @@ SIZES = (3, 4, 5)
 WORST, WORDS_EACH = 3, 10
 EPOCHS, WARM_UP, RATE = 50, 5, 0.05
 UNKNOWN, DECAY = 0.3, 1e-6
-CACHED_WORDS = 150_000
+#: Words whose logits are kept at most, and their letters: longer ones are worked out each time. Words of more than LONG_WORD letters are hashed in slices of so many.
+CACHED_WORDS, CACHED_LETTERS, LONG_WORD = 150_000, 64, 1 << 16
+_POWER = 0x9E3779B97F4A7C15
 EDGES = ".,;:!?\"'()[]{}|#*$%&<>-_/\\"
 
 
@@ -36,9 +38,36 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def bare_word(word: str) -> str:
+    """A word between marks of its ends, stripped of marks at its edges."""
+    return f"<{word.strip(EDGES) or word}>"
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def long_subwords(word: str) -> Iterator[np.ndarray]:
+    """Buckets of one word's n-grams and, last, of itself, as subwords() has them, a slice of the word at a time."""
+    bare, whole = bare_word(word), 0
+    for start in range(0, len(bare), LONG_WORD):
+        codes = np.frombuffer(bare[start : start + LONG_WORD + max(SIZES) - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        here = min(LONG_WORD, len(bare) - start)
+        rolled = np.zeros(len(codes), np.uint64)
+        for n in range(1, max(SIZES) + 1):
+            many = max(0, len(codes) - n + 1)
+            rolled[:many] = rolled[:many] * np.uint64(0x100000001B3) ^ codes[n - 1 :]
+            if n in SIZES:
+                yield _bucket(rolled[: min(many, here)] + np.uint64(n))
+        power = np.cumprod(np.full(here, np.uint64(_POWER)))
+        whole += int((codes[:here] * power).sum(dtype=np.uint64)) * pow(_POWER, start, 1 << 64)
+    yield _bucket(np.array([whole % (1 << 64)], np.uint64))
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, first) : the hashed n-grams of each word in turn, and where each word's begin. Words are stripped of marks at their edges."""
-    bare = [f"<{w.strip(EDGES) or w}>" for w in words]
+    bare = [bare_word(w) for w in words]
     sizes = np.fromiter(map(len, bare), np.int64, len(bare))
     codes = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(sizes)
@@ -53,23 +82,45 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             whole = left >= n
             owners.append(owner[whole])
             hashes.append(rolled[whole] + np.uint64(n))
-    power = np.cumprod(np.full(int(sizes.max()) if len(sizes) else 1, np.uint64(0x9E3779B97F4A7C15)))
+    power = np.cumprod(np.full(int(sizes.max()) if len(sizes) else 1, np.uint64(_POWER)))
     place = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
     owners.append(np.arange(len(bare)))
     hashes.append(np.add.reduceat(codes * power[place], ends - sizes) if len(bare) else np.empty(0, np.uint64))
     owners, hashes = np.concatenate(owners), np.concatenate(hashes)
-    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     order = np.argsort(owners, kind="stable")
-    buckets = ((mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)[order]
+    buckets = _bucket(hashes)[order]
     many = np.bincount(owners, minlength=len(bare))
     return buckets, np.cumsum(many) - many
 
 
-def subwords_in_parts(words: list[str], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """As subwords, some words at a time; buckets take four bytes."""
-    parts = [subwords(words[i : i + part]) for i in range(0, len(words), part)]
-    before = np.cumsum([0, *(len(b) for b, _ in parts)])
-    return np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([f + n for (_, f), n in zip(parts, before, strict=False)])
+def in_parts(words: list[str], letters: int = 200_000) -> Iterator[list[str]]:
+    """The words in turn, about `letters` of them at a time; a word of more than LONG_WORD letters comes alone."""
+    part, held = [], 0
+    for word in words:
+        if part and (held + len(word) > letters or len(word) > LONG_WORD):
+            yield part
+            part, held = [], 0
+        part.append(word)
+        held += len(word) + 2
+        if len(word) > LONG_WORD:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def subwords_in_parts(words: list[str], letters: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """As subwords, some words at a time; buckets take four bytes, and there are about three for each letter."""
+    found, first, before = [], [], 0
+    for part in in_parts(words, letters):
+        if len(part[0]) > LONG_WORD:
+            buckets, starts = np.concatenate([b.astype(np.int32) for b in long_subwords(part[0])]), np.zeros(1, np.int64)
+        else:
+            buckets, starts = subwords(part)
+        found.append(buckets.astype(np.int32))
+        first.append(starts + before)
+        before += len(buckets)
+    return np.concatenate(found), np.concatenate(first)
 
 
 def worst_counts(sizes: np.ndarray) -> np.ndarray:
@@ -106,11 +157,16 @@ class SubwordModel:
 
     def word_logits(self, words: list[str]) -> np.ndarray:
         """Difference of the two logits of each word by itself, without the bias: averages of these are bags' differences."""
-        if not words:
-            return np.empty(0)
-        buckets, first = subwords(words)
-        each = (self.embeddings @ (self.linear[:, 1] - self.linear[:, 0])).astype(np.float64)[buckets]
-        return np.add.reduceat(each, first) / np.diff([*first, len(buckets)])
+        by_bucket = (self.embeddings @ (self.linear[:, 1] - self.linear[:, 0])).astype(np.float64)
+        found = [np.empty(0)]
+        for part in in_parts(words):
+            if len(part[0]) > LONG_WORD:
+                sums = [(by_bucket[b].sum(), len(b)) for b in long_subwords(part[0])]
+                found.append(np.array([sum(s for s, _ in sums) / sum(n for _, n in sums)]))
+            else:
+                buckets, first = subwords(part)
+                found.append(np.add.reduceat(by_bucket[buckets], first) / np.diff([*first, len(buckets)]))
+        return np.concatenate(found)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Softmax chance of label 1 of the bag of each text's worst words; a text without words has the bias alone."""
@@ -119,11 +175,13 @@ class SubwordModel:
         if len(self.known) + len(fresh) > CACHED_WORDS:
             self.known.clear()
             fresh = list({w for p in parts for w in p})
-        for start in range(0, len(fresh), 4_000):
-            some = fresh[start : start + 4_000]
-            self.known.update(zip(some, self.word_logits(some).tolist(), strict=True))
+        long = [w for w in fresh if len(w) > CACHED_LETTERS]
+        fresh = [w for w in fresh if len(w) <= CACHED_LETTERS]
+        self.known.update(zip(fresh, self.word_logits(fresh).tolist(), strict=True))
+        here = dict(zip(long, self.word_logits(long).tolist(), strict=True))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        values = np.fromiter((self.known[w] for p in parts for w in p), np.float64, int(sizes.sum()))
+        value = (lambda w: self.known[w] if len(w) <= CACHED_LETTERS else here[w]) if here else self.known.__getitem__
+        values = np.fromiter((value(w) for p in parts for w in p), np.float64, int(sizes.sum()))
         worst = worst_means(values, sizes)
         return 1 / (1 + np.exp(-np.clip(worst + (self.bias[1] - self.bias[0]), -60, 60)))
 
@@ -247,8 +305,8 @@ def score_column(model: Broadcast, text: Column) -> Column:
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`; learns from rows whose crc32(doc_id) mod 5 is not 0.
 
-    Null and empty texts have no words and score what the bias gives; texts of any length are scored (and learned from) whole; equal texts get equal
-    scores. Repeated rows, and rows with a null doc_id, are scored each. Labels other than 0 and 1, and labels of unknown documents, are left out. Without
+    Null and empty texts have no words and score what the bias gives; texts of any length, and words of any length, are scored (and learned from) whole; equal texts get equal
+    scores; of equally bad words it doesn't matter which counts, and a score of just 0.5 is predicted 1. Repeated rows, and rows with a null doc_id, are scored each. Labels other than 0 and 1, and labels of unknown documents, are left out. Without
     examples of both labels every score is 0.5. Empty tables give no rows. Other columns, whatever their names, are left out.
     """
     return predictions(docs, score_column(fit_toxicity(docs, labels), F.col("text")), 5, 0)

@@ -247,3 +247,19 @@ def test_very_long_texts_and_many_passages(spark):
     assert {(r.doc_id, r.kept_doc_id) for r in found} == {(2, 1)} and len(found) > 590
     clean = {r.doc_id: r.text for r in chunk_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(clean[2].split()) < 20 * 600 + 0.06 * 40 * 600 and clean[3] == rows[2][1] and clean[4] == rows[3][1]
+
+
+def test_one_repeated_row_is_no_hot_block(spark):
+    """Half of all rows are one row without an id: blocks stay even, all rows stay, and the catalog keeps no entry."""
+    rng = random.Random(12)
+    rows = [(None, words(rng, 30))] * 1500 + [(i, words(rng, 30)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    dealt, many = blocks.deal(docs, 10_000)
+    sizes = {}
+    for r in dealt.collect():
+        sizes[r.block_] = sizes.get(r.block_, 0) + blocks.pa.ipc.open_stream(r.rows_).read_all().num_rows
+    assert sum(sizes.values()) == 3000 and many > 20 and max(sizes.values()) < 3 * 3000 / many
+    assert {t.name for t in spark.catalog.listTables()} == before
+    clean = chunk_dedup.without_repeats(docs, block_bytes=10_000).collect()
+    assert sorted((r.doc_id is None, r.text) for r in clean) == sorted((i is None, t) for i, t in rows)

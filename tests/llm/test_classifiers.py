@@ -217,3 +217,30 @@ def test_equal_cosines_go_by_place():
     labels = np.array([1, 0] * 20 + [1] * 3)
     model = quality.fit(quality.features(texts), labels, 8, 5)
     assert model.score(["same text"])[0] == pytest.approx(3 / 5)
+
+
+def test_long_words_in_slices(monkeypatch):
+    """A word that is hashed in slices has the n-grams and the hash that it has at once."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcé."), n)) for n in (1, 2, 30, 63, 64, 65, 66, 128, 129, 500)]
+    at_once, first = toxicity.subwords(words)
+    whole = np.split(at_once, first[1:])
+    model = toxicity.train(["good words here", "bad zzz abc"] * 4, np.array([0, 1] * 4), 8)
+    values = model.word_logits(words)
+    monkeypatch.setattr(toxicity, "LONG_WORD", 32)
+    for word, buckets in zip(words, whole, strict=True):
+        assert sorted(np.concatenate(list(toxicity.long_subwords(word))).tolist()) == sorted(buckets.tolist())
+    assert np.allclose(model.word_logits(words), values, atol=1e-9)
+    parts, starts = toxicity.subwords_in_parts(words)
+    assert [sorted(x.tolist()) for x in np.split(parts, starts[1:])] == [sorted(b.tolist()) for b in whole]
+
+
+def test_one_huge_word_takes_bounded_memory():
+    """A word of 20 million letters: under 500 MB above what the process has."""
+    code = (
+        "import resource, numpy as np; from terrastack.llm import toxicity;"
+        "model = toxicity.train(['good words here', 'bad zzz'] * 4, np.array([0, 1] * 4), 3);"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; score = model.score(['x' * 20_000_000, 'good'])[0];"
+        "grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024; print(grown, len(model.known)); assert 0 <= score <= 1 and grown < 500, grown; assert len(model.known) == 1"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))), check=True, timeout=120)
