@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrastack.llm.common import block_count, ensure_checkpoint_dir
+from terrastack.llm.common import block_count, ensure_checkpoint_dir, give_back
 
 #: UTF-8 bytes of text in a block: what one task holds at a time.
 BLOCK_BYTES = 9_000_000
@@ -71,7 +71,7 @@ def deal(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, in
 
 def rows_of(dealt: pa.Table) -> pa.Table:
     """The documents of a block. What earlier blocks have freed goes back to the system first: workers live long."""
-    pa.default_memory_pool().release_unused()
+    give_back()
     return pa.concat_tables([pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in dealt.column("rows_")])
 
 

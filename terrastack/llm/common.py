@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared_folder(spark)
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system: workers live long, and what they keep others lack."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def text_bytes(docs: DataFrame) -> tuple[int, int]:
     """(rows, UTF-8 bytes of text) of the whole table: sizes the blocks of a job, decides no result."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()

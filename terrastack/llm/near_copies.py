@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from terrastack.llm.blocks import mix
-from terrastack.llm.common import block_count, ensure_checkpoint_dir
+from terrastack.llm.common import block_count, ensure_checkpoint_dir, give_back
 from terrastack.llm.simhash import SEED, BKTree, components, spanning
 
 LIKENESS = 0.8
@@ -39,6 +39,8 @@ SHORT, SHORT_FROM = 60, 47
 RANGE_BYTES = 8_000_000
 #: Texts sampled at most for common shingles, and in how many of them a shingle is common.
 SAMPLED, COMMON = 4_000, 8
+#: Sampled texts that share a shingle from which on its shard has a leader from the sample: one in a hundred.
+LED = 40
 #: Fingerprints that are searched for at a time.
 SEARCHED = 128
 #: Texts of a candidate group, or of a hot shard, that one task asks for.
@@ -163,7 +165,7 @@ def shard_links(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_shingles(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts of a sample hold, sorted, and the leaders of their shards: the sampled text of the smallest name, by key. Neither decides a result."""
+    """Shingles that many texts of a sample hold, sorted, and leaders of the shards of the most common: the sampled text of the smallest name, by key. Neither decides a result."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,11 +174,12 @@ def common_shingles(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]
 
     every = max(1, -(-rows // SAMPLED))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    found = sample.mapInArrow(work, "s long").groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(200_000).select("s").toArrow()
-    common = np.sort(found.column("s").to_numpy().view(np.uint64))
-    if not len(common):
+    found = sample.mapInArrow(work, "s long").groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(200_000).toArrow()
+    shared = found.column("s").to_numpy().view(np.uint64)
+    common, led = np.sort(shared), shared[found.column("count").to_numpy() >= LED]
+    if not len(led):
         return common, np.empty(0, _ENTRY)
-    held = np.sort(np.concatenate((common, common ^ _PARITY)))
+    held = np.sort(np.concatenate((led, led ^ _PARITY)))
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +189,7 @@ def common_shingles(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]
                 entries = entries[_holds(held, entries["key"])]
                 yield pa.RecordBatch.from_arrays([pa.array(entries["key"].view(np.int64)), pa.array(entries["text"]), pa.array([e.tobytes() for e in entries], pa.binary())], names=["key", "name", "entry"])
 
-    leaders = sample.mapInArrow(lead, "key long, name long, entry binary").groupBy("key").agg(F.min(F.struct("name", "entry")).alias("m")).select("m.entry").toArrow()  # two for each common shingle at most
+    leaders = sample.mapInArrow(lead, "key long, name long, entry binary").groupBy("key").agg(F.min(F.struct("name", "entry")).alias("m")).select("m.entry").toArrow()  # two for each such shingle at most
     entries = np.frombuffer(b"".join(leaders.column("entry").to_pylist()), _ENTRY)
     return common, entries[np.argsort(entries["key"])]
 
@@ -227,6 +230,7 @@ def candidate_links(docs: DataFrame) -> DataFrame:
                 held, many = [], 0
         if held:
             yield from dealt(np.concatenate(held))
+        give_back()
 
     def dealt(entries: np.ndarray) -> Iterator[pa.RecordBatch]:
         # by the hash's low half: the order of shingles is by the high bits, so ranges of these would not be even
@@ -238,6 +242,7 @@ def candidate_links(docs: DataFrame) -> DataFrame:
 
     def search(table: pa.Table) -> pa.Table:
         a, b = shard_links(np.concatenate([np.frombuffer(p, _ENTRY) for p in table.column("packed").to_pylist()]))
+        give_back()
         return pa.table({"a": a, "b": b})
 
     links = docs.select("text").mapInArrow(pack, "range long, packed binary").groupBy("range").applyInArrow(search, "a long, b long")
@@ -350,6 +355,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += 1
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        give_back()
 
 
 def confirmed_links(sets: DataFrame) -> DataFrame:
@@ -397,6 +403,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
                 part = batch.slice(start, 256)
                 packed = [shingles(words_of(t)).tobytes() for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["root", "digest_", "packed"])
+        give_back()
 
     texts = plain.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     first = texts.select("doc_id", digests("text").alias("digest_")).groupBy("digest_").agg(F.min("doc_id").alias("first_id")).checkpoint()

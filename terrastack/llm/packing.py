@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
-from terrastack.llm.common import ensure_checkpoint_dir
+from terrastack.llm.common import ensure_checkpoint_dir, give_back
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -107,6 +107,7 @@ def decompose(docs: DataFrame, tokenizer: str, pattern: str, most: int = MAX_LEN
                         start += length
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens"])
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, start long, length long, ids binary, doc_tokens long")
 

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrastack.llm.common import id_remainder
+from terrastack.llm.common import give_back, id_remainder
 
 #: Labelled rows that a model is fitted on at most, half of them of either label, as the hash of their ids falls.
 MAX_LABELLED = 4000
@@ -220,6 +220,7 @@ def score_column(model: Broadcast, text: Column) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(model.value.score(batch.tolist()))
+            give_back()
 
     return score(text)
 

@@ -18,6 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrastack.llm.common import give_back
 from terrastack.llm.quality import labelled_sample, predictions
 
 #: Labelled rows that a model is fitted on at most, half of either label.
@@ -298,6 +299,7 @@ def score_column(model: Broadcast, text: Column) -> Column:
         for batch in batches:
             texts = batch.tolist()
             yield pd.Series(np.concatenate([np.empty(0), *(model.value.score(texts[i : i + 128]) for i in range(0, len(texts), 128))]))
+            give_back()
 
     return score(text)
 

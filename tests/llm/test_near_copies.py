@@ -96,7 +96,7 @@ def test_template_texts_in_proportion_to_their_number():
 @pytest.mark.parametrize("hot", [True, False])
 def test_hot_shards_lose_no_link(spark, monkeypatch, hot):
     """Half of all texts share a stock passage that makes up most of them, in several groups; leaders from a sample or within shards, few askers in a task."""
-    monkeypatch.setattr(near_copies, "COMMON", 8 if hot else 1 << 30)
+    monkeypatch.setattr(near_copies, "LED", 8 if hot else 1 << 30)
     monkeypatch.setattr(near_copies, "QUERY_BLOCK", 7)
     monkeypatch.setattr(near_copies, "SEARCHED", 16)
     rng = random.Random(5)
