@@ -1,7 +1,7 @@
 """License scans: windows of a text compared with license templates by the Dice coefficient of their word bigrams.
 
-Texts and templates are normalised alike: lower-cased, everything but letters and digits a space. A text is cut into pieces at line ends and sentence ends; a
-window is any run of whole pieces, so that notices on a line of their own and licenses wrapped over many lines are found alike. Two sets of a and b
+Texts and templates are normalised alike: lower-cased, everything but letters and digits a space. A window begins where a stretch of a template's bigrams begins and ends where one
+ends, so notices are found on lines of their own, inside prose and wrapped over many lines alike, and edits in between only cost likeness. Two sets of a and b
 bigrams can reach a coefficient t only if a lies between b t / (2 - t) and b (2 - t) / t: windows of more words are not compared, and a match shares at least
 b t / (2 - t) bigrams. For the latter reason a text without any of a few KEYWORDS, which touch so many bigrams of each template that a match holds one, is
 passed over. DataFrame functions alone; no shuffle.
@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-#: Where a text is cut into pieces, and what normalised words are not made of. The same patterns hold in SQL.
-CUT = r"[\n\r]+|[.!?;]+\s+"
+#: What normalised words are not made of. The same pattern holds in SQL.
 GAP = r"[^\p{L}\p{N}]+"
 
 # The texts of common licenses without their copyright lines, and customary notices.
@@ -182,9 +181,9 @@ def _holds(text: Column, wanted: list[str]) -> Column:
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, licenses: dict[str, list[str]] | None = None) -> DataFrame:
-    """doc_id, first_piece, last_piece, license, template_no, shared, dice: one row for each window of each row's text that matches a template best.
+    """doc_id, first_word, last_word, license, template_no, shared, dice: one row for each window of each row's text that matches a template best.
 
-    Pieces (without those that have no words) count from 0. dice is at least `threshold`. Of windows that begin at the same piece the one with most shared bigrams stays, then the
+    Words count from 0. dice is at least `threshold`. Of windows that begin at the same word the one with most shared bigrams stays, then the
     greater dice, then the first license and template by name and number, then the shorter window; of those left, one stays unless it overlaps a better one by the same order.
     Null and empty texts, and texts without licenses, give no row; texts of any length are searched whole; repeated rows, and rows with a null doc_id, give their own results;
     empty tables give none. Other columns, whatever their names, are left out.
@@ -198,9 +197,10 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, licenses: dict[str, list
     every = sorted({g for _, _, grams in known for g in grams})
     kept = docs.select("doc_id", "text").where(_holds(F.col("text"), keywords(known, threshold)))
     # one expression, whose parts are bound by let(): as columns of their own they would be put into the functions that use them and built anew for each element
-    found = let(_words(F.col("text")), lambda words: let(_grams(words), lambda grams: let(F.filter(grams, lambda g: g["gram"].isin(every)), lambda some: _best(grams, some, table, threshold, most))))
+    words = lambda text: F.split(_plain(text), " ")
+    found = let(words(F.col("text")), lambda w: let(_grams(w), lambda grams: let(F.filter(grams, lambda g: g["gram"].isin(every)), lambda some: _best(grams, some, table, threshold, most))))
     best = kept.select("doc_id", F.explode_outer(found).alias("m")).where(F.col("m").isNotNull())
-    return best.select("doc_id", F.col("m.first").alias("first_piece"), F.col("m.last").alias("last_piece"), "m.license", "m.template_no", (-F.col("m.minus_shared")).alias("shared"), F.round(-F.col("m.minus_dice"), 6).alias("dice"))
+    return best.select("doc_id", F.col("m.first").alias("first_word"), F.col("m.last").alias("last_word"), "m.license", "m.template_no", (-F.col("m.minus_shared")).alias("shared"), F.round(-F.col("m.minus_dice"), 6).alias("dice"))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -208,20 +208,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _words(text: Column) -> Column:
-    """Of each word of a text: its piece, its place in it, the piece's words, and itself."""
-    pieces = F.filter(F.transform(F.split(text, CUT), lambda p: _plain(p)), lambda p: p != "")
-    token = lambda p, i: F.transform(p, lambda w, x: F.struct(i.alias("piece"), x.alias("at"), F.size(p).alias("len"), w.alias("word")))
-    return F.flatten(F.transform(F.transform(pieces, lambda p: F.split(p, " ")), token))
-
-
 def _grams(words: Column) -> Column:
-    """Of each bigram: its pieces, where the window that begins with the first one begins, where the one that ends with the second ends, and its place."""
-
-    def gram(k: Column) -> Column:
-        one, two = F.get(words, k - 1), F.get(words, k)
-        return F.struct(F.concat_ws(" ", one["word"], two["word"]).alias("gram"), one["piece"].alias("a"), two["piece"].alias("b"), (k - 1 - one["at"]).alias("from"), (k - two["at"] + two["len"]).alias("to"), k.alias("place"))
-
+    """The bigrams of a text, with the place of each one's second word."""
+    gram = lambda k: F.struct(F.concat_ws(" ", F.get(words, k - 1), F.get(words, k)).alias("gram"), k.alias("place"))
     return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), gram))
 
 
@@ -233,33 +222,34 @@ def _best(grams: Column, some: Column, table: Column, threshold: float, most: in
     each = lambda t: let(mine(t), lambda own: F.flatten(F.transform(_begins(t, own), lambda x: _windows(t, own, x, grams, threshold, most))))
     first = lambda every: F.filter(every, lambda m, k: (k == 0) | (F.get(every, k - 1)["first"] != m["first"]))
     order = lambda m: F.struct(m["minus_shared"], m["minus_dice"], m["license"], m["template_no"], m["first"], m["last"])
-    around = lambda single, k: F.slice(single, F.greatest(k + 1 - most, F.lit(1)), F.lit(2 * most))  # noqa: E731  a window has no more than `most` pieces
+    around = lambda single, k: F.slice(single, F.greatest(k + 1 - most, F.lit(1)), F.lit(2 * most))  # noqa: E731  a window has no more than `most` words
     better = lambda single, m, k: F.exists(around(single, k), lambda o: (o["first"] <= m["last"]) & (o["last"] >= m["first"]) & (order(o) < order(m)))
     peaks = lambda single: F.filter(single, lambda m, k: ~better(single, m, k))
     return let(F.array_sort(F.flatten(F.transform(near, each))), lambda every: let(first(every), peaks))
 
 
 def _begins(t: Column, own: Column) -> Column:
-    """The bigrams a window of template t can begin at: the first of their piece, with enough of them to follow within the window."""
+    """The bigrams a window of template t can begin at: the first of a stretch of its bigrams, with enough of them to follow within the window."""
     numbered = F.transform(own, lambda g, k: F.struct(g.alias("g"), k.alias("k")))
-    new = lambda x: (x["k"] == 0) | (F.get(own, x["k"] - 1)["a"] != x["g"]["a"])
+    new = lambda x: (x["k"] == 0) | (F.get(own, x["k"] - 1)["place"] != x["g"]["place"] - 1)
     follows = lambda x: F.get(own, x["k"] + t["least"] - 1)["place"]
-    return F.filter(numbered, lambda x: new(x) & F.coalesce(follows(x) - x["g"]["from"] <= t["most"], F.lit(False)))
+    return F.filter(numbered, lambda x: new(x) & F.coalesce(follows(x) - x["g"]["place"] + 2 <= t["most"], F.lit(False)))
 
 
 def _windows(t: Column, own: Column, x: Column, grams: Column, threshold: float, most: int) -> Column:
     """Of the windows that begin at x, those that match template t."""
 
     def matching(inside: Column) -> Column:
-        ends = F.array_distinct(F.transform(inside, lambda g: F.struct(g["b"].alias("b"), g["to"].alias("to"))))
-        shared = lambda e: F.size(F.array_distinct(F.transform(F.filter(inside, lambda g: g["b"] <= e["b"]), lambda g: g["gram"])))
-        size = lambda e: F.size(F.array_distinct(F.transform(F.slice(grams, x["g"]["from"] + 1, e["to"] - x["g"]["from"] - 1), lambda g: g["gram"])))
+        after = lambda k: F.get(inside, k + 1)["place"]
+        ends = F.filter(inside, lambda g, k: F.coalesce(after(k) != g["place"] + 1, F.lit(True)))  # the last of their stretch, or of what the window can hold
+        shared = lambda e: F.size(F.array_distinct(F.transform(F.filter(inside, lambda g: g["place"] <= e["place"]), lambda g: g["gram"])))
+        size = lambda e: F.size(F.array_distinct(F.transform(F.slice(grams, x["g"]["place"], e["place"] - x["g"]["place"] + 1), lambda g: g["gram"])))
         counted = F.filter(F.transform(ends, lambda e: F.struct(e.alias("e"), shared(e).alias("shared"))), lambda c: c["shared"] >= t["least"])
         scored = F.transform(counted, lambda c: F.struct(c["e"].alias("e"), c["shared"].alias("shared"), (2 * c["shared"] / (size(c["e"]) + t["size"])).alias("dice")))
-        rank = lambda c: F.struct(x["g"]["a"].alias("first"), (-c["shared"]).alias("minus_shared"), (-c["dice"]).alias("minus_dice"), t["license"].alias("license"), t["template_no"].alias("template_no"), c["e"]["b"].alias("last"))
+        rank = lambda c: F.struct((x["g"]["place"] - 1).alias("first"), (-c["shared"]).alias("minus_shared"), (-c["dice"]).alias("minus_dice"), t["license"].alias("license"), t["template_no"].alias("template_no"), c["e"]["place"].alias("last"))
         return F.transform(F.filter(scored, lambda c: c["dice"] >= threshold), rank)
 
-    return let(F.filter(F.slice(own, x["k"] + 1, F.lit(most)), lambda g: g["to"] - x["g"]["from"] <= t["most"]), matching)
+    return let(F.filter(F.slice(own, x["k"] + 1, F.lit(most)), lambda g: g["place"] - x["g"]["place"] + 2 <= t["most"]), matching)
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
@@ -268,24 +258,20 @@ def oracle_sql(threshold: float = THRESHOLD) -> str:
     return f"""
 WITH t(license, template_no, size, least, most, grams) AS (VALUES {rows}),
 tg AS (SELECT license, template_no, size, least, most, unnest(grams) AS gram FROM t),
-cut AS (SELECT row_number() OVER () AS id, doc_id, string_split_regex(text, '{CUT}') AS parts FROM documents WHERE text IS NOT NULL),
-part AS (SELECT id, i, string_split(trim(regexp_replace(lower(parts[i]), '{GAP}', ' ', 'g')), ' ') AS words FROM (SELECT id, parts, unnest(range(1, len(parts) + 1)) AS i FROM cut)),
-piece AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS piece, len(words) AS n, words,
-  coalesce(sum(len(words)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM part WHERE words[1] <> ''),
-word AS (SELECT id, piece, before, before + n AS ending, before + k AS place, words[k + 1] AS word FROM (SELECT *, unnest(range(0, len(words))) AS k FROM piece)),
-pair AS (SELECT id, lag(piece) OVER w AS a, piece AS b, lag(before) OVER w AS starts, ending AS ends, place, lag(word) OVER w || ' ' || word AS gram
-  FROM word WINDOW w AS (PARTITION BY id ORDER BY place)),
-gram AS (SELECT * FROM pair WHERE a IS NOT NULL),
+split AS (SELECT row_number() OVER () AS id, doc_id, string_split(trim(regexp_replace(lower(text), '{GAP}', ' ', 'g')), ' ') AS words FROM documents WHERE text IS NOT NULL),
+gram AS (SELECT id, place, words[place] || ' ' || words[place + 1] AS gram FROM (SELECT id, words, unnest(range(1, len(words))) AS place FROM split)),
 mine AS (SELECT g.*, license, template_no, size, least, most FROM gram g JOIN tg USING (gram)),
 near AS (SELECT id, license, template_no FROM mine GROUP BY ALL HAVING count(DISTINCT gram) >= min(least)),
-begins AS (SELECT DISTINCT m.id, m.license, m.template_no, size, least, most, a AS first, starts FROM mine m SEMI JOIN near n ON m.id = n.id AND m.license = n.license AND m.template_no = n.template_no),
-shared AS (SELECT s.id, s.license, s.template_no, s.size, s.least, s.first, s.starts, e.b AS last, e.ends, count(DISTINCT g.gram) AS shared
-  FROM begins s JOIN (SELECT DISTINCT id, license, template_no, b, ends FROM mine) e ON e.id = s.id AND e.license = s.license AND e.template_no = s.template_no AND e.b >= s.first AND e.ends - s.starts <= s.most
-  JOIN mine g ON g.id = s.id AND g.license = s.license AND g.template_no = s.template_no AND g.a >= s.first AND g.b <= e.b GROUP BY ALL HAVING count(DISTINCT g.gram) >= s.least),
-scored AS (SELECT s.id, first, last, license, template_no, shared, 2 * shared / (count(DISTINCT g.gram) + size) AS dice
-  FROM shared s JOIN gram g ON g.id = s.id AND g.a >= s.first AND g.b <= s.last GROUP BY s.id, first, last, license, template_no, shared, size),
+own AS (SELECT m.*, lag(place) OVER w IS DISTINCT FROM place - 1 AS opens, lead(place) OVER w IS DISTINCT FROM place + 1 AS closes FROM mine m SEMI JOIN near n ON m.id = n.id AND m.license = n.license AND m.template_no = n.template_no
+  WINDOW w AS (PARTITION BY m.id, m.license, m.template_no ORDER BY place)),
+ends AS (SELECT b.id, b.license, b.template_no, b.size, b.least, b.place AS first, e.place AS last FROM own b JOIN own e ON e.id = b.id AND e.license = b.license AND e.template_no = b.template_no
+  AND e.place >= b.place AND e.place - b.place + 2 <= b.most AND (e.closes OR e.place - b.place + 2 = b.most) WHERE b.opens),
+shared AS (SELECT s.*, count(DISTINCT g.gram) AS shared FROM ends s JOIN own g ON g.id = s.id AND g.license = s.license AND g.template_no = s.template_no AND g.place BETWEEN s.first AND s.last
+  GROUP BY ALL HAVING count(DISTINCT g.gram) >= s.least),
+scored AS (SELECT s.id, first - 1 AS first, last, license, template_no, shared, 2 * shared / (count(DISTINCT g.gram) + size) AS dice
+  FROM shared s JOIN gram g ON g.id = s.id AND g.place BETWEEN s.first AND s.last GROUP BY s.id, first, last, license, template_no, shared, size),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id, first ORDER BY shared DESC, dice DESC, license, template_no, last) AS place FROM scored WHERE dice >= {threshold}),
 single AS (SELECT * FROM ranked WHERE place = 1)
-SELECT c.doc_id, CAST(m.first AS INT) AS first_piece, CAST(m.last AS INT) AS last_piece, m.license, m.template_no, CAST(m.shared AS INT) AS shared, round(m.dice, 6) AS dice FROM single m JOIN cut c ON c.id = m.id
+SELECT c.doc_id, CAST(m.first AS INT) AS first_word, CAST(m.last AS INT) AS last_word, m.license, m.template_no, CAST(m.shared AS INT) AS shared, round(m.dice, 6) AS dice FROM single m JOIN split c ON c.id = m.id
 WHERE NOT EXISTS (SELECT 1 FROM single o WHERE o.id = m.id AND o.first <= m.last AND o.last >= m.first
   AND (-o.shared, -o.dice, o.license, o.template_no, o.first, o.last) < (-m.shared, -m.dice, m.license, m.template_no, m.first, m.last))"""

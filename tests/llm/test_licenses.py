@@ -36,29 +36,25 @@ TEXTS = [
 
 
 def brute(texts, threshold):
-    """All windows of pieces against all templates, by sets."""
+    """All windows from the beginning of a stretch of a template's bigrams to the end of one, by sets."""
     found = []
     for doc_id, text in enumerate(texts):
-        pieces = [w for w in (re.sub(r"[\W_]+", " ", p.lower()).split() for p in re.split(licenses.CUT, text or "")) if w]
+        words = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
         best = {}
         for name, no, grams in licenses.templates():
             own, most = set(grams), licenses.most_words(len(grams), threshold)
-            for i in range(len(pieces)):
-                words = []
-                for j in range(i, len(pieces)):
-                    first_new = len(words)
-                    words = words + pieces[j]
-                    if len(words) > most:
-                        break
-                    pairs = [(f"{a} {b}", k + 1) for k, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-                    window = {g for g, _ in pairs}
-                    # windows begin and end with a piece that has a word of a shared bigram of the window
-                    ends = any(g in own and k >= first_new for g, k in pairs)
-                    begins = any(g in own and k - 1 < len(pieces[i]) for g, k in pairs)
+            for i, gram in enumerate(pairs):
+                if gram not in own or i and pairs[i - 1] in own:
+                    continue
+                for j in range(i, min(len(pairs), i + most - 1)):
+                    if pairs[j] not in own or j + 1 < min(len(pairs), i + most - 1) and pairs[j + 1] in own:
+                        continue
+                    window = set(pairs[i : j + 1])
                     shared = len(window & own)
                     dice = 2 * shared / (len(window) + len(own))
-                    if begins and ends and dice >= threshold:
-                        rank = (-shared, -dice, name, no, i, j)
+                    if dice >= threshold:
+                        rank = (-shared, -dice, name, no, i, j + 1)
                         best[i] = min(best.get(i, rank), rank)
         for m in best.values():
             if not any(o[4] <= m[5] and o[5] >= m[4] and o < m for o in best.values()):
@@ -106,6 +102,23 @@ def test_whole_licenses_are_found_however_they_are_laid_out(spark):
     assert found == {i: {name} for i, name in want.items()}
 
 
+def test_notices_after_and_inside_prose(spark):
+    """Notices that no line end or full stop sets apart, wrapped ones, and two in one sentence."""
+    rows = [
+        (1, "Copyright 2020 Somebody, a small but useful project and friends Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        (2, "this file (released under the MIT License, as all of them) holds the tables that were made in the spring", "MIT"),
+        (3, "See the notes; this work is licensed\n   under the GNU General\n   Public License, version 3 and nothing else of it may be said", "GPL-3.0"),
+        (4, f"{' '.join(PROSE.split())} {' '.join(FULL['MIT'].split())} {' '.join(PROSE.split())}", "MIT"),
+        (5, PROSE, None),
+    ]
+    found = {}
+    for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert {i: {r.license for r in f} for i, f in found.items()} == {i: {name} for i, _, name in rows if name}
+    words = re.sub(r"[\W_]+", " ", rows[0][1].lower()).split()
+    assert words[found[1][0].first_word : found[1][0].last_word + 1] == "licensed under the apache license version 2 0".split()
+
+
 def test_keywords_are_in_every_match():
     known = licenses.templates()
     words = licenses.keywords(known, 0.8)
@@ -118,9 +131,9 @@ def test_long_texts_nulls_and_repeated_rows(spark):
     """A license at the end of a very long text is found; rows without id, and repeated rows, give their own results."""
     long = PROSE * 8000 + "\n" + textwrap.fill(FULL["MIT"], 70) + "\nof the software and the license\n" * 300
     rows = [(1, long, 5), (None, NOTICE, None), (None, NOTICE, None), (2, None, 1), (3, " ", 1)]
-    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, first_piece int")).collect()
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, first_word int")).collect()
     assert sorted((r.doc_id or 0, r.license) for r in found) == [(0, "MIT"), (0, "MIT"), (1, "MIT")]
-    assert max(r.first_piece for r in found) > 20_000
+    assert max(r.first_word for r in found) > 200_000
 
 
 def test_no_python_and_empty_table(spark):
