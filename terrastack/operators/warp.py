@@ -7,6 +7,8 @@ them in one join by row and column; weights of masked or absent source cells are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,10 +103,18 @@ def warp(source: DataFrame, source_grid: GridSpec, target_grid: GridSpec, method
 
 
 def warp_mosaic(tiles: DataFrame, tile_grid: GridSpec, target_grid: GridSpec, params: MosaicParams = MosaicParams()) -> DataFrame:
-    """grid_row, grid_col, value, tile_ordinal: tiles (grid_row, grid_col, raw, tile_ordinal) of one grid brought onto the target by `params.resampling`, then merged by `params.prefer`.
+    """grid_row, grid_col, value, tile_ordinal: tiles (grid_row, grid_col, raw, tile_ordinal) of one grid brought onto the target by `params.resampling`, then merged by `params.prefer`."""
+    return warp_layers([(tiles, tile_grid)], target_grid, params)
+
+
+def warp_layers(layers: list[tuple[DataFrame, GridSpec]], target_grid: GridSpec, params: MosaicParams = MosaicParams()) -> DataFrame:
+    """As warp_mosaic, for tiles of several grids and coordinate systems: a table (grid_row, grid_col, raw, tile_ordinal) and grid for each. Tiles are merged by ordinal, whatever grid they lie on.
 
-    Validity is tested on raw values before they are resampled, so that no-data never mixes into a mean.
+    Validity is tested on raw values before they are resampled, so that no-data never mixes into a mean. One shuffle for each grid's join and one for the merge.
     """
-    valid = tiles.where(source_valid(params.nodata)(F.col("raw"))).select("grid_row", "grid_col", "tile_ordinal", F.col("raw").cast("double").alias("raw"))
-    warped = warp(valid, tile_grid, target_grid, params.resampling, "raw", ["tile_ordinal"])
-    return mosaic.merge(warped, params, valid=lambda raw: raw.isNotNull())
+    if not layers:
+        raise ValueError("no tiles")
+    valid = source_valid(params.nodata)(F.col("raw"))
+    plain = [(t.where(valid).select("grid_row", "grid_col", "tile_ordinal", F.col("raw").cast("double").alias("raw")), g) for t, g in layers]
+    warped = [warp(t, g, target_grid, params.resampling, "raw", ["tile_ordinal"]) for t, g in plain]
+    return mosaic.merge(reduce(DataFrame.unionByName, warped), params, valid=lambda raw: raw.isNotNull())

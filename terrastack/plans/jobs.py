@@ -60,6 +60,8 @@ def mosaic_files(spark: SparkSession, folder: str, target: grid.GridSpec, out: s
     Files may lie on other grids of the same coordinates: each target cell takes the source cell that holds its centre. A file that names another
     coordinate system is an error (one that names none is taken to have the target's); so is a folder without files.
     """
+    if params.resampling != "nearest":
+        raise ValueError(f"files are merged by nearest cells; operators.warp.warp_layers does {params.resampling} on tables")
     order = tiles.list_tiles(spark, folder, recursive)
     if order.isEmpty():
         raise FileNotFoundError(f"no .tif or .tiff file in {folder}")

@@ -91,12 +91,20 @@ FROM {pixels} p CROSS JOIN {months} m LEFT JOIN (SELECT * FROM {clear} WHERE yea
 _NAME = re.compile(r"\{(\w+)\}")
 
 
+#: Analysed views by session, folder and name: plans, no data. Tables of a folder are taken not to change within a session.
+_MADE: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view, or a table of `sf_dir`, as a DataFrame."""
-    if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = VIEWS[name]
-    return spark.sql(text, **{used: view(spark, sf_dir, used) for used in set(_NAME.findall(text))})
+    """A view, or a table of `sf_dir`, as a DataFrame; each is analysed once a session."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _MADE:
+        if name not in VIEWS:
+            _MADE[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        else:
+            text = VIEWS[name]
+            _MADE[key] = spark.sql(text, **{used: view(spark, sf_dir, used) for used in set(_NAME.findall(text))})
+    return _MADE[key]
 
 
 @cache

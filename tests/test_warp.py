@@ -116,3 +116,18 @@ def test_no_data_never_mixes_into_means(spark):
     for prefer, value, tile in (("src", 1.0, 1), ("dest", 0.08, 0)):
         r = warp.warp_mosaic(tiles, spec, whole, MosaicParams(prefer=prefer, resampling="average")).first()
         assert (round(r.value, 9), r.tile_ordinal) == (value, tile)
+
+
+def test_tiles_of_several_grids_and_systems(spark):
+    """An Albers tile above and a finer one in degrees below another: the order of ordinals decides, not that of the tables."""
+    target = grid.GridSpec(-200000.0, 2000000.0, 10000.0, 10000.0, 30, 30)
+    near_, far = grid.GridSpec(-100000.0, 1900000.0, 5000.0, 5000.0, 40, 40), grid.GridSpec(-99.0, 41.0, 0.05, 0.05, 80, 80, crs="EPSG:4269")
+    cells = lambda spec, value, ordinal: grid.cells(spark, spec).withColumns({"raw": F.lit(value), "tile_ordinal": F.lit(ordinal)})
+    for order in ((1, 0), (0, 1)):
+        layers = [(cells(near_, 100.0, order[0]), near_), (cells(far, 200.0, order[1]), far)]
+        rows = {(r.grid_row, r.grid_col): (round(r.value, 9), r.tile_ordinal) for r in warp.warp_layers(layers, target).collect()}
+        alone = found(warp.warp(layers[0][0].withColumn("value", F.col("raw")), near_, target))
+        assert alone and {rows[k] for k in alone} <= ({(1.0, 1)} if order == (1, 0) else {(2.0, 1), (1.0, 0)})
+        assert {v for k, v in rows.items() if k not in alone} == {(2.0, order[1])}
+    with pytest.raises(ValueError, match="no tiles"):
+        warp.warp_layers([], target)
