@@ -209,8 +209,9 @@ def sample_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, divisor: int = 3, left_out: int = 1, most: int = MAX_LABELLED) -> Broadcast:
     """The model learned from `labels.quality` of at most `most` rows that are not left out, broadcast."""
-    counts, wanted = sample_counts(labelled_sample(docs, labels, "quality", divisor, left_out, most))
-    return docs.sparkSession.sparkContext.broadcast(fit(counts, wanted))
+    model = fit(*sample_counts(labelled_sample(docs, labels, "quality", divisor, left_out, most)))
+    give_back()
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def score_column(model: Broadcast, text: Column) -> Column:

@@ -219,7 +219,7 @@ def train_examples(examples: list[Example], labels: np.ndarray, epochs: int = EP
     numbers: dict[str, int] = {}
     ids = [np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32) for words, _ in examples]
     bag, bag_owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    count = np.concatenate([own for _, own in examples])
+    count = np.concatenate([own for _, own in examples]).astype(np.int64)
     start = np.searchsorted(bag_owner, np.arange(len(ids)))
     size = np.add.reduceat(count, start)
     buckets, first = subwords_in_parts(list(numbers))
@@ -281,14 +281,22 @@ def sample_examples(sample: DataFrame) -> tuple[list[Example], np.ndarray]:
 
     table = sample.mapInArrow(work, "doc_id long, label_ int, words array<string>, count binary").toArrow()
     table = table.sort_by([("doc_id", "ascending"), ("label_", "ascending")])
-    found = [(w, np.frombuffer(c, "<i4").astype(np.int64)) for w, c in zip(table.column("words").to_pylist(), table.column("count").to_pylist(), strict=True)]
+    found: list[Example] = []
+    words: dict[str, str] = {}  # one string for each distinct word, not one for each text that has it
+    for row in range(table.num_rows):
+        own = [words.setdefault(w, w) for w in table.column("words")[row].as_py()]
+        found.append((own, np.frombuffer(table.column("count")[row].as_py(), "<i4")))
     return found, table.column("label_").to_numpy().astype(np.int64)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, divisor: int = 5, left_out: int = 0, most: int = MAX_LABELLED) -> Broadcast:
     """The model learned from `labels.toxic` of at most `most` rows, of any length, that are not left out, broadcast."""
     examples, wanted = sample_examples(labelled_sample(docs, labels, "toxic", divisor, left_out, most))
-    return docs.sparkSession.sparkContext.broadcast(train_examples(examples, wanted))
+    give_back()
+    model = train_examples(examples, wanted)
+    del examples
+    give_back()
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def score_column(model: Broadcast, text: Column) -> Column:
