@@ -229,7 +229,7 @@ def score_texts(docs: DataFrame, held_out: str, order: int = ORDER, mu: float |
 
     `docs` has doc_id, text and the boolean column `held_out` (null: true); other columns, whatever their names, are left out. Null and empty texts are one
     end token; texts of any length are learned from and scored whole. If nothing trains, N and V are 0 and every score is 0. Repeated rows, and rows
-    with a null doc_id, count and are scored each time; equal texts score alike up to the last digits. Empty tables give no rows.
+    with a null doc_id, count and are scored each time; equal texts score alike up to the last digits; there are no ties to break, since every n-gram counts. Empty tables give no rows.
     """
     if not 1 <= order <= 4:
         raise ValueError("order must be 1 to 4")

@@ -56,6 +56,15 @@ def test_rows_equal_the_contract(spark):
     assert media.media_features(media.store_media(docs.where("false"))).collect() == []
 
 
+def test_null_ids_and_a_very_long_text(spark):
+    long = "long words of a text " * 250_000
+    rows = [(None, "same", "x"), (None, "same", "x"), (None, None, None), (1, long, "x")]
+    found = media.media_features(media.store_media(spark.createDataFrame(rows, "doc_id long, text string, media string"))).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in found) == [(0, 0), (0, 4), (0, 4), (1, len(long))]
+    padded = long.encode() + bytes(-len(long) % 64)
+    assert next(r.payload_sha256 for r in found if r.doc_id == 1) == hashlib.sha256(padded).hexdigest()
+
+
 def brute_hash(image):
     """Area means and cosine sums written out."""
     rows, width = image.shape

@@ -101,3 +101,13 @@ def test_long_texts_and_hot_words(spark):
     wide = {r.doc_id: r for r in ngram_lm.score_texts(docs, "h", 3, (300.0, 5.0)).collect()}
     assert got[0].n_tokens == 60_001 and len(got) == len(texts)
     assert all(got[i].score == pytest.approx(wide[i].score, abs=1e-6) and got[i].train_tokens == wide[i].train_tokens for i in got)
+
+
+def test_many_equal_rows_count_each_and_score_alike(spark):
+    """Half of all rows are one row without an id, dealt to all blocks."""
+    rows = [(None, "the same words again and again", False)] * 800 + [(i, f"other words {i % 90} in a text of {i % 7}", i % 5 == 0) for i in range(800)]
+    found = ngram_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string, held boolean"), "held", block_bytes=20_000).collect()
+    assert len(found) == len(rows)
+    assert {r.train_tokens for r in found} == {sum(len(t.split()) + 1 for _, t, held in rows if not held)}
+    scores = [r.score for r in found if r.doc_id is None]
+    assert len(scores) == 800 and max(scores) - min(scores) < 1e-9

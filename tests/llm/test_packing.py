@@ -74,6 +74,17 @@ def test_pieces_hold_every_id_once(spark, library, monkeypatch):
     assert sum(r.doc_id == 90 for r in rows) == 2 * len({r.start for r in rows if r.doc_id == 90})
 
 
+def test_null_ids_and_a_very_long_text(spark, library):
+    long = "some words and more of them, " * 60_000
+    rows = packing.pack(spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, None), (1, long)], "doc_id long, text string"), JSON, PATTERN).collect()
+    tokens = len(library.encode(long, add_special_tokens=False).ids) + 1
+    own = [r for r in rows if r.doc_id == 1]
+    assert sum(r.length for r in own) == tokens == own[0].doc_tokens and max(r.length for r in own) == 2048
+    assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
+    short = len(library.encode("a b c", add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in rows if r.doc_id is None) == 2 * short + 1
+
+
 def test_empty_table_and_bad_length(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(docs, JSON, PATTERN).collect() == []

@@ -61,3 +61,9 @@ def test_rows_equal_the_library(spark, library):
         assert r.decoded == library.decode(ids)
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
     assert piece_bpe.encode_and_decode(docs.where("false"), MODEL).collect() == []
+
+
+def test_null_ids(spark, library):
+    docs = spark.createDataFrame([(None, "one two"), (None, "one two"), (None, None)], "doc_id long, text string")
+    found = piece_bpe.encode_and_decode(docs, MODEL).collect()
+    assert sorted(r.n_tokens for r in found) == [1] + [len(library.encode("one two")) + 1] * 2 and {r.doc_id for r in found} == {None}
