@@ -41,13 +41,15 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUT = frozenset("nav footer aside form button select option fieldset input menu dialog search head template svg canvas audio video object applet map".split()) | RAW.keys()
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Names (parts of class and id) that tell of such elements: the first of any element, the others unless it holds an article element.
-NAMES_OUT = frozenset("comment comments commentlist disqus respond reply replies related nav navbar navigation menu breadcrumb breadcrumbs pagination pager share sharing social footer".split())
+NAMES_OUT = frozenset("kommentar kommentare comentario comentarios responses reactions discussion disqus respond reply replies related nav navbar navigation menu breadcrumb breadcrumbs pagination pager share sharing social footer".split())
 NAMES_ASIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar sidebars masthead header "
-    "newsletter subscribe subscription signup login popup modal overlay toolbar recommended recommendations".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot anzeige werbung publicite publicidad sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar sidebars masthead header "
+    "aside topbar newsletter subscribe subscription signup login paywall popup modal overlay toolbar recommended recommendations".split()
 )
 #: Names that tell only when they stand alone.
 NAMES_ALONE = frozenset({("widget",), ("widgets",)})
+#: Names of either kind by how they begin, and one that begins so and isn't.
+BEGINS_OUT, BEGINS_ASIDE, COMMENTARY = "comment", "cookie", "commentary"
 _NEGATED = frozenset("no not with without has have is js".split())
 #: Of a header of this kind, or one within an article element, the headings stay.
 NAMES_OWN = frozenset("post entry article story content".split())
@@ -74,9 +76,10 @@ def _verdict(tag: str, attributes: dict[str, str]) -> int:
     if tag in ("html", "body", "main"):
         return 0
     found = _names(attributes)
-    if any(not NAMES_OUT.isdisjoint(n) for n in found) and tag != "span":  # spans of this name are comments in program text
+    if tag != "span" and any(not NAMES_OUT.isdisjoint(n) or any(p.startswith(BEGINS_OUT) and p != COMMENTARY for p in n) for n in found):  # spans of this name are comments in program text
         return 2
-    return int(tag == "header" or any(n in NAMES_ALONE or not NAMES_ASIDE.isdisjoint(n) for n in found) and tag not in HEADINGS and tag != "th")
+    aside = any(n in NAMES_ALONE or not NAMES_ASIDE.isdisjoint(n) or n[0].startswith(BEGINS_ASIDE) for n in found)
+    return int(tag == "header" or aside and tag not in HEADINGS and tag != "th")
 
 
 def _attributes(text: str) -> dict[str, str]:

@@ -33,6 +33,8 @@ LAYOUTS = {
     "entry header": f'<div class="masthead"><h1>The Paper</h1></div><div><div class="entry-header"><h1>Title of it</h1><p>12 May</p></div>{PROSE}</div><div>{MENU}</div>',
     "header that holds all": f'<div class="header-wide"><article>{ARTICLE}</article></div>',
     "notices": f'<div class="cookie-notice">{REMARKS}</div><article>{ARTICLE}</article><div class="newsletter_signup">{REMARKS}</div><div hidden>{REMARKS}</div><p style="display: none">{REMARKS}</p>',
+    "names in other languages": f'<div class="werbung">{REMARKS}</div><article>{ARTICLE}<div id="leser-kommentare">{REMARKS}</div><ol class="commentlist"><li>{REMARKS}</li></ol></article><div id="cookiebanner">{REMARKS}</div>',
+    "commentary": f'<div><article class="commentary">{ARTICLE}</article></div>',
     "no sidebar": f'<div class="no-sidebar"><div class="has-comments">{ARTICLE}</div></div>',
     "scripts": f"<script>if (a<b) document.write('<article></p>{REMARKS}')</script><style>p>a{{}}</style><noscript>{REMARKS}</noscript><article>{ARTICLE}</article><!-- <p>{REMARKS}</p> --><template>{REMARKS}</template>",
     "upper case": f"<NAV>{MENU}</NAV><ARTICLE>{ARTICLE.replace('p>', 'P>')}</ARTICLE><FOOTER>{REMARKS}</FOOTER>",
