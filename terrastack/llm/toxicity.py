@@ -129,6 +129,20 @@ def worst_counts(sizes: np.ndarray) -> np.ndarray:
     return np.clip(sizes // WORDS_EACH, 1, WORST)
 
 
+def worst_words(values: np.ndarray, count: np.ndarray, owner: np.ndarray, start: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How often each distinct word of each text is among the text's `most` worst: by value, then place. `start` is where a text's words begin; WORST rounds, no sorting."""
+    taken, left, values = np.zeros(len(values), np.int64), most.copy(), values.copy()
+    for _ in range(int(most.max())):
+        top = np.maximum.reduceat(values, start)
+        at = np.flatnonzero(values == top[owner])
+        at = at[np.concatenate([[True], owner[at][1:] != owner[at][:-1]])]  # the first of each text's largest
+        text = owner[at]
+        taken[at] += np.minimum(count[at], left[text]) * (left[text] > 0) * (values[at] > -np.inf)
+        left[text] -= np.minimum(count[at], left[text])
+        values[at] = -np.inf
+    return taken
+
+
 def worst_means(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The mean of each text's largest values, as many as worst_counts says; 0 for a text without words."""
     ends, counts = np.cumsum(sizes), worst_counts(sizes)
@@ -232,12 +246,10 @@ def train_examples(examples: list[Example], labels: np.ndarray, epochs: int = EP
         else:
             each = (embeddings @ (linear[:, 1] - linear[:, 0])).astype(np.float64)[buckets]
             word = np.add.reduceat(each, first) / many
-            order = np.lexsort((-word[bag], bag_owner))  # each text's words, the worst first
-            before = np.cumsum(count[order]) - count[order]
             most = worst_counts(size)
-            taken = np.clip(most[bag_owner] - (before - before[start][bag_owner]), 0, count[order])
+            taken = worst_words(word[bag], count, bag_owner, start, most)
             kept = taken > 0
-            chosen, owner = bag[order][kept], bag_owner[kept]
+            chosen, owner = bag[kept], bag_owner[kept]
             weight = taken[kept] / most[owner]
         # word vectors of the chosen words only, then their weighted sums over each text (or its worst words)
         used, which = np.unique(chosen, return_inverse=True)

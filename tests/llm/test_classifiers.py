@@ -244,3 +244,18 @@ def test_one_huge_word_takes_bounded_memory():
         "grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024; print(grown, len(model.known)); assert 0 <= score <= 1 and grown < 500, grown; assert len(model.known) == 1"
     )
     subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))), check=True, timeout=120)
+
+
+def test_worst_words_equal_sorting():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        sizes = rng.integers(1, 8, rng.integers(1, 12))
+        owner, start = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        values, count = rng.integers(0, 4, len(owner)).astype(float), rng.integers(1, 4, len(owner))
+        most = toxicity.worst_counts(np.add.reduceat(count, start) * rng.integers(1, 12))
+        want = np.zeros(len(owner), int)
+        for text, many in enumerate(most):
+            for i in sorted(np.flatnonzero(owner == text), key=lambda i: (-values[i], i)):
+                want[i] = min(count[i], many)
+                many -= want[i]
+        assert toxicity.worst_words(values, count, owner, start, most).tolist() == want.tolist()
