@@ -15,7 +15,7 @@ from terrastack.functions import landcover, masks, projection, spectral
 from terrastack.operators import composite, density, footprints, grid, increments, mosaic, outlines, quality_flags, raster_blocks, retrieval, sketches, warp, zonal
 from terrastack.params import CompositeParams, DensityParams, ForestParams, MosaicParams
 from terrastack.plans.views import oracle, view
-from terrastack.schemas import epoch_by_year
+from terrastack.schemas import FEATURES, LABEL, epoch_by_year
 from terrastack.sources import catalog, geotiff, partitioned, tiles
 from terrastack.sources.shared import shared_folder
 
@@ -294,10 +294,11 @@ def forest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rf_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every clear observation with the value of the default forest of its (sensor, biome)."""
-    rows = forest_rows(spark, sf_dir)
-    keys = sorted((r.sensor, r.biome) for r in rows.where(F.col("MCD_LAI").isNotNull()).select("sensor", "biome").distinct().collect())  # 27 at most
-    models = retrieval.train_all(rows, keys, ForestParams())
-    return retrieval.retrieve(rows, models, nonveg=True).select("scene_id", "pixel_id", six("lai_real"), six("MCD_LAI"))
+    rows = forest_rows(spark, sf_dir).select("scene_id", "pixel_id", "sensor", "biome", *FEATURES, LABEL)
+    kept = retrieval.keep_by_key(rows, ["sensor", "biome"])  # both training and retrieval read these files
+    keys = sorted((r.sensor, r.biome) for r in kept.where(F.col(LABEL).isNotNull()).select("sensor", "biome").distinct().collect())  # 27 at most
+    models = retrieval.train_kept(kept.withColumn("biome2", F.col("biome")), keys, ForestParams())
+    return retrieval.retrieve_kept(kept, models, nonveg=True).select("scene_id", "pixel_id", six("lai_real"), six(LABEL))
 
 
 @query("""SELECT scene_id, pixel_id, round(CASE biome WHEN 1 THEN lai_real WHEN 5 THEN lai_real + 1 WHEN 8 THEN CASE WHEN lai_real > 2 THEN lai_real END END, 6) AS chosen FROM {lai}""")

@@ -18,9 +18,9 @@ SAMPLE_KEYS = ["sensor", "biome2"]
 SAMPLES = T.StructType([T.StructField("sensor", T.StringType()), T.StructField("biome2", T.IntegerType()), *[T.StructField(f, T.DoubleType()) for f in [*FEATURES, LABEL]]])
 
 
-def write_by_keys(table: DataFrame, path: str, keys: list[str], mode: str = "errorifexists") -> None:
-    """A folder for each key. Rows of a key are brought together first, large keys being split by size, so that a folder has few files."""
-    table.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
+def write_by_keys(table: DataFrame, path: str, keys: list[str], mode: str = "errorifexists", most_rows: int = 0) -> None:
+    """A folder for each key. Rows of a key are brought together first, large keys being split by size, so that a folder has few files; of `most_rows` rows at most, unless that is 0."""
+    table.hint("rebalance", *keys).write.mode(mode).option("maxRecordsPerFile", most_rows).partitionBy(*keys).parquet(path)
 
 
 def write_catalog(scenes: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -6,7 +6,7 @@ import pytest
 from terrastack.operators import retrieval
 from terrastack.params import ForestParams
 from terrastack.plans import queries
-from terrastack.schemas import FEATURES
+from terrastack.schemas import FEATURES, LABEL
 
 DATA = "/root/testdata/sf0.001"
 
@@ -64,3 +64,28 @@ def test_biome_0_and_pooled_forests_learn_from_all_biomes(spark):
         sizes.append(tree._call_java("rootNode").impurityStats().count())
     assert sizes[1] < sizes[2] == sizes[0]
     samples.unpersist()
+
+
+def test_rows_of_a_large_key_are_dealt_evenly_to_tasks_and_large_forests_are_fitted_alone(spark, monkeypatch):
+    """One file of a key was one task before, however many rows it had, and any four forests were in memory together."""
+    seen, running, together = {}, set(), {}
+
+    def sizes(samples, key=None, params=None, features=None):
+        running.add(key)
+        together[key] = max(len(running), together.get(key, 0))
+        seen[key] = samples.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        running.remove(key)
+        return key
+
+    monkeypatch.setattr(retrieval, "train", sizes)
+    monkeypatch.setattr(retrieval, "TASK_ROWS", 500, raising=False)
+    monkeypatch.setattr(retrieval, "ALONE_ROWS", 2000, raising=False)
+    rows = [("LC08", 1)] * 3900 + [("LC08", 2)] * 700 + [("LE07", 1)] * 300
+    named = [(*key, *[float(i)] * (len(FEATURES) + 1)) for i, key in enumerate(rows)]
+    frame = spark.createDataFrame(named, ", ".join(["sensor string", "biome2 int", *(f"{name} double" for name in [*FEATURES, LABEL])]))
+    keys = [("LC08", 0), ("LC08", 1), ("LC08", 2), ("LE07", 1)]
+    found = retrieval.train_all(frame, keys)
+    assert list(found) == keys and all(found[k] == k for k in keys)
+    assert {k: sum(v) for k, v in seen.items()} == {("LC08", 0): 4600, ("LC08", 1): 3900, ("LC08", 2): 700, ("LE07", 1): 300}
+    assert all(max(v) <= 510 for v in seen.values())
+    assert together["LC08", 0] == together["LC08", 1] == 1
