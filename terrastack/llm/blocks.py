@@ -168,14 +168,14 @@ class Lookup:
             out.append((*names[i], *(_press(m.astype(t, copy=False)[own]) for m, t in zip(merged, self.got, strict=True)), *(totals if i == 0 else (0, 0))))
         return _table(out, schema)
 
-    def answers(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(rows of the schema `heard`, a table whose columns s0 and s1 add up to the totals). Both come from checkpoints."""
+    def answers(self, questions: DataFrame, written: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(rows of the schema `heard`, a table whose columns s0 and s1 add up to the totals). Both come from checkpoints; so do the questions if they are `written`."""
         ensure_checkpoint_dir(questions.sparkSession)
         if self.finer == 1:
             done = questions.groupBy("range_").applyInArrow(lambda rows: self._merged(rows, ["block_", "range_"], _schema(self._answered)), self._answered).checkpoint()
             return done.drop("s0", "s1"), done.select("s0", "s1")
         group = F.floor(F.col("block_") / FAN).cast("int").alias("group_")
-        asked = questions.checkpoint().select(group, "*")
+        asked = (questions if written else questions.checkpoint()).select(group, "*")
 
         def send_on(key: tuple, rows: pa.Table) -> pa.Table:
             parts, arrays = self._entries(rows)
@@ -206,6 +206,32 @@ class Lookup:
         return [np.concatenate([np.empty(0, t), *(_open(b, t) for b in back.column(n).to_pylist())]) for n, t in zip(self.outs, self.got, strict=True)]
 
 
+class Memo:
+    """An array that a block keeps from the step in which it asks to the step in which it hears: one more row among those of its questions."""
+
+    outs = ["kept"]
+
+    def __init__(self, lookup: Lookup, kind: np.dtype):
+        self.lookup, self.kind = lookup, kind
+        self.asked = f"{lookup.asked}, kept binary"
+
+    def ask(self, block: int, keys: np.ndarray, arrays: list[np.ndarray], kept: np.ndarray) -> pa.Table:
+        """The block's questions, and what it keeps in a row of range -1: rows of the schema `asked`."""
+        questions, schema = self.lookup.ask(block, keys, arrays), _schema(self.asked)
+        asked = questions.append_column("kept", pa.nulls(len(questions), pa.binary()))
+        own = {"block_": block, "range_": -1, "n_": 0, "kept": _press(kept)}
+        return pa.concat_tables([asked, pa.Table.from_pylist([own], schema)])
+
+    def questions(self, sent: DataFrame) -> DataFrame:
+        return sent.where("range_ >= 0").drop("kept")
+
+    def kept(self, sent: DataFrame) -> DataFrame:
+        return sent.where("range_ < 0").select("block_", "range_", "kept")
+
+    def along(self, back: pa.Table) -> list[np.ndarray]:
+        return [_open(back.column("kept")[0].as_py(), self.kind)]
+
+
 def _schema(text: str) -> pa.Schema:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in text.split(", "))])
@@ -216,7 +242,7 @@ def first_questions(blocked: DataFrame, work: Callable[[pa.Table], tuple], looku
     return blocked.groupBy("block_").applyInArrow(lambda dealt: lookup.ask(dealt.column("block_")[0].as_py(), *work(rows_of(dealt))), lookup.asked)
 
 
-def with_answers(blocked: DataFrame, heard: list[tuple[Lookup, DataFrame]], work: Callable, schema: str) -> DataFrame:
+def with_answers(blocked: DataFrame, heard: list[tuple[Lookup | Memo, DataFrame]], work: Callable, schema: str) -> DataFrame:
     """work(number of the block, its documents, for each lookup the merged arrays along the block's sorted keys) for each block."""
     parts, lookups = [], [lookup for lookup, _ in heard]
     for turn, (lookup, answers) in enumerate(heard):

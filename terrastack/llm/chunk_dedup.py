@@ -82,7 +82,7 @@ class _Group:
             return opens, closes, np.empty(0, np.uint16)
         since = np.zeros(len(self.data), np.int64)
         since[opens] = opens
-        place = np.minimum(np.arange(len(self.data)) - np.maximum.accumulate(since), np.diff([0, *closes]).max())
+        place = np.minimum(np.arange(len(self.data)) - np.maximum.accumulate(since), np.diff(closes, prepend=0).max())
         term = np.where(self.space, np.uint64(0), (GEAR[self.data] | np.uint64(1)) * _powers(int(place.max()) + 1)[place])
         mixed = blocks.mix(np.add.reduceat(term, opens), (closes - opens).astype(np.uint64))
         return opens, closes, np.maximum((mixed >> np.uint64(20)).astype(np.uint16), 1)
@@ -103,7 +103,7 @@ class Chunks:
     """
 
     def __init__(self, texts: list[str | None]):
-        self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.texts = _encoded(texts)
         parts = [found for first, last in _together(self.texts) if (found := self._group_chunks(first, last)) is not None]
         join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, kind)
         self.row, self.start, self.end, self.words, self.units = (join(k, np.int64) for k in range(5))
@@ -121,30 +121,35 @@ class Chunks:
         units = np.where(count > 0, count, -(-np.add.reduceat((~group.space).astype(np.int64), ranges)[::2] // UNIT_BYTES))
         return group.row[text], begins - group.start[text], cuts - group.start[text], count, units, keys
 
-    def around(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each chunk in `some`: hashes of the REACH words before and after it, the nearest first, 0 beyond the text; and where those words begin or end.
-
-        Places are those a passage has that grows to the word: the end of the word before it (0 if there is none), and its own end.
-        """
-        hashes = np.zeros((len(some), 2, REACH), np.uint16)
-        places = np.zeros((len(some), 2, REACH), np.int64)
-        rows, which = np.unique(self.row[some], return_inverse=True)
-        for begin, stop in _together([self.texts[r] for r in rows]):
-            part = np.flatnonzero((which >= begin) & (which < stop))
-            group, own = _Group([self.texts[r] for r in rows[begin:stop]], 0), some[part]
-            opens, closes, hashed = group.words()
-            text = which[part] - begin
-            base = group.start[text]
-            low, high = np.searchsorted(opens, base), np.searchsorted(opens, group.end[text])
-            before, after = np.searchsorted(closes, base + self.start[own], side="right"), np.searchsorted(opens, base + self.end[own])
-            for k in range(REACH):
-                for side, at in ((0, before - 1 - k), (1, after + k)):
-                    there = np.flatnonzero((at >= low) & (at < high))
-                    word = at[there]
-                    hashes[part[there], side, k] = hashed[word]
-                    edge = closes[word] if side else np.where(word > low[there], closes[word - 1], base[there])
-                    places[part[there], side, k] = edge - base[there]
-        return hashes, places
+
+def _encoded(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def _around(texts: list[bytes], row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each chunk (row, first and last byte): hashes of the REACH words before and after it, the nearest first, 0 beyond the text; and where those words begin or end.
+
+    Places are those a passage has that grows to the word: the end of the word before it (0 if there is none), and its own end.
+    """
+    hashes = np.zeros((len(row), 2, REACH), np.uint16)
+    places = np.zeros((len(row), 2, REACH), np.int64)
+    rows, which = np.unique(row, return_inverse=True)
+    for begin, stop in _together([texts[r] for r in rows]):
+        part = np.flatnonzero((which >= begin) & (which < stop))
+        group = _Group([texts[r] for r in rows[begin:stop]], 0)
+        opens, closes, hashed = group.words()
+        text = which[part] - begin
+        base = group.start[text]
+        low, high = np.searchsorted(opens, base), np.searchsorted(opens, group.end[text])
+        before, after = np.searchsorted(closes, base + start[part], side="right"), np.searchsorted(opens, base + end[part])
+        for k in range(REACH):
+            for side, at in ((0, before - 1 - k), (1, after + k)):
+                there = np.flatnonzero((at >= low) & (at < high))
+                word = at[there]
+                hashes[part[there], side, k] = hashed[word]
+                edge = closes[word] if side else np.where(word > low[there], closes[word - 1], base[there])
+                places[part[there], side, k] = edge - base[there]
+    return hashes, places
 
 
 def _digests(data: np.ndarray, space: np.ndarray, begins: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +196,12 @@ _LAST = np.iinfo(np.int64).max
 
 
 def _ordered(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """The rows by ascending doc_id, and their ids."""
+    """The rows by ascending doc_id, then text, and their ids: the same order whatever order they come in, since rows are known by their places in it from one step to the next."""
     ids = rows.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy()
     order = np.argsort(ids, kind="stable")
+    if (np.diff(ids[order]) == 0).any():
+        texts = rows.column("text").to_pylist()
+        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or "")))
     return rows.take(pa.array(order)), ids[order]
 
 
@@ -229,6 +237,11 @@ def _told(keys: np.ndarray, which: np.ndarray, arrays: list[np.ndarray]) -> list
     return [out]
 
 
+#: A run of repeated chunks: its row, first and last byte, owner, words, and those of them that the owner has or that follow each other in owners; and of the first and the last
+#: chunk in it that the owner has (its anchors) the first and last byte and the digest's place among those that the block tells of.
+_PASSAGE = np.dtype([("row", "<i4"), ("start", "<i8"), ("end", "<i8"), ("owner", "<i8"), ("units", "<i8"), ("held", "<i8"), ("starts", "<i8", 2), ("ends", "<i8", 2), ("told", "<i4", 2)])
+
+
 @dataclass
 class Passage:
     """A run of repeated chunks (first, last), its owner, the first and last chunk in it that the owner has, its words, and those of them that the owner has or that follow each other in owners."""
@@ -277,61 +290,68 @@ class Repeats:
             main = np.flatnonzero(index == weight.argmax())
             yield Passage(int(where[part[0]]), int(where[part[-1]]), int(owners[weight.argmax()]), int(where[part[main[0]]]), int(where[part[main[-1]]]), int(units.sum()), held)
 
-    def asked(self) -> np.ndarray:
-        """Digests whose surroundings in their owner the block needs, sorted."""
-        return np.unique(self.chunks.digest[[c for p in self.passages for c in (p.left, p.right)]]) if self.passages else np.empty(0, np.uint64)
-
-    def tells(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Sorted digests that the block asks for or owns, and what it tells of them."""
-        chunks = self.chunks
+    def tells(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Sorted digests that the block owns, or whose surroundings in their owner it needs; what it tells of them; and its passages (_PASSAGE)."""
+        chunks, many = self.chunks, len(self.passages)
+        anchors = np.array([(p.left, p.right) for p in self.passages], np.int64).reshape(-1, 2)
         keys, first = np.unique(chunks.digest[self.owned], return_index=True)
-        every = np.union1d(keys, self.asked())
+        every = np.union1d(keys, chunks.digest[anchors.ravel()])
         entries = np.zeros(len(every), _AROUND)
-        at = np.searchsorted(every, keys)
-        entries["words"][at] = chunks.around(self.owned[first])[0].reshape(len(keys), 2 * REACH)
+        at, owned = np.searchsorted(every, keys), self.owned[first]
+        entries["words"][at] = _around(chunks.texts, chunks.row[owned], chunks.start[owned], chunks.end[owned])[0].reshape(len(keys), 2 * REACH)
         entries["known"][at] = 1
-        return every, [entries]
-
-    def spans(self, told: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, first byte, last byte, words, owner) of each passage, grown by what the owners told (along tells()'s digests)."""
-        chunks, found = self.chunks, []
-        every = np.union1d(chunks.digest[self.owned], self.asked())
-        anchors = np.array([c for p in self.passages for c in (p.left, p.right)], np.int64)
-        hashes, places = chunks.around(anchors)
-        theirs = told["words"][np.searchsorted(every, chunks.digest[anchors])].reshape(-1, 2, REACH) if len(anchors) else hashes
-        same = np.cumprod((hashes == theirs) & (hashes > 0), axis=2).sum(2)
-        for i, p in enumerate(self.passages):
-            row = int(chunks.row[p.first])
-            start, end = int(chunks.start[p.first]), int(chunks.end[p.last])
-            if left := same[2 * i, 0]:
-                start = min(start, int(places[2 * i, 0, left - 1]))
-            if right := same[2 * i + 1, 1]:
-                end = max(end, int(places[2 * i + 1, 1, right - 1]))
-            if max(len(chunks.texts[row][start:end].split()), p.units) < self.min_words or p.held + left + right < self.min_owner_words:
-                continue
-            if found and found[-1][0] == row and found[-1][2] > start:  # both grew over what lies between
-                start = found[-1][2]
-            found.append((row, start, end, len(chunks.texts[row][start:end].split()), p.owner))
-        return [f for f in found if f[1] < f[2]]
+        kept = np.zeros(many, _PASSAGE)
+        begin, end = (np.fromiter((getattr(p, name) for p in self.passages), np.int64, many) for name in ("first", "last"))
+        kept["row"], kept["start"], kept["end"] = chunks.row[begin], chunks.start[begin], chunks.end[end]
+        for name in ("owner", "units", "held"):
+            kept[name] = np.fromiter((getattr(p, name) for p in self.passages), np.int64, many)
+        kept["starts"], kept["ends"], kept["told"] = chunks.start[anchors], chunks.end[anchors], np.searchsorted(every, chunks.digest[anchors])
+        return every, [entries], kept
+
+
+def _grown(texts: list[bytes], kept: np.ndarray, told: np.ndarray, min_words: int, min_owner_words: int) -> list[tuple[int, int, int, int, int]]:
+    """(row, first byte, last byte, words, owner) of each passage of a block, grown by what the owners told (along the digests of Repeats.tells)."""
+    hashes, places = _around(texts, np.repeat(kept["row"], 2), kept["starts"].ravel(), kept["ends"].ravel())
+    theirs = told["words"][kept["told"].ravel()].reshape(-1, 2, REACH)
+    same, found = np.cumprod((hashes == theirs) & (hashes > 0), axis=2).sum(2), []
+    for i, p in enumerate(kept):
+        row, start, end = int(p["row"]), int(p["start"]), int(p["end"])
+        if left := same[2 * i, 0]:
+            start = min(start, int(places[2 * i, 0, left - 1]))
+        if right := same[2 * i + 1, 1]:
+            end = max(end, int(places[2 * i + 1, 1, right - 1]))
+        if max(len(texts[row][start:end].split()), p["units"]) < min_words or p["held"] + left + right < min_owner_words:
+            continue
+        if found and found[-1][0] == row and found[-1][2] > start:  # both grew over what lies between
+            start = found[-1][2]
+        found.append((row, start, end, len(texts[row][start:end].split()), int(p["owner"])))
+    return [f for f in found if f[1] < f[2]]
 
 
 def _spans(docs: DataFrame, found: Callable, schema: str, min_words: int, min_owner_words: int, block_bytes: int) -> DataFrame:
-    """found(rows of a block, their texts in UTF-8, their repeated passages) for each block of `docs`, which has doc_id and text."""
+    """found(rows of a block, their texts in UTF-8, their repeated passages) for each block of `docs`, which has doc_id and text.
+
+    Texts are cut into chunks twice: for the owners, and for the passages, which the block keeps until it hears how far they grow.
+    """
     blocked, many = blocks.deal(docs, block_bytes)
     owners = blocks.Lookup(many, ["<i8", "<i8", "u1"], ["<i8", "<i8"], _owners, _first)
     around = blocks.Lookup(many, [_AROUND], [_AROUND], lambda *entries: (_told(*entries), (0, 0)), _told)
+    memo = blocks.Memo(around, _PASSAGE)
 
-    def repeats(rows: pa.Table, owned: list[np.ndarray]) -> tuple[pa.Table, Repeats]:
+    def ask(block: int, rows: pa.Table, answers: list[list[np.ndarray]]) -> pa.Table:
         rows, ids = _ordered(rows)
-        return rows, Repeats(Chunks(rows.column("text").to_pylist()), ids, *owned, min_words, min_owner_words)
+        repeats = Repeats(Chunks(rows.column("text").to_pylist()), ids, *answers[0], min_words, min_owner_words)
+        return memo.ask(block, *repeats.tells())
 
     def work(block: int, rows: pa.Table, answers: list[list[np.ndarray]]) -> pa.Table:
-        rows, own = repeats(rows, answers[0])
-        return found(rows, own.chunks.texts, own.spans(answers[1][0]))
-
-    first = owners, owners.answers(blocks.first_questions(blocked, _known, owners))[0]
-    more = blocks.with_answers(blocked, [first], lambda block, rows, answers: around.ask(block, *repeats(rows, answers[0])[1].tells()), around.asked)
-    return blocks.with_answers(blocked, [first, (around, around.answers(more)[0])], work, schema)
+        rows, _ = _ordered(rows)
+        texts = _encoded(rows.column("text").to_pylist())
+        return found(rows, texts, _grown(texts, answers[1][0], answers[0][0], min_words, min_owner_words))
+
+    first = owners.answers(blocks.first_questions(blocked, _known, owners))[0]
+    sent = blocks.with_answers(blocked, [(owners, first)], ask, memo.asked).checkpoint()
+    told = around.answers(memo.questions(sent), written=True)[0]
+    return blocks.with_answers(blocked, [(around, told), (memo, memo.kept(sent))], work, schema)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_owner_words: int = MIN_OWNER_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

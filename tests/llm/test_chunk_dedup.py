@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import Row
 
@@ -263,3 +265,32 @@ def test_one_repeated_row_is_no_hot_block(spark):
     assert {t.name for t in spark.catalog.listTables()} == before
     clean = chunk_dedup.without_repeats(docs, block_bytes=10_000).collect()
     assert sorted((r.doc_id is None, r.text) for r in clean) == sorted((i is None, t) for i, t in rows)
+
+
+def test_passages_are_kept_from_the_step_that_finds_them_and_grow_without_chunks(monkeypatch):
+    """Texts were cut into chunks a third time before; now rows come in any order, and the last step needs the texts and what the block kept alone."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    shared = " ".join(word() for _ in range(60))
+    texts = [" ".join([*(word() for _ in range(80)), shared, *(word() for _ in range(80))]) for _ in range(3)]
+    rows = pa.table({"doc_id": pa.array([4, 4, 9, None, None], pa.int64()), "text": [texts[1], texts[0], texts[2], None, ""]})
+    wanted, ids = chunk_dedup._ordered(rows)
+    chunks = chunk_dedup.Chunks(wanted.column("text").to_pylist())
+    keys, arrays = chunk_dedup._known(rows)
+    owned, _ = chunk_dedup._owners(keys, np.arange(len(keys)), arrays)
+    every, told, kept = chunk_dedup.Repeats(chunks, ids, *owned, 16, 12).tells()
+    memo = blocks.Memo(blocks.Lookup(1, [chunk_dedup._AROUND], [chunk_dedup._AROUND], None, None), chunk_dedup._PASSAGE)
+    sent = memo.ask(7, every, told, kept)
+    back = memo.along(sent.filter(pc.less(sent.column("range_"), 0)))[0]
+    assert len(kept) > 0 and (back == kept).all()
+    monkeypatch.setattr(chunk_dedup, "Chunks", None)
+    found = []
+    for order in ([0, 1, 2, 3, 4], [4, 1, 3, 2, 0]):
+        again, _ = chunk_dedup._ordered(rows.take(order))
+        encoded = chunk_dedup._encoded(again.column("text").to_pylist())
+        found.append([(encoded[r][s:e].decode(), w, o) for r, s, e, w, o in chunk_dedup._grown(encoded, back, told[0], 16, 12)])
+    assert found[0] == found[1] and len(found[0]) == 2
+    assert all(shared in passage and words >= 60 and owner == 4 for passage, words, owner in found[0])
+    empty = np.zeros(0, chunk_dedup._PASSAGE)
+    assert len(memo.along(memo.ask(0, every[:0], [told[0][:0]], empty))[0]) == 0
+    assert chunk_dedup._grown([b"", b""], empty, told[0][:0], 16, 12) == []
